@@ -23,13 +23,13 @@ from sediment.functions.columns import (
 from sediment.functions.text import display, same_value
 from sediment.plans.keyed import (
     HOT_ROWS,
-    has_repeats,
     hot_keys,
     key_counts,
     last_per_key,
     lookup,
     match_columns,
     match_key,
+    repeats,
 )
 from sediment.plans.materialize import materialize
 
@@ -202,11 +202,11 @@ def compare(
     )
 
     if unique is None:
-        repeated = has_repeats(left, on)
-        unique = not repeated and not has_repeats(right, on)
-        if repeated and duplicates == "error":
+        in_source, in_target = repeats(left, right, on)
+        unique = not in_source and not in_target
+        if in_source and duplicates == "error":
             raise ValueError("The snapshot has duplicate business keys.")
-        if not unique and duplicates == "error":
+        if in_target and duplicates == "error":
             raise ValueError("The history table has several current rows for a key.")
     if unique:
         rows = left.join(right, on, "full_outer")

@@ -56,9 +56,30 @@ def key_counts(df: DataFrame, on: list[str]) -> DataFrame:
     return df.groupBy(*on).agg(F.count(F.lit(1)).alias("__rows"))
 
 
-def has_repeats(df: DataFrame, on: list[str]) -> bool:
-    """Does any key occur twice? One job that shuffles key columns only."""
-    return not key_counts(df, on).filter("__rows > 1").isEmpty()
+def repeats(left: DataFrame, right: DataFrame, on: list[str]) -> tuple[bool, bool]:
+    """Does any key occur twice on either side?
+
+    One job over both sides shuffles an eight-byte hash per key. Equal hashes are only
+    a suspicion; a side that has some is looked at again by the keys themselves.
+    """
+    hashes = [
+        side.select(F.lit(n).alias("side"), F.xxhash64(*on).alias("hash"))
+        for n, side in enumerate((left, right))
+    ]
+    suspects = (
+        hashes[0].unionByName(hashes[1])
+        .groupBy("side", "hash")
+        .agg(F.count(F.lit(1)).alias("rows"))
+        .filter("rows > 1")
+        .select("side")
+        .distinct()
+        .collect()  # at most two rows
+    )
+    found = {row["side"] for row in suspects}
+    return tuple(
+        n in found and not key_counts(side, on).filter("__rows > 1").isEmpty()
+        for n, side in enumerate((left, right))
+    )
 
 
 def hot_keys(counts: DataFrame, on: list[str], hot_rows: int) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sediment.functions.columns import (
@@ -18,7 +18,7 @@ from sediment.functions.columns import (
     UNCHANGED,
 )
 from sediment.operators.diff import Comparison, compare, current_rows, new, old
-from sediment.plans.keyed import hot_keys, key_counts, lookup, match_key
+from sediment.plans.keyed import hot_keys, key_counts, match_key
 
 
 def output_columns(comparison: Comparison) -> list[str]:
@@ -131,20 +131,43 @@ def _repeated_keys(comparison: Comparison, today: Column, closing: list[str]) ->
     # and gets one new version from its last snapshot row if any is changed or new.
     on, kind = comparison.on, F.col("change_type")
     values = [new(c) for c in [*comparison.key, *comparison.tracked]]
-    rows = comparison.rows.filter(kind != DELETED)
-    per_key = rows.groupBy(*on).agg(
-        F.max(kind == UNCHANGED).alias("__keep"),
-        F.max(kind.isin(CHANGED, NEW)).alias("__open"),
-        F.max(F.struct("__order", *[f"`{v}`" for v in values])).alias("__last"),
+    per_key = (
+        comparison.rows.filter(kind != DELETED)
+        .groupBy(*on)
+        .agg(
+            F.max(kind == UNCHANGED).alias("__keep"),
+            F.max(kind.isin(CHANGED, NEW)).alias("__open"),
+            F.max(F.struct("__order", *[f"`{v}`" for v in values])).alias("__last"),
+        )
     )
-    opened = per_key.filter("__open").select("__last.*").select(*_opened_row(comparison, today))
-
     target = comparison.target
     key_types = [comparison.type_of(k) for k in comparison.key]
     keys = [F.col(f"`{k}`").cast(t) for k, t in zip(comparison.key, key_types, strict=True)]
     current = current_rows(target).select("*", *match_key(keys, key_types))
-    hot = hot_keys(key_counts(current, on), on, comparison.hot_rows)
-    flagged = lookup(current, per_key.select(*on, "__keep"), on, hot)
+    few = F.broadcast(hot_keys(key_counts(current, on), on, comparison.hot_rows))
     closes = ~F.coalesce(F.col("__keep"), F.lit(DELETED not in closing))
-    existing = flagged.select(*_target_row(comparison, lambda c: c, closes, today))
-    return existing.unionByName(opened)
+    existing = _target_row(comparison, lambda c: c, closes, today)
+
+    # One join gives both the existing rows and, on the first of them (or alone, if
+    # there is none), the new version, so the comparison is worked out only once.
+    first = F.row_number().over(Window.partitionBy(*on).orderBy(*on)) == 1
+    cold = current.join(few, on, "left_anti").withColumn("__first", first)
+    before, after = F.struct(*existing), F.struct(
+        *_opened_row(comparison, today, lambda c: f"__last`.`{new(c)}")
+    )
+    exists = F.col("__first").isNotNull()
+    opens = F.col("__open") & (~exists | F.col("__first"))
+    versions = (
+        F.when(exists & opens, F.array(before, after))
+        .when(exists, F.array(before))
+        .when(opens, F.array(after))
+    )
+    live = (
+        cold.join(per_key, on, "full_outer")
+        .select(F.explode(versions).alias("row"))
+        .select("row.*")
+    )
+    # Rows of hot keys meet their few partners by broadcast; their new versions are above.
+    partners = F.broadcast(per_key.join(few, on, "left_semi").select(*on, "__keep"))
+    hot = current.join(few, on, "left_semi").join(partners, on, "left").select(*existing)
+    return live.unionByName(hot)

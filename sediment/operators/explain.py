@@ -5,6 +5,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cached_property
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -407,8 +408,19 @@ def warnings(used: DataFrame) -> DataFrame:
 @dataclass(frozen=True)
 class Explained:
     explanations: DataFrame
-    usage: DataFrame
-    warnings: DataFrame
+    batches: DataFrame
+    provider: str
+    model: str | None = None
+    prices: tuple[float, float] | None = None
+    json: bool = True
+
+    @cached_property
+    def usage(self) -> DataFrame:
+        return usage(self.batches, self.provider, self.model, self.prices, json=self.json)
+
+    @cached_property
+    def warnings(self) -> DataFrame:
+        return warnings(self.usage)
 
 
 def explain_changes(
@@ -421,14 +433,12 @@ def explain_changes(
     The function is called with a prompt per batch, or per record with ``single``.
     """
     if explain is None:
-        rows = template_explanations(changes, key)
         records = to_explain(changes).select(F.array(F.lit(0)).alias("records"))
-        used = usage(records, TEMPLATE)
-        return Explained(rows, used, warnings(used))
+        return Explained(template_explanations(changes, key), records, TEMPLATE)
     if single:
         batches = single_prompts(changes, key)
     else:
         batches = batch_prompts(changes, key, size, buckets)
     answered = materialize(with_callable(batches, explain), folder)
-    used = usage(answered, provider, model, prices, json=not single)
-    return Explained(merge(answered, key, provider, json=not single), used, warnings(used))
+    merged = merge(answered, key, provider, json=not single)
+    return Explained(merged, answered, provider, model, prices, not single)

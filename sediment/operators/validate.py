@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,13 +29,19 @@ class Validation:
     """Verdicts and, per rule, the rows behind them; everything is lazy.
 
     ``rules`` has one row per rule (and segment): ``rule_no``, ``rule``, ``status``,
-    ``message``, ``violation_count``. ``violations`` maps a rule to its offending rows.
+    ``message``, ``violation_count``.
     """
 
+    df: DataFrame
     rules: DataFrame
-    violations: dict[str, DataFrame]
     key: list[str]
     by: list[str]
+    extras: bool
+
+    @cached_property
+    def violations(self) -> dict[str, DataFrame]:
+        """The offending rows of each rule that has some to show."""
+        return _violations(self.df, self.key, self.by, self.extras)
 
     def summary(self) -> DataFrame:
         """Rules per status and ``passed``: no rule failed (a warning passes)."""
@@ -85,7 +91,7 @@ def validate_scd2(
     rules = counts.select(
         *by, F.inline(F.array(*[F.struct(*v) for v in verdicts]))
     )
-    return Validation(rules, _violations(df, key, by, extras), list(key), by)
+    return Validation(df, rules, list(key), by, extras)
 
 
 def _has(df: DataFrame, *columns: str) -> bool:

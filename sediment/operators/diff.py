@@ -226,7 +226,7 @@ def compare(
         rows = matched.unionByName(deleted, allowMissingColumns=True)
 
     labelled = _label(rows, key, tracked, source_types, target_types, key_types)
-    if _ORDER in labelled.columns and ROW_ORDER in source.columns:
+    if _ORDER in labelled.columns:
         labelled = labelled.withColumn(ROW_ORDER, F.col(_ORDER))
     return Comparison(
         labelled, source, target, list(key), list(tracked), kept, bool(unique), hot_rows
@@ -287,6 +287,12 @@ def detect_changes(
     return compare(source, target, key, tracked, **options).changes()
 
 
+def in_report_order(changes: DataFrame, key: list[str]) -> DataFrame:
+    """Records in the order of the snapshot (of its keys, if it has no order), deletions last."""
+    order = [ROW_ORDER] if ROW_ORDER in changes.columns else []
+    return changes.orderBy(F.col("change_type") == DELETED, *order, *[f"`{k}`" for k in key])
+
+
 def summary(changes: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Number of records per change type and in total; one row, or one per segment."""
     counts = [F.count_if(F.col("change_type") == t).alias(t) for t in CHANGE_TYPES]

@@ -150,6 +150,18 @@ def _record(key: list[str], schema: T.StructType, record_id: Column) -> Column:
     )
 
 
+def _chunks_of_copies(records: DataFrame) -> DataFrame:
+    """Equal records as one row per thousand copies: ``__chunk`` and ``__copies`` in it."""
+    chunk = 1000
+    counted = records.groupBy(*[f"`{c}`" for c in records.columns]).agg(
+        F.count(F.lit(1)).alias("__n")
+    )
+    last = F.floor((F.col("__n") - 1) / chunk)
+    return counted.withColumn(
+        "__chunk", F.explode(F.sequence(F.lit(0).cast("long"), last))
+    ).withColumn("__copies", F.least(F.col("__n") - F.col("__chunk") * chunk, F.lit(chunk)))
+
+
 def single_prompts(changes: DataFrame, key: list[str], short: bool = False) -> DataFrame:
     """One prompt per record, in the layout of ``batch_prompts``."""
     schema = changes.schema
@@ -168,20 +180,31 @@ def batch_prompts(
     buckets: int | Column = 1,
     order_by: list[str] | None = None,
     reply_format: bool = True,
+    unique: bool = False,
 ) -> DataFrame:
     """Prompts of at most ``size`` records: ``bucket``, ``batch``, ``prompt``, ``records``.
 
     Records are numbered within a bucket, so buckets bound what one task sorts: give
     their number (hash of the record) or an expression that keeps each of them small.
-    One bucket numbers the records of a report as a whole.
+    One bucket numbers the records of a report as a whole. ``unique`` says that no key
+    has two records; otherwise equal records are counted first, so that copies spread
+    over the buckets too, at the cost of one more shuffle.
     """
     schema = changes.schema
     records = to_explain(changes)
     order = order_by or ([ROW_ORDER] if ROW_ORDER in changes.columns else key)
     if isinstance(buckets, int):
-        spread = [f"`{c}`" for c in [*key, "change_type", *order]]
+        spread = [f"`{c}`" for c in dict.fromkeys([*key, "change_type", *order])]
+        if not unique and buckets > 1:
+            records = _chunks_of_copies(records)
+            spread.append("__chunk")
         buckets = F.pmod(F.xxhash64(*spread), F.lit(buckets)) if buckets > 1 else F.lit(0)
-    numbered = records.select("*", buckets.alias("bucket")).withColumn(
+    records = records.select("*", buckets.alias("bucket"))
+    if "__chunk" in records.columns:
+        records = records.withColumn(
+            "__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))
+        )
+    numbered = records.withColumn(
         "position",
         F.row_number().over(
             Window.partitionBy("bucket").orderBy(
@@ -228,13 +251,16 @@ def batch_prompts(
 _ANSWER = "response string, error string, prompt_tokens long, completion_tokens long, seconds double"
 
 
-def with_callable(batches: DataFrame, explain: Callable) -> DataFrame:
+def with_callable(batches: DataFrame, explain: Callable, tasks: int | None = None) -> DataFrame:
     """Call ``explain(prompt)`` once per prompt, on the executors.
 
     It returns the response, or ``(response, prompt tokens, completion tokens)``. A call
     that raises leaves a null ``response`` and the error. Prompts alone go to Python.
+    The calls of a task follow each other; ``tasks`` spreads slow ones over that many.
     The result is not kept: ``materialize`` it before using it twice.
     """
+    if tasks:
+        batches = batches.repartition(tasks, "bucket", "batch")
 
     def answer(text):
         start = time.perf_counter()
@@ -426,7 +452,8 @@ class Explained:
 def explain_changes(
     changes: DataFrame, key: list[str], explain: Callable | None = None, *,
     provider: str = "custom", model: str | None = None, prices: tuple[float, float] | None = None,
-    size: int = 50, buckets: int | Column = 1, single: bool = False, folder: str | None = None,
+    size: int = 50, buckets: int | Column = 1, unique: bool = False, single: bool = False,
+    tasks: int | None = None, folder: str | None = None,
 ) -> Explained:
     """Explain all changes by template, or by a user's function with the template behind it.
 
@@ -438,7 +465,7 @@ def explain_changes(
     if single:
         batches = single_prompts(changes, key)
     else:
-        batches = batch_prompts(changes, key, size, buckets)
-    answered = materialize(with_callable(batches, explain), folder)
+        batches = batch_prompts(changes, key, size, buckets, unique=unique)
+    answered = materialize(with_callable(batches, explain, tasks), folder)
     merged = merge(answered, key, provider, json=not single)
     return Explained(merged, answered, provider, model, prices, not single)

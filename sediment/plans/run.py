@@ -55,6 +55,7 @@ def run_scd2(
     provider: str = "custom",
     prompts_per_bucket: int = 10_000,
     batch_size: int = 50,
+    tasks: int | None = None,
     extras: bool = False,
     folder: str | None = None,
     format: str = "csv",
@@ -97,7 +98,8 @@ def run_scd2(
     to_explain = sum(counts[t] for t in CHANGE_TYPES if t != "unchanged")
     buckets = max(1, -(-to_explain // prompts_per_bucket))
     explained = explain_changes(
-        changes, key, explain, provider=provider, size=batch_size, buckets=buckets, folder=folder
+        changes, key, explain, provider=provider, size=batch_size, buckets=buckets,
+        unique=comparison.unique, tasks=tasks, folder=folder,
     )
     dropped = target.filter(F.col(IS_CURRENT).isNull()).count()
     passed = "fail" not in verdicts.values()

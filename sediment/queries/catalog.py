@@ -700,7 +700,7 @@ responses as (
 
 def _batches(spark, sf_dir):
     bucket = F.floor(F.col("c_custkey") / 1000)
-    return explain.batch_prompts(_changes(spark, sf_dir), KEY, size=20, buckets=bucket)
+    return explain.batch_prompts(_changes(spark, sf_dir), KEY, size=20, buckets=bucket, unique=True)
 
 
 def _answered(spark, sf_dir):
@@ -758,17 +758,6 @@ def response_join(spark, sf_dir):
     return explain.merge(answered.drop("response"), KEY, "groq", responses)
 
 
-def _review(prompt: str) -> str:
-    """Stands for a remote model: answers all records of a prompt but every third."""
-    lines = prompt.split("\n")
-    ids = [int(x.split()[3]) for x in lines if x.startswith("--- Record ID: ")]
-    keys = [x.split("=")[1] for x in lines if x.startswith("Business key: ")]
-    items = [
-        {"id": i, "explanation": f"Reviewed {k}"} for i, k in zip(ids, keys, strict=True) if i % 3
-    ]
-    return json.dumps({"explanations": items})
-
-
 @query(
     "scd2_explain_with_function",
     f"{BATCHES} select c_custkey, change_type, "
@@ -776,7 +765,16 @@ def _review(prompt: str) -> str:
     "case when record_id % 3 <> 0 then 'custom' else 'template' end as provider from records",
 )
 def explain_with_function(spark, sf_dir):
-    return explain.merge(explain.with_callable(_batches(spark, sf_dir), _review), KEY, "custom")
+    def review(prompt: str) -> str:
+        """Stands for a remote model: answers all records of a prompt but every third."""
+        lines = prompt.split("\n")
+        ids = [int(x.split()[3]) for x in lines if x.startswith("--- Record ID: ")]
+        keys = [x.split("=")[1] for x in lines if x.startswith("Business key: ")]
+        found = [(i, k) for i, k in zip(ids, keys, strict=True) if i % 3]
+        items = [{"id": i, "explanation": f"Reviewed {k}"} for i, k in found]
+        return json.dumps({"explanations": items})
+
+    return explain.merge(explain.with_callable(_batches(spark, sf_dir), review), KEY, "custom")
 
 
 USAGE_SQL = """

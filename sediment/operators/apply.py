@@ -144,14 +144,17 @@ def _repeated_keys(comparison: Comparison, today: Column, closing: list[str]) ->
     key_types = [comparison.type_of(k) for k in comparison.key]
     keys = [F.col(f"`{k}`").cast(t) for k, t in zip(comparison.key, key_types, strict=True)]
     current = current_rows(target).select("*", *match_key(keys, key_types))
-    few = F.broadcast(hot_keys(key_counts(current, on), on, comparison.hot_rows))
+    cold, few = current, None
+    if comparison.hot_rows is not None:
+        few = F.broadcast(hot_keys(key_counts(current, on), on, comparison.hot_rows))
+        cold = current.join(few, on, "left_anti")
     closes = ~F.coalesce(F.col("__keep"), F.lit(DELETED not in closing))
     existing = _target_row(comparison, lambda c: c, closes, today)
 
     # One join gives both the existing rows and, on the first of them (or alone, if
     # there is none), the new version, so the comparison is worked out only once.
     first = F.row_number().over(Window.partitionBy(*on).orderBy(*on)) == 1
-    cold = current.join(few, on, "left_anti").withColumn("__first", first)
+    cold = cold.withColumn("__first", first)
     before, after = F.struct(*existing), F.struct(
         *_opened_row(comparison, today, lambda c: f"__last`.`{new(c)}")
     )
@@ -167,6 +170,8 @@ def _repeated_keys(comparison: Comparison, today: Column, closing: list[str]) ->
         .select(F.explode(versions).alias("row"))
         .select("row.*")
     )
+    if few is None:
+        return live
     # Rows of hot keys meet their few partners by broadcast; their new versions are above.
     partners = F.broadcast(per_key.join(few, on, "left_semi").select(*on, "__keep"))
     hot = current.join(few, on, "left_semi").join(partners, on, "left").select(*existing)

@@ -26,10 +26,10 @@ from sediment.plans.keyed import (
     hot_keys,
     key_counts,
     last_per_key,
-    lookup,
+    match,
     match_columns,
     match_key,
-    repeats,
+    rows_per_key,
 )
 from sediment.plans.materialize import materialize
 
@@ -65,6 +65,7 @@ class Comparison:
     ``rows`` has one row per change record: the key, ``change_type``, a flag per
     tracked column, the values of both sides and the match columns of the key. With
     ``unique`` no key repeats on either side, so every key is on exactly one row.
+    ``hot_rows`` is None if no key of the history table is known to be that hot.
     """
 
     rows: DataFrame
@@ -74,7 +75,7 @@ class Comparison:
     tracked: list[str]
     kept: list[str]
     unique: bool
-    hot_rows: int
+    hot_rows: int | None
 
     @property
     def on(self) -> list[str]:
@@ -201,12 +202,14 @@ def compare(
         *[_column(target, c).alias(old(c)) for c in [*key, *tracked, *kept, *META]],
     )
 
+    hot_source = hot_target = True  # until counted otherwise
     if unique is None:
-        in_source, in_target = repeats(left, right, on)
-        unique = not in_source and not in_target
-        if in_source and duplicates == "error":
+        most_source, most_target = rows_per_key(left, right, on)
+        unique = most_source <= 1 and most_target <= 1
+        hot_source, hot_target = most_source > hot_rows, most_target > hot_rows
+        if most_source > 1 and duplicates == "error":
             raise ValueError("The snapshot has duplicate business keys.")
-        if in_target and duplicates == "error":
+        if most_target > 1 and duplicates == "error":
             raise ValueError("The history table has several current rows for a key.")
     if unique:
         rows = left.join(right, on, "full_outer")
@@ -220,16 +223,15 @@ def compare(
             *_order(target, target_order_by),
         )
         last = last_per_key(ordered, on, [_ORDER]).drop(_ORDER)
-        counts = key_counts(left, on)
-        deleted = last.join(counts.select(*on), on, "left_anti")
-        matched = lookup(left, last, on, hot_keys(counts, on, hot_rows))
-        rows = matched.unionByName(deleted, allowMissingColumns=True)
+        hot = hot_keys(key_counts(left, on), on, hot_rows) if hot_source else None
+        rows = match(left, last, on, hot)
 
     labelled = _label(rows, key, tracked, source_types, target_types, key_types)
     if _ORDER in labelled.columns:
         labelled = labelled.withColumn(ROW_ORDER, F.col(_ORDER))
     return Comparison(
-        labelled, source, target, list(key), list(tracked), kept, bool(unique), hot_rows
+        labelled, source, target, list(key), list(tracked), kept, bool(unique),
+        hot_rows if hot_target else None,
     )
 
 

@@ -56,30 +56,29 @@ def key_counts(df: DataFrame, on: list[str]) -> DataFrame:
     return df.groupBy(*on).agg(F.count(F.lit(1)).alias("__rows"))
 
 
-def repeats(left: DataFrame, right: DataFrame, on: list[str]) -> tuple[bool, bool]:
-    """Does any key occur twice on either side?
+def rows_per_key(left: DataFrame, right: DataFrame, on: list[str]) -> tuple[int, int]:
+    """The largest number of rows that one key has, on each side.
 
     One job over both sides shuffles an eight-byte hash per key. Equal hashes are only
-    a suspicion; a side that has some is looked at again by the keys themselves.
+    a suspicion; a side that has some is counted again by the keys themselves.
     """
     hashes = [
         side.select(F.lit(n).alias("side"), F.xxhash64(*on).alias("hash"))
         for n, side in enumerate((left, right))
     ]
-    suspects = (
+    bounds = (
         hashes[0].unionByName(hashes[1])
         .groupBy("side", "hash")
         .agg(F.count(F.lit(1)).alias("rows"))
-        .filter("rows > 1")
-        .select("side")
-        .distinct()
+        .groupBy("side")
+        .agg(F.max("rows").alias("rows"))
         .collect()  # at most two rows
     )
-    found = {row["side"] for row in suspects}
-    return tuple(
-        n in found and not key_counts(side, on).filter("__rows > 1").isEmpty()
-        for n, side in enumerate((left, right))
-    )
+    most = {row["side"]: row["rows"] for row in bounds}
+    for n, side in enumerate((left, right)):
+        if most.get(n, 0) > 1:
+            most[n] = key_counts(side, on).agg(F.max("__rows")).first()[0]
+    return most.get(0, 0), most.get(1, 0)
 
 
 def hot_keys(counts: DataFrame, on: list[str], hot_rows: int) -> DataFrame:
@@ -106,15 +105,20 @@ def last_per_key(df: DataFrame, on: list[str], order: list[str]) -> DataFrame:
     )
 
 
-def lookup(left: DataFrame, right: DataFrame, on: list[str], hot: DataFrame) -> DataFrame:
-    """Left join to a side with one row per key, without shuffling rows of hot keys.
+def match(left: DataFrame, right: DataFrame, on: list[str], hot: DataFrame | None) -> DataFrame:
+    """Full outer join to a side with one row per key, without shuffling rows of hot keys.
 
-    The rows of hot keys meet their (at most ``HOT_LIMIT``) partners by broadcast,
-    all others by an ordinary join. Where no key is hot, adaptive execution finds
-    the broadcast empty and drops that branch before it reads anything.
+    ``hot`` names keys of ``left``; None says that it has no hot ones. Their rows meet
+    their (at most ``HOT_LIMIT``) partners by broadcast, all others by an ordinary join.
+    If no key turns out to be hot, adaptive execution finds the broadcast empty and
+    drops that branch before it reads anything.
     """
+    if hot is None:
+        return left.join(right, on, "full_outer")
     few = F.broadcast(hot)
-    cold = left.join(few, on, "left_anti").join(right, on, "left")
+    cold = left.join(few, on, "left_anti").join(
+        right.join(few, on, "left_anti"), on, "full_outer"
+    )
     partners = right.join(few, on, "left_semi")
     hot_rows = left.join(few, on, "left_semi").join(F.broadcast(partners), on, "left")
     return cold.unionByName(hot_rows)

@@ -725,7 +725,7 @@ def batch_prompts(spark, sf_dir):
 
 @query(
     "scd2_parse_responses",
-    f"{BATCHES} select r.bucket, r.batch, r.record_id, 'Reviewed ' || r.c_custkey as explanation "
+    f"{BATCHES} select r.bucket, r.batch, r.record_id::int as record_id, 'Reviewed ' || r.c_custkey as explanation "
     "from records r where r.record_id % 3 <> 0 and r.batch % 4 <> 3",
 )
 def parse_responses(spark, sf_dir):

@@ -116,14 +116,24 @@ def _opened_row(comparison: Comparison, today: Column, prefix=new):
 def _unique_keys(comparison: Comparison, today: Column, closing: list[str]) -> DataFrame:
     # Each compared row becomes one or two output rows on the spot: nothing moves.
     kind = F.col("change_type")
-    before = F.struct(*_target_row(comparison, old, kind.isin(closing), today))
-    after = F.struct(*_opened_row(comparison, today))
-    versions = (
-        F.when(kind == NEW, F.array(after))
-        .when(kind == CHANGED, F.array(before, after))
-        .otherwise(F.array(before))
+    opens = (
+        F.when(kind == NEW, F.array(F.lit(True)))
+        .when(kind == CHANGED, F.array(F.lit(False), F.lit(True)))
+        .otherwise(F.array(F.lit(False)))
+    )
+    before = _target_row(comparison, old, kind.isin(closing), today)
+    return _versions(comparison, comparison.rows, opens, before, _opened_row(comparison, today))
+
+
+def _versions(comparison, rows, opens, before, after) -> DataFrame:
+    """A row per element of ``opens``: the new version where it is true, else the old one."""
+    opened = F.col("__opened")
+    return rows.select("*", F.explode(opens).alias("__opened")).select(
+        *[
+            F.when(opened, a).otherwise(b).alias(c)
+            for c, b, a in zip(output_columns(comparison), before, after, strict=True)
+        ]
     )
-    return comparison.rows.select(F.explode(versions).alias("row")).select("row.*")
 
 
 def _repeated_keys(comparison: Comparison, today: Column, closing: list[str]) -> DataFrame:
@@ -155,21 +165,15 @@ def _repeated_keys(comparison: Comparison, today: Column, closing: list[str]) ->
     # there is none), the new version, so the comparison is worked out only once.
     first = F.row_number().over(Window.partitionBy(*on).orderBy(*on)) == 1
     cold = cold.withColumn("__first", first)
-    before, after = F.struct(*existing), F.struct(
-        *_opened_row(comparison, today, lambda c: f"__last`.`{new(c)}")
-    )
     exists = F.col("__first").isNotNull()
-    opens = F.col("__open") & (~exists | F.col("__first"))
-    versions = (
-        F.when(exists & opens, F.array(before, after))
-        .when(exists, F.array(before))
-        .when(opens, F.array(after))
-    )
-    live = (
-        cold.join(per_key, on, "full_outer")
-        .select(F.explode(versions).alias("row"))
-        .select("row.*")
+    has_new = F.col("__open") & (~exists | F.col("__first"))
+    opens = (
+        F.when(exists & has_new, F.array(F.lit(False), F.lit(True)))
+        .when(exists, F.array(F.lit(False)))
+        .when(has_new, F.array(F.lit(True)))
     )
+    after = _opened_row(comparison, today, lambda c: f"__last`.`{new(c)}")
+    live = _versions(comparison, cold.join(per_key, on, "full_outer"), opens, existing, after)
     if few is None:
         return live
     # Rows of hot keys meet their few partners by broadcast; their new versions are above.

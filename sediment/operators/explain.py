@@ -18,6 +18,9 @@ from sediment.plans.materialize import materialize
 
 TEMPLATE = "template"
 
+# Records that one task numbers, where the caller does not say otherwise.
+BUCKET_ROWS = 10_000
+
 # Prices in dollars per million tokens (prompt, completion).
 PRICES = {"gemini": (0.075, 0.30), "groq": (0.59, 0.79)}
 
@@ -163,11 +166,12 @@ def _chunks_of_copies(records: DataFrame) -> DataFrame:
 
 
 def single_prompts(changes: DataFrame, key: list[str], short: bool = False) -> DataFrame:
-    """One prompt per record, in the layout of ``batch_prompts``."""
+    """One prompt per record, in the layout of ``batch_prompts``; ``batch`` is a hash."""
     schema = changes.schema
+    order = [ROW_ORDER] if ROW_ORDER in changes.columns else []
     return to_explain(changes).select(
         F.lit(0).alias("bucket"),
-        F.monotonically_increasing_id().alias("batch"),
+        F.xxhash64(*[f"`{k}`" for k in key], "change_type", *order).alias("batch"),
         prompt(key, schema, short).alias("prompt"),
         F.array(_record(key, schema, F.lit(0))).alias("records"),
     )
@@ -177,7 +181,7 @@ def batch_prompts(
     changes: DataFrame,
     key: list[str],
     size: int = 50,
-    buckets: int | Column = 1,
+    buckets: int | Column | None = None,
     order_by: list[str] | None = None,
     reply_format: bool = True,
     unique: bool = False,
@@ -186,13 +190,16 @@ def batch_prompts(
 
     Records are numbered within a bucket, so buckets bound what one task sorts: give
     their number (hash of the record) or an expression that keeps each of them small.
-    One bucket numbers the records of a report as a whole. ``unique`` says that no key
+    None counts the records and takes a bucket per ten thousand. One bucket numbers the
+    records of a report as a whole. ``unique`` says that no key
     has two records; otherwise equal records are counted first, so that copies spread
     over the buckets too, at the cost of one more shuffle.
     """
     schema = changes.schema
     records = to_explain(changes)
     order = order_by or ([ROW_ORDER] if ROW_ORDER in changes.columns else key)
+    if buckets is None:
+        buckets = -(-records.count() // BUCKET_ROWS) or 1
     if isinstance(buckets, int):
         spread = [f"`{c}`" for c in dict.fromkeys([*key, "change_type", *order])]
         if not unique and buckets > 1:
@@ -452,7 +459,7 @@ class Explained:
 def explain_changes(
     changes: DataFrame, key: list[str], explain: Callable | None = None, *,
     provider: str = "custom", model: str | None = None, prices: tuple[float, float] | None = None,
-    size: int = 50, buckets: int | Column = 1, unique: bool = False, single: bool = False,
+    size: int = 50, buckets: int | Column | None = None, unique: bool = False, single: bool = False,
     tasks: int | None = None, folder: str | None = None,
 ) -> Explained:
     """Explain all changes by template, or by a user's function with the template behind it.

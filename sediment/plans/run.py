@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from sediment.functions.columns import CHANGE_TYPES, IS_CURRENT
 from sediment.operators.apply import apply_scd2
 from sediment.operators.diff import Comparison, compare, summary
-from sediment.operators.explain import Explained, explain_changes
+from sediment.operators.explain import BUCKET_ROWS, Explained, explain_changes
 from sediment.operators.validate import RULES, Validation, validate_scd2
 from sediment.sources.audit import append_run
 from sediment.sources.ingest import align_empty, load_snapshot
@@ -38,6 +38,7 @@ class RunResult:
     verdicts: dict[str, str]
     passed: bool
     dropped_rows: int
+    rows_inspected: int
     overlaps_found: int
     seconds: float
 
@@ -53,7 +54,6 @@ def run_scd2(
     audit_path: str | None = None,
     explain: Callable | None = None,
     provider: str = "custom",
-    prompts_per_bucket: int = 10_000,
     batch_size: int = 50,
     tasks: int | None = None,
     extras: bool = False,
@@ -96,12 +96,13 @@ def run_scd2(
     overlaps = next(r["violation_count"] for r in verdict_rows if r["rule"] == RULES[3])
 
     to_explain = sum(counts[t] for t in CHANGE_TYPES if t != "unchanged")
-    buckets = max(1, -(-to_explain // prompts_per_bucket))
+    buckets = max(1, -(-to_explain // BUCKET_ROWS))
     explained = explain_changes(
         changes, key, explain, provider=provider, size=batch_size, buckets=buckets,
         unique=comparison.unique, tasks=tasks, folder=folder,
     )
     dropped = target.filter(F.col(IS_CURRENT).isNull()).count()
+    inspected = output.count()
     passed = "fail" not in verdicts.values()
     seconds = time.perf_counter() - start
     if audit_path:
@@ -112,5 +113,5 @@ def run_scd2(
         )
     return RunResult(
         key, tracked, day, comparison, changes, output, validation, explained, counts, verdicts,
-        passed, dropped, overlaps, seconds,
+        passed, dropped, inspected, overlaps, seconds,
     )

@@ -171,7 +171,7 @@ def test_output_and_audit_are_written(run, spark, tmp_path):
     assert (logged.source_name, logged.target_name, logged.deleted, logged.validation_passed) == (
         "source.csv", "target.csv", 1, True,
     )
-    assert result.seconds > 0 and result.overlaps_found == 0 and result.dropped_rows == 0
+    assert result.rows_inspected == 3 and result.seconds > 0 and result.overlaps_found == 0 and result.dropped_rows == 0
 
 
 def test_frames_instead_of_files(spark, snapshot, history):

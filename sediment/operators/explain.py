@@ -206,29 +206,29 @@ def batch_prompts(
             records = _chunks_of_copies(records)
             spread.append("__chunk")
         buckets = F.pmod(F.xxhash64(*spread), F.lit(buckets)) if buckets > 1 else F.lit(0)
-    records = records.select("*", buckets.alias("bucket"))
+    records = records.select("*", buckets.alias("__bucket"))
     if "__chunk" in records.columns:
         records = records.withColumn(
             "__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))
         )
     numbered = records.withColumn(
-        "position",
+        "__position",
         F.row_number().over(
-            Window.partitionBy("bucket").orderBy(
+            Window.partitionBy("__bucket").orderBy(
                 _section(), *[f"`{c}`" for c in order], *[f"`{k}`" for k in key]
             )
         )
         - 1,
     )
-    record_id = F.col("position") % size
+    record_id = F.col("__position") % size
     line = F.concat(
         F.lit("--- Record ID: "), record_id.cast("string"), F.lit(" ---\nBusiness key: "),
         key_label(key, schema), F.lit("\nChange type: "), "change_type", _field_lines(), F.lit("\n"),
     )
     batches = (
         numbered.select(
-            "bucket",
-            F.floor(F.col("position") / size).alias("batch"),
+            F.col("__bucket").alias("bucket"),
+            F.floor(F.col("__position") / size).alias("batch"),
             F.struct(
                 record_id.alias("record_id"),
                 line.alias("line"),

@@ -136,13 +136,13 @@ def _starts(df: DataFrame, key: list[str], by: list[str]) -> DataFrame:
         start.alias(EFFECTIVE_FROM), end.alias(EFFECTIVE_TO), flag.alias(IS_CURRENT),
     )
     per_start = rows.groupBy(*[f"`{c}`" for c in [*by, *key]], EFFECTIVE_FROM).agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.count_if(IS_CURRENT).alias("current_rows"),
-        F.count_if(inverted()).alias("inverted_rows"),
-        F.count_if(_reaches(F.col(EFFECTIVE_FROM))).alias("reaching_rows"),
-        F.count_if(_leaves_gap(F.col(EFFECTIVE_FROM))).alias("gap_rows"),
-        F.count_if(F.col(IS_CURRENT) & F.col(EFFECTIVE_TO).isNotNull()).alias("ended_current_rows"),
-        F.min(EFFECTIVE_TO).alias("first_end"),
+        F.count(F.lit(1)).alias("__rows"),
+        F.count_if(IS_CURRENT).alias("__current_rows"),
+        F.count_if(inverted()).alias("__inverted_rows"),
+        F.count_if(_reaches(F.col(EFFECTIVE_FROM))).alias("__reaching_rows"),
+        F.count_if(_leaves_gap(F.col(EFFECTIVE_FROM))).alias("__gap_rows"),
+        F.count_if(F.col(IS_CURRENT) & F.col(EFFECTIVE_TO).isNotNull()).alias("__ended_current_rows"),
+        F.min(EFFECTIVE_TO).alias("__first_end"),
         F.when(F.max(F.col(EFFECTIVE_TO).isNull()), F.lit(None).cast("date"))
         .otherwise(F.max(EFFECTIVE_TO))
         .alias(EFFECTIVE_TO),
@@ -153,8 +153,8 @@ def _starts(df: DataFrame, key: list[str], by: list[str]) -> DataFrame:
     # Only the first start of a key can be null, so a null next start means: none.
     return per_start.withColumns(
         {
-            "next_start": F.lead(EFFECTIVE_FROM).over(order),
-            "next_end": F.lead("first_end").over(order),
+            "__next_start": F.lead(EFFECTIVE_FROM).over(order),
+            "__next_end": F.lead("__first_end").over(order),
         }
     )
 
@@ -170,16 +170,16 @@ def _counts(df: DataFrame, key: list[str], by: list[str]) -> DataFrame:
 
     def neighbours(total, test):
         inside = F.col(total) - test(F.col(EFFECTIVE_FROM)).cast("long")
-        across = F.col("next_start").isNotNull() & test(F.col("next_start"))
+        across = F.col("__next_start").isNotNull() & test(F.col("__next_start"))
         return F.sum(inside + across.cast("long"))
 
     per_key = starts.groupBy(*[f"`{c}`" for c in [*by, *present]]).agg(
-        F.sum("rows").alias("rows"),
-        F.sum("current_rows").alias("current_rows"),
-        F.sum("inverted_rows").alias("inverted_rows"),
-        F.sum("ended_current_rows").alias("ended_current_rows"),
-        neighbours("reaching_rows", _reaches).alias("overlaps"),
-        neighbours("gap_rows", _leaves_gap).alias("gaps"),
+        F.sum("__rows").alias("__rows"),
+        F.sum("__current_rows").alias("__current_rows"),
+        F.sum("__inverted_rows").alias("__inverted_rows"),
+        F.sum("__ended_current_rows").alias("__ended_current_rows"),
+        neighbours("__reaching_rows", _reaches).alias("__overlaps"),
+        neighbours("__gap_rows", _leaves_gap).alias("__gaps"),
     )
 
     def total(c):
@@ -187,13 +187,13 @@ def _counts(df: DataFrame, key: list[str], by: list[str]) -> DataFrame:
 
     unknown = null_key(present) if present else F.lit(False)
     return per_key.groupBy(*[f"`{b}`" for b in by]).agg(
-        total("rows").alias("rows"),
-        F.count_if(F.col("current_rows") > 1).alias("repeated_keys"),
-        total(F.when(unknown, F.col("rows"))).alias("null_key_rows"),
-        total("inverted_rows").alias("inverted_rows"),
-        total("ended_current_rows").alias("ended_current_rows"),
-        total("overlaps").alias("overlaps"),
-        total("gaps").alias("gaps"),
+        total("__rows").alias("__rows"),
+        F.count_if(F.col("__current_rows") > 1).alias("__repeated_keys"),
+        total(F.when(unknown, F.col("__rows"))).alias("__null_key_rows"),
+        total("__inverted_rows").alias("__inverted_rows"),
+        total("__ended_current_rows").alias("__ended_current_rows"),
+        total("__overlaps").alias("__overlaps"),
+        total("__gaps").alias("__gaps"),
     )
 
 
@@ -246,15 +246,15 @@ def _verdicts(df: DataFrame, key: list[str], extras: bool) -> list[list[Column]]
         else:
             verdicts.append(
                 counted(
-                    2, RULES[1], "repeated_keys",
-                    prefixed("repeated_keys", " business key(s) have multiple current rows."),
+                    2, RULES[1], "__repeated_keys",
+                    prefixed("__repeated_keys", " business key(s) have multiple current rows."),
                     "Each business key has at most one current row.",
                 )
             )
         verdicts.append(
             counted(
-                3, RULES[2], "null_key_rows",
-                prefixed("null_key_rows", " row(s) have null business key values."),
+                3, RULES[2], "__null_key_rows",
+                prefixed("__null_key_rows", " row(s) have null business key values."),
                 "No null business keys found.",
             )
         )
@@ -268,7 +268,7 @@ def _verdicts(df: DataFrame, key: list[str], extras: bool) -> list[list[Column]]
     else:
         verdicts.append(
             counted(
-                4, RULES[3], "overlaps",
+                4, RULES[3], "__overlaps",
                 F.lit("Overlapping date ranges detected."),
                 "No overlapping validity periods detected.",
             )
@@ -280,8 +280,8 @@ def _verdicts(df: DataFrame, key: list[str], extras: bool) -> list[list[Column]]
     else:
         verdicts.append(
             counted(
-                5, RULES[4], "inverted_rows",
-                prefixed("inverted_rows", " row(s) have effective_from > effective_to."),
+                5, RULES[4], "__inverted_rows",
+                prefixed("__inverted_rows", " row(s) have effective_from > effective_to."),
                 "All date ranges are consistent (effective_from <= effective_to).",
             )
         )
@@ -289,15 +289,15 @@ def _verdicts(df: DataFrame, key: list[str], extras: bool) -> list[list[Column]]
     if extras and not missing and not absent:
         verdicts.append(
             counted(
-                6, EXTRA_RULES[0], "ended_current_rows",
-                prefixed("ended_current_rows", " current row(s) have an effective_to."),
+                6, EXTRA_RULES[0], "__ended_current_rows",
+                prefixed("__ended_current_rows", " current row(s) have an effective_to."),
                 "All current rows are open.",
             )
         )
         verdicts.append(
             counted(
-                7, EXTRA_RULES[1], "gaps",
-                prefixed("gaps", " version(s) end on another day than the next one starts."),
+                7, EXTRA_RULES[1], "__gaps",
+                prefixed("__gaps", " version(s) end on another day than the next one starts."),
                 "Every version starts on the day the previous one ends.",
             )
         )
@@ -359,24 +359,24 @@ def _neighbours(df: DataFrame, key: list[str], by: list[str], test) -> DataFrame
     end, start = F.col(EFFECTIVE_TO), F.col(EFFECTIVE_FROM)
     across = (
         _starts(df, key, by)
-        .filter(F.col("next_start").isNotNull() & test(F.col("next_start")))
-        .select(*group, pair(end, F.col("next_start"), F.col("next_end"), F.lit(1)).alias("p"))
+        .filter(F.col("__next_start").isNotNull() & test(F.col("__next_start")))
+        .select(*group, pair(end, F.col("__next_start"), F.col("__next_end"), F.lit(1)).alias("p"))
     )
     order = Window.partitionBy(*group, EFFECTIVE_FROM).orderBy(F.asc_nulls_last(EFFECTIVE_TO))
     inside = (
         df.groupBy(*group, EFFECTIVE_FROM, EFFECTIVE_TO)
-        .agg(F.count(F.lit(1)).alias("copies"))
+        .agg(F.count(F.lit(1)).alias("__copies"))
         .withColumns(
-            {"has_next": F.lead(F.lit(True)).over(order), "next_end": F.lead(EFFECTIVE_TO).over(order)}
+            {"__has_next": F.lead(F.lit(True)).over(order), "__next_end": F.lead(EFFECTIVE_TO).over(order)}
         )
-        .filter(test(start) & (F.col("has_next") | (F.col("copies") > 1)))
+        .filter(test(start) & (F.col("__has_next") | (F.col("__copies") > 1)))
         .select(
             *group,
             F.explode(
                 F.array_compact(
                     F.array(
-                        F.when(F.col("copies") > 1, pair(end, start, end, F.col("copies") - 1)),
-                        F.when(F.col("has_next"), pair(end, start, F.col("next_end"), F.lit(1))),
+                        F.when(F.col("__copies") > 1, pair(end, start, end, F.col("__copies") - 1)),
+                        F.when(F.col("__has_next"), pair(end, start, F.col("__next_end"), F.lit(1))),
                     )
                 )
             ).alias("p"),

@@ -8,11 +8,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sediment.functions.columns import META
 from sediment.functions.text import key_label
 from sediment.operators import explain, metrics, validate, views
 from sediment.operators.apply import apply_scd2
-from sediment.operators.diff import compare, detect_changes, exploded_fields, summary
+from sediment.operators.diff import (
+    compare,
+    current_rows,
+    detect_changes,
+    exploded_fields,
+    summary,
+)
+from sediment.plans.keyed import last_per_key
 from sediment.queries import pairs
 from sediment.queries.pairs import DAY
 from sediment.sources import audit, ingest, schema, sinks
@@ -234,6 +240,44 @@ def applied_keep(spark, sf_dir):
     ).select(*OUTPUT.split(", "))
 
 
+@query(
+    "scd2_apply_removed_column",
+    f"""with {pairs.CUSTOMERS_SQL},
+ch as (
+  select t.*, s.c_custkey as sk, s.c_mktsegment as s_seg,
+    nullif(trim(s.c_mktsegment), '') is distinct from nullif(trim(t.c_mktsegment), '') as differs
+  from tgt t left join src s on s.c_custkey = t.c_custkey where t.is_current)
+select c_custkey, c_mktsegment, effective_from, effective_to, is_current from tgt where not is_current
+union all
+select c_custkey, c_mktsegment, effective_from,
+  case when differs or sk is null then date '{DAY}' end, not (differs or sk is null) from ch
+union all
+select c_custkey, s_seg, date '{DAY}', null, true from ch where differs and sk is not null
+union all
+select c_custkey, c_mktsegment, date '{DAY}', null, true from src s
+where not exists (select 1 from ch where ch.c_custkey = s.c_custkey)""",
+)
+def applied_removed_column(spark, sf_dir):
+    """A snapshot that lost two columns: they and their history leave the table."""
+    source, target = pairs.customers(spark, sf_dir)
+    return apply_scd2(
+        source.select("c_custkey", "c_mktsegment"), target, KEY, processing_date=DAY, unique=True
+    )
+
+
+@query(
+    "scd2_last_current_rows",
+    f"with {pairs.ORDER_LOG_SQL} select o_custkey, o_orderkey, o_orderpriority, o_orderstatus from last_t",
+)
+def last_current_rows(spark, sf_dir):
+    """The last current row of each key, which the snapshot is compared with."""
+    _, target = pairs.order_log(spark, sf_dir)
+    current = current_rows(target).select(
+        "o_custkey", "o_orderkey", "o_orderpriority", "o_orderstatus"
+    )
+    return last_per_key(current, ["o_custkey"], ["o_orderkey"])
+
+
 GROUPS_SQL = """
 ch as (
   select coalesce(s.{a}, t.{a}) as {a}, coalesce(s.{b}, t.{b}) as {b}, s.n_orders as s_n,

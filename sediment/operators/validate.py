@@ -66,7 +66,14 @@ class Validation:
                         copies.alias("copies"),
                     )
                 )
-        return reduce(DataFrame.unionByName, frames)
+        nothing = self.rules.limit(0).select(
+            *self.by,
+            "rule_no",
+            "rule",
+            F.col("message").alias("detail"),
+            F.col("violation_count").alias("copies"),
+        )
+        return reduce(DataFrame.unionByName, frames) if frames else nothing
 
 
 def rule_summary(rules: DataFrame, by: list[str] | None = None) -> DataFrame:

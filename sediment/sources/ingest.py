@@ -98,14 +98,21 @@ def align_empty(source: DataFrame, target: DataFrame) -> tuple[DataFrame, DataFr
     A CSV file with nothing but a header has only text columns; its types say nothing.
     """
 
+    shared = (set(source.columns) & set(target.columns)) - {ROW_ORDER}
+
+    def text_only(df):
+        return all(isinstance(df.schema[c].dataType, T.StringType) for c in shared)
+
     def adopt(empty, other):
-        types = {f.name: f.dataType for f in other.schema}
-        return empty.select(
-            *[F.col(f"`{c}`").try_cast(types.get(c, empty.schema[c].dataType)).alias(c) for c in empty.columns]
-        )
+        types = {f.name: f.dataType for f in other.schema if f.name in shared}
+        columns = [
+            F.col(f"`{f.name}`").try_cast(types[f.name]).alias(f.name)
+            if f.name in types
+            else F.col(f"`{f.name}`")
+            for f in empty.schema
+        ]
+        return empty.select(*columns)
 
-    text_only = lambda df: all(isinstance(df.schema[c].dataType, T.StringType) for c in df.columns if c in shared)
-    shared = set(source.columns) & set(target.columns) - {ROW_ORDER}
     if text_only(source) and source.isEmpty():
         return adopt(source, target), target
     if text_only(target) and target.isEmpty():

@@ -91,6 +91,7 @@ def test_missing_columns(frame):
     assert rows(found.details(), "detail") == [("Missing: effective_to",), ("Missing: is_current",)]
     no_key = frame([("2026-01-01", None, True)], "effective_from date, effective_to date, is_current boolean")
     assert status(no_key)["no_overlapping_dates"] == "warn"
+    assert validate_scd2(no_key, ["id"]).details().isEmpty()
 
 
 def test_warnings_pass(frame):

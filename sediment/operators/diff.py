@@ -94,10 +94,27 @@ class Comparison:
             F.col(f"`{prefix(column)}`"), column, source_type, self.type_of(column)
         )
 
-    def changes(self) -> DataFrame:
-        """The report: key, ``change_type``, ``field_changes``; one row per record."""
-        order = [ROW_ORDER] if ROW_ORDER in self.rows.columns else []
-        return self.rows.select(
+    def of_type(self, kind: str) -> DataFrame:
+        """The rows of one change type.
+
+        Asks for the sides a row is on, so that the full outer join becomes a one-sided
+        or an inner one, and new and deleted rows need no tracked columns.
+        """
+        in_source, in_target = F.col(_IN_SOURCE), F.col(_IN_TARGET)
+        if kind == NEW:
+            return self.rows.filter(in_source & in_target.isNull())
+        if kind == DELETED:
+            return self.rows.filter(in_target & in_source.isNull())
+        return self.rows.filter(in_source & in_target & (F.col("change_type") == kind))
+
+    def changes(self, kind: str | None = None) -> DataFrame:
+        """The report: key, ``change_type``, ``field_changes``; one row per record.
+
+        ``kind`` picks the records of one type.
+        """
+        rows = self.of_type(kind) if kind else self.rows
+        order = [ROW_ORDER] if ROW_ORDER in rows.columns else []
+        return rows.select(
             *[f"`{k}`" for k in self.key], "change_type", self._field_changes(), *order
         )
 

@@ -13,6 +13,7 @@ from sediment.functions.columns import (
     EFFECTIVE_FROM,
     EFFECTIVE_TO,
     IS_CURRENT,
+    NEW,
 )
 from sediment.operators.diff import Comparison, differs, new, old
 
@@ -49,13 +50,17 @@ def changed_wide(comparison: Comparison) -> DataFrame:
             F.when(changed, F.col(f"`{old(c)}`")).alias(f"{c} (old)"),
             F.when(changed, F.col(f"`{new(c)}`")).alias(f"{c} (new)"),
         ]
-    return comparison.rows.filter(F.col("change_type") == CHANGED).select(
+    return comparison.of_type(CHANGED).select(
         *[f"`{k}`" for k in comparison.key], *columns
     )
 
 
-def deleted_keys(changes: DataFrame, key: list[str]) -> DataFrame:
-    return changes.filter(F.col("change_type") == DELETED).select(*[f"`{k}`" for k in key])
+def new_keys(comparison: Comparison) -> DataFrame:
+    return comparison.of_type(NEW).select(*[f"`{k}`" for k in comparison.key])
+
+
+def deleted_keys(comparison: Comparison) -> DataFrame:
+    return comparison.of_type(DELETED).select(*[f"`{k}`" for k in comparison.key])
 
 
 def preview(df: DataFrame, rows: int = PREVIEW_ROWS) -> DataFrame:

@@ -134,7 +134,7 @@ select c_custkey, 'c_nationkey', cast(t_nation as varchar), cast(s_nation as var
 from ch where change_type = 'changed' and nation_differs""",
 )
 def field_changes(spark, sf_dir):
-    return exploded_fields(_changes(spark, sf_dir), KEY)
+    return exploded_fields(_customers(spark, sf_dir).changes("changed"), KEY)
 
 
 @query(
@@ -143,7 +143,7 @@ def field_changes(spark, sf_dir):
     "(select 1 from tgt t where t.is_current and t.c_custkey = s.c_custkey)",
 )
 def new_keys(spark, sf_dir):
-    return _changes(spark, sf_dir).filter("change_type = 'new'").select("c_custkey")
+    return views.new_keys(_customers(spark, sf_dir))
 
 
 @query(
@@ -152,7 +152,7 @@ def new_keys(spark, sf_dir):
     "(select 1 from src s where t.c_custkey = s.c_custkey)",
 )
 def deleted_keys(spark, sf_dir):
-    return views.deleted_keys(_changes(spark, sf_dir), KEY)
+    return views.deleted_keys(_customers(spark, sf_dir))
 
 
 @query(

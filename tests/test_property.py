@@ -7,6 +7,7 @@ import pytest
 from conftest import DAY, rows
 
 import model
+from sediment.functions.columns import CHANGE_TYPES
 from sediment.operators import validate
 from sediment.operators.apply import apply_scd2
 from sediment.operators.diff import compare
@@ -110,6 +111,10 @@ def test_repeated_keys_with_and_without_hot_ones(frame, hot_rows):
         s, t, KEY, TRACKED, order_by=["n"], target_order_by=["n"], hot_rows=hot_rows
     )
     assert not comparison.unique
+    for kind in CHANGE_TYPES:
+        picked = comparison.changes(kind).groupBy("change_type").count().collect()
+        everything = [r for r in expected_changes(source, target) if r[3] == kind]
+        assert [tuple(r) for r in picked] == [(kind, len(everything))]
     assert found_changes(comparison) == expected_changes(source, target)
     assert rows(apply_scd2(comparison, processing_date=DAY)) == expected_output(source, target)
 

@@ -54,7 +54,8 @@ def test_changed_wide(pair):
     wide = views.changed_wide(compare(*pair, ["id"]))
     assert wide.columns == ["id", "name (old)", "name (new)"]
     assert rows(wide) == [(1, "x", "a")]
-    assert rows(views.deleted_keys(compare(*pair, ["id"]).changes(), ["id"])) == [(3,)]
+    assert rows(views.deleted_keys(compare(*pair, ["id"]))) == [(3,)]
+    assert rows(views.new_keys(compare(*pair, ["id"]))) == [(2,)]
 
 
 def test_as_of(pair):

@@ -19,6 +19,7 @@ _LOW = np.uint64((1 << 21) - 1)
 _BLOCK = 1 << 20  # positions that are worked on at once
 #: Members from which a bucket is refined by rows of windows instead of in one task.
 WIDE = 2000
+_TOGETHER = 4_000  # rows of small buckets, on average, that are refined in one task
 
 
 @lru_cache(4)
@@ -134,29 +135,41 @@ def _find_runs(length: int, id_type: pa.DataType):
     return run
 
 
-def _windows_of(data: bytes, length: int, offset: int) -> np.ndarray:
-    """A hash of every window of a run, together with its distance from the anchor."""
-    hashes = _Prefixes(data, _BASES[0]).windows(length)
-    second = _Prefixes(data, _BASES[1]).windows(length)
-    distance = (offset - np.arange(len(hashes))).astype(np.int64).view(np.uint64)
-    return (hashes ^ _mixed(second + distance)).view(np.int64)
+def _windows_of(group: pd.DataFrame, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of every window of every run, row by row, and the number of windows of each row.
+
+    The hash is of the window, its distance from the anchor, and the bucket. Rows are
+    laid end to end and hashed together; windows across two rows are left out.
+    """
+    sizes = group["data"].map(len).to_numpy()
+    counts = sizes - length + 1
+    found, at = [], 0
+    while at < len(sizes):
+        end = at + max(1, int(np.searchsorted(np.cumsum(sizes[at:]), _BLOCK, side="right")))
+        data = b"".join(group["data"].iloc[at:end])
+        each = counts[at:end]
+        inside = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+        start = np.repeat(np.cumsum(sizes[at:end]) - sizes[at:end], each) + inside
+        distance = np.repeat(group["offset"].to_numpy()[at:end], each) - inside
+        bucket = np.repeat(group["bucket"].to_numpy()[at:end], each).view(np.uint64)
+        first, second = (_Prefixes(data, base).of(start, start + length) for base in _BASES)
+        found.append(first ^ _mixed(second + distance.astype(np.int64).view(np.uint64)) ^ _mixed(bucket))
+        at = end
+    return np.concatenate(found).view(np.int64), counts
 
 
 def _refine(length: int):
-    """Within a bucket: the windows of each run that another run has too, as intervals."""
+    """The windows of each run that another run of its bucket has too, as intervals."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        hashes = [
-            _windows_of(d, length, o) for d, o in zip(group["data"], group["offset"], strict=True)
-        ]
-        sizes = np.array([len(x) for x in hashes])
-        together = np.concatenate(hashes)
+        together, sizes = _windows_of(group, length)
         _, place, copies = np.unique(together, return_inverse=True, return_counts=True)
         again = copies[place] > 1
         owner = np.repeat(np.arange(len(sizes)), sizes)
         inside = np.arange(len(together)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        opens = again & np.concatenate(([True], (~again[:-1]) | (owner[1:] != owner[:-1])))
-        closes = again & np.concatenate(((~again[1:]) | (owner[1:] != owner[:-1]), [True]))
+        turn = owner[1:] != owner[:-1]
+        opens = again & np.concatenate(([True], ~again[:-1] | turn))
+        closes = again & np.concatenate((~again[1:] | turn, [True]))
         who = owner[opens]
         base = group["first"].to_numpy()[who]
         return pd.DataFrame(
@@ -174,10 +187,12 @@ def _refine(length: int):
 def _explode_windows(length: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            batch["hashes"] = [
-                _windows_of(d, length, o) for d, o in zip(batch["data"], batch["offset"], strict=True)
-            ]
-            yield batch[["id", "print", "bucket", "first", "hashes"]]
+            for at in range(0, len(batch), 1000):
+                part = batch.iloc[at : at + 1000]
+                hashes, counts = _windows_of(part, length)
+                yield part[["id", "print", "bucket", "first"]].assign(
+                    hashes=np.split(hashes, np.cumsum(counts)[:-1])
+                )
 
     return run
 
@@ -254,10 +269,12 @@ def repeated_spans(
     )
     sizes = spans.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
     sized = kept(sizes.filter(F.col("n") > wide).select("bucket"))
-    # A sizeable fraction of the rows in one task would be the result of refining these by group.
-    narrow = spans.join(sized, "bucket", "left_anti")
-    result = f"{place}, start int, stop int"
-    refined = narrow.groupBy("bucket").applyInPandas(_refine(length), result)
+    # Many small buckets are refined at once, as many rows together as one task takes easily.
+    tasks = max(1, spans.count() // _TOGETHER)
+    narrow = spans.join(sized, "bucket", "left_anti").withColumn(
+        "task", F.pmod(F.xxhash64("bucket"), F.lit(tasks))
+    )
+    refined = narrow.groupBy("task").applyInPandas(_refine(length), f"{place}, start int, stop int")
     windows = (
         spans.join(sized, "bucket", "left_semi")
         .mapInPandas(_explode_windows(length), f"{place}, bucket long, first int, hashes array<long>")

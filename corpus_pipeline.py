@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sediment.llm import line_dedup, packing, repeats, simhash, toxicity
 from sediment.llm.tables import kept, table
@@ -14,13 +15,18 @@ LINE_RATIO, LINE_LEAST = 0.25, 5
 REPEAT = 256
 
 
+def _counted(docs: DataFrame) -> DataFrame:
+    """``n_chars`` brought up to date where ``text`` has become shorter."""
+    return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored 0.5 or more go; weights are learned from labelled documents of the input."""
     return toxicity.drop_toxic(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return line_dedup.drop_lines(docs, ratio=LINE_RATIO, least=LINE_LEAST)
+    return _counted(line_dedup.drop_lines(docs, ratio=LINE_RATIO, least=LINE_LEAST))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +35,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return repeats.drop_repeats(docs, length=REPEAT)
+    return _counted(repeats.drop_repeats(docs, length=REPEAT))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

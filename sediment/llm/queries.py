@@ -131,7 +131,7 @@ parts AS (
          translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
          regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path,
          array_to_string(list_filter(string_split(regexp_extract(rest, '^[^?#]*\?([^#]*)', 1), '&'),
-                                     p -> p <> '' AND NOT starts_with(p, 'utm_')), '&') AS query
+                                     lambda p: p <> '' AND NOT starts_with(p, 'utm_')), '&') AS query
   FROM cut),
 ruled AS (
   SELECT page_id, host, path, {_rule_sql("")} AS rule,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import gc
 from collections.abc import Iterable, Iterator
 from hashlib import sha256
 from itertools import chain
@@ -15,8 +16,9 @@ from pyspark.sql import functions as F
 from sediment.llm.tables import text_or_empty
 
 # Memory of one worker is bounded by forgetting what can be worked out again.
-_PIECES = 400_000
-_MOVES = 400_000
+_PIECES = 300_000
+_MOVES = 600_000
+_TEXTS = 200  # that are encoded together
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -41,15 +43,29 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.tokens = {rank: token for token, rank in ranks.items()}
-        self.beginnings = {t[:i] for t in ranks for i in range(1, len(t))}
+        self.sizes = {rank: len(token) for token, rank in ranks.items()}
         self.halves: dict[int, tuple[int, int] | None] = {}
         self.fits: dict[tuple[int, int], bool] = {}
+        #: The tokens as a tree: next node by (node, byte), token and whether longer ones follow, by node.
+        self.steps: dict[int, int] = {}
+        self.token_at, self.inner = [-1], [True]
+        for token, rank in ranks.items():
+            node = 0
+            for byte in token:
+                self.inner[node] = True
+                after = self.steps.setdefault(node << 8 | byte, len(self.inner))
+                if after == len(self.inner):
+                    self.inner.append(False)
+                    self.token_at.append(-1)
+                node = after
+            self.token_at[node] = rank
         self.forget()
 
     def forget(self) -> None:
         """Drop the compiled states."""
-        #: Of each state: last certain token, bytes since, token that ends at each of them, members.
-        self.states = [(-1, b"", (), (0,))]
+        #: Of each state: last certain token, bytes since, token that ends at each of them,
+        #: members (place, node of the tree).
+        self.states = [(-1, b"", (), ((0, 0),))]
         self.numbers = {(-1, b""): 0}
         self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}
 
@@ -60,20 +76,42 @@ class Transducer:
         whole = self.ranks.get(piece)
         if whole is not None:
             return (whole,)
+        return self.encode_sorted([piece])[0]
+
+    def encode_sorted(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
+        """Ids of pieces in rising order, each read on from the bytes it shares with the one before."""
         if len(self.moves) > _MOVES:
             self.forget()
         if len(self.fits) > _MOVES:
             self.fits.clear()
-        state, out, moves = 0, [], self.moves
-        for byte in piece:
-            move = moves.get(state << 8 | byte)
-            if move is None:
-                move = moves[state << 8 | byte] = self._move(state, byte)
-            state, emitted = move
-            if emitted:
-                out += emitted
-        _, rest, ends, _ = self.states[state]
-        return (*out, *self._way(ends, len(rest)))
+        ranks, moves, states = self.ranks, self.moves, self.states
+        found, before = [], b""
+        path, counts, out = [0], [0], []  # state and number of tokens after each byte; the tokens
+        for piece in pieces:
+            whole = ranks.get(piece)
+            if whole is not None:
+                found.append((whole,))
+                continue
+            at = 0
+            for a, b in zip(piece, before, strict=False):
+                if a != b:
+                    break
+                at += 1
+            del path[at + 1 :], counts[at + 1 :], out[counts[at] :]
+            state = path[at]
+            for byte in piece[at:]:
+                move = moves.get(state << 8 | byte)
+                if move is None:
+                    move = moves[state << 8 | byte] = self._move(state, byte)
+                state, emitted = move
+                if emitted:
+                    out += emitted
+                path.append(state)
+                counts.append(len(out))
+            before = piece
+            _, rest, ends, _ = states[state]
+            found.append((*out, *self._way(ends, len(rest))))
+        return found
 
     def _way(self, ends: tuple[int, ...], place: int) -> list[int]:
         """The tokens on the way to a place."""
@@ -81,40 +119,43 @@ class Transducer:
         while place:
             token = ends[place - 1]
             way.append(token)
-            place -= len(self.tokens[token])
-        return way[::-1]
+            place -= self.sizes[token]
+        way.reverse()
+        return way
 
     def _move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
         last, since, ends, members = self.states[state]
-        since += bytes((byte,))
-        reach, ended = [], None
-        for place in members:
-            begun = since[place:]
-            if begun in self.beginnings:
-                reach.append(place)
-            if ended is None and (rank := self.ranks.get(begun)) is not None:
+        reach, ended = [], -1
+        for place, node in members:
+            node = self.steps.get(node << 8 | byte)
+            if node is None:
+                continue
+            if self.inner[node]:
+                reach.append((place, node))
+            if ended < 0 and (rank := self.token_at[node]) >= 0:
                 left = ends[place - 1] if place else last
                 fits = self.fits.get((left, rank))
                 if fits is None:
                     fits = self.fits[left, rank] = self._stand_together(left, rank)
                 if fits:
                     ended = rank
-        if ended is None:
+        if ended < 0:
             raise ValueError(f"no token begins with the byte {byte}")
+        since += bytes((byte,))
         ends += (ended,)
-        reach.append(len(since))
+        reach.append((len(since), 0))
         emitted: tuple[int, ...] = ()
-        if reach[0]:
-            places = set(reach)
+        if reach[0][0]:
+            places = {place for place, _ in reach}
             while len(places) > 1:  # step back from the furthest until all ways have met
                 place = max(places)
                 places.remove(place)
-                places.add(place - len(self.tokens[ends[place - 1]]))
+                places.add(place - self.sizes[ends[place - 1]])
             cut = places.pop()
             if cut:
                 emitted = tuple(self._way(ends, cut))
                 last, since, ends = emitted[-1], since[cut:], ends[cut:]
-                reach = [place - cut for place in reach]
+                reach = [(place - cut, node) for place, node in reach]
         number = self.numbers.setdefault((last, since), len(self.states))
         if number == len(self.states):
             self.states.append((last, since, ends, tuple(reach)))
@@ -238,7 +279,9 @@ class Codec:
         self.pattern = regex.compile(pattern)
         self.machine = Utf8Machine(self.transducer.tokens)
         self.cut_at_spaces = cut_at_spaces
+        #: What is known of the latest words, and of those before.
         self.known: dict[str, tuple[int, ...]] = {}
+        self.before: dict[str, tuple[int, ...]] = {}
 
     def _encode(self, text: str) -> list[int]:
         out: list[int] = []
@@ -246,21 +289,47 @@ class Codec:
             out += self.transducer.encode(piece.encode())
         return out
 
-    def encode(self, text: str) -> list[int]:
+    def _learn(self, words: set[str]) -> None:
+        """Work out what follows a space; single pieces in rising order."""
+        single = {}
+        for word in words:
+            ids = self.before.get(word)
+            if ids is not None:
+                self.known[word] = ids
+            elif word.isascii() and word.isalpha():
+                single[f" {word}".encode()] = word
+            else:
+                pieces = self.pattern.findall(f" {word}")
+                if len(pieces) == 1:
+                    single[pieces[0].encode()] = word
+                else:
+                    self.known[word] = tuple(chain.from_iterable(
+                        self.transducer.encode(piece.encode()) for piece in pieces
+                    ))
+        pieces = sorted(single)
+        for piece, ids in zip(pieces, self.transducer.encode_sorted(pieces), strict=True):
+            self.known[single[piece]] = ids
+
+    def encode_all(self, texts: list[str]) -> list[list[int]]:
+        """The ids of each text."""
         if not self.cut_at_spaces:
-            return self._encode(text)
-        first, *rest = text.split(" ")
-        if not rest:
-            return self._encode(text)
-        known = self.known
-        if len(known) > _PIECES:
-            known.clear()
-        new = set(rest).difference(known)
-        if first != first.strip() or any(x != x.strip() or not x for x in new):
-            return self._encode(text)
-        for x in new:
-            known[x] = tuple(self._encode(f" {x}"))
-        return self._encode(first) + list(chain.from_iterable(map(known.__getitem__, rest)))
+            return [self._encode(text) for text in texts]
+        if len(self.known) > _PIECES:
+            self.known, self.before = {}, self.known
+        split = [text.split(" ") for text in texts]
+        new = set().union(*(x[1:] for x in split)).difference(self.known)
+        unsafe = {x for x in new if not x or x != x.strip()}
+        self._learn(new - unsafe)
+        known, out = self.known, []
+        for text, (first, *rest) in zip(texts, split, strict=True):
+            if first != first.strip() or (unsafe and not unsafe.isdisjoint(rest)):
+                out.append(self._encode(text))
+            else:
+                out.append(self._encode(first) + list(chain.from_iterable(map(known.__getitem__, rest))))
+        return out
+
+    def encode(self, text: str) -> list[int]:
+        return self.encode_all([text])[0]
 
     def decode(self, ids: list[int]) -> str:
         return self.machine.feed(ids) + self.machine.finish()
@@ -279,6 +348,17 @@ def _codec(ranks, pattern: str, cut_at_spaces: bool) -> Codec:
     return _codecs[key]
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Some texts at a time. Meanwhile nothing looks for reference cycles, of which there are none."""
+    gc.disable()
+    try:
+        for batch in batches:
+            for at in range(0, batch.num_rows, _TEXTS):
+                yield batch.slice(at, _TEXTS)
+    finally:
+        gc.enable()
+
+
 def _shared(df: DataFrame, path: str):
     # A vocabulary file has a fixed size, whatever the number of documents.
     return df.sparkSession.sparkContext.broadcast(read_ranks(path))
@@ -298,8 +378,8 @@ def encode(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(ranks, pattern, cut_at_spaces)
-        for batch in batches:
-            ids = pa.array([codec.encode(t) for t in batch.column(1).to_pylist()], pa.list_(pa.int32()))
+        for batch in _slices(batches):
+            ids = pa.array(codec.encode_all(batch.column(1).to_pylist()), pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=[id_column, "ids"])
 
     rows = docs.select(F.col(f"`{id_column}`").alias(id_column), text_or_empty(text_column).alias("text"))
@@ -344,10 +424,9 @@ def round_trip(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(ranks, pattern, cut_at_spaces)
         decimals = _Decimals()
-        for batch in batches:
+        for batch in _slices(batches):
             counts, digests, decoded = [], [], []
-            for text in batch.column(1).to_pylist():
-                ids = codec.encode(text)
+            for ids in codec.encode_all(batch.column(1).to_pylist()):
                 counts.append(len(ids))
                 digests.append(sha256(",".join(map(decimals.__getitem__, ids)).encode()).hexdigest())
                 decoded.append(sha256(codec.decode(ids).encode()).hexdigest())

@@ -36,7 +36,7 @@ class Settings:
     l1: float = 12.0
     l2: float = 0.0
     epochs: int = 3
-    positive: float = 6.0
+    positive: float = 4.0
 
 
 def word_hashes(data: bytes) -> np.ndarray:
@@ -93,23 +93,24 @@ def features(text: str, settings: Settings) -> np.ndarray:
 
 
 class Ftrl:
-    """Per-coordinate FTRL-proximal over binary features; the last coordinate is the bias."""
+    """Per-coordinate FTRL-proximal over binary features.
 
-    def __init__(self, settings: Settings):
-        self.settings = settings
-        size = (1 << settings.bits) + 1
-        self.z, self.n = np.zeros(size), np.zeros(size)
+    ``bias`` is the log-odds of the labels before anything is known of a text. It is not
+    learned: a text without any word has the share of toxic labels as its score.
+    """
+
+    def __init__(self, settings: Settings, bias: float):
+        self.settings, self.bias = settings, bias
+        self.z, self.n = np.zeros(1 << settings.bits), np.zeros(1 << settings.bits)
 
     def weights(self, at: np.ndarray) -> np.ndarray:
         s, z = self.settings, self.z[at]
         rate = (s.beta + np.sqrt(self.n[at])) / s.alpha + s.l2
-        shrunk = np.sign(z) * np.maximum(np.abs(z) - np.where(at == len(self.z) - 1, 0.0, s.l1), 0.0)
-        return -shrunk / rate
+        return -np.sign(z) * np.maximum(np.abs(z) - s.l1, 0.0) / rate
 
     def learn(self, at: np.ndarray, label: float) -> None:
-        at = np.append(at, len(self.z) - 1)
         w = self.weights(at)
-        slope = 1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - label
+        slope = 1 / (1 + np.exp(-np.clip(w.sum() + self.bias, -35, 35))) - label
         slope *= self.settings.positive if label else 1.0
         n = self.n[at]
         step = (np.sqrt(n + slope * slope) - np.sqrt(n)) / self.settings.alpha
@@ -173,20 +174,20 @@ def fit(
 
     def learn(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["turn", "doc_id"], kind="stable")
-        model = Ftrl(settings)
+        toxic = int((group["label"] > 0).sum())
+        model = Ftrl(settings, float(np.log((toxic + 1) / (len(group) - toxic + 1))))
         for _ in range(settings.epochs):
             for at, label in zip(group["at"], group["label"], strict=True):
                 model.learn(at, float(label > 0))
-        every = np.arange(len(model.z))
-        w = model.weights(every)
+        w = model.weights(np.arange(len(model.z)))
         stay = np.flatnonzero(w)
-        return pd.DataFrame({"at": stay, "value": w[stay]})
+        return pd.DataFrame({"at": np.append(stay, -1), "value": np.append(w[stay], model.bias)})
 
     found = made.groupBy("model").applyInPandas(learn, "at long, value double").toPandas()
     if found.empty:
         return Weights(settings, np.empty(0, np.int64), np.empty(0), -35.0)
     at, value = found["at"].to_numpy(), found["value"].to_numpy()
-    bias = at == 1 << settings.bits
+    bias = at < 0
     return Weights(settings, at[~bias], value[~bias], float(value[bias].sum()))
 
 

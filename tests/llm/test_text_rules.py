@@ -1,0 +1,257 @@
+"""Notices, quality, toxicity, tokens, lines, packing and URL rules."""
+
+import hashlib
+import itertools
+import random
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+import tiktoken
+
+from sediment.llm import bpe, license_scan, line_dedup, packing, quality, toxicity, url_filter
+
+RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
+DOCS = "doc_id long, text string, source string, lang string, score double, n_words string, label string"
+
+
+def _docs(spark, rows):
+    return spark.createDataFrame([(*r, *(None,) * (4 - len(r)), 1.0, "x", "y") for r in rows], DOCS)
+
+
+@pytest.fixture(scope="module")
+def codec():
+    return bpe.Codec(bpe.read_ranks(RANKS), public_tokenizers.PATTERN, True)
+
+
+@pytest.fixture(scope="module")
+def library():
+    return tiktoken.Encoding(
+        "ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(RANKS), special_tokens={}
+    )
+
+
+def _odd_texts(n):
+    rng = random.Random(n)
+    parts = ["a", "th", "ing", " ", "  ", "\n", " \n", "é", "ß", "漢", "1", "23", "'s", "́", "😀", "\x1c", "\x85", " ", "--"]
+    return ["".join(rng.choice(parts) for _ in range(rng.randrange(25))) for _ in range(n)]
+
+
+def test_ids_equal_the_library(codec, library):
+    texts = ["", " ", "word", *_odd_texts(2000), "x" * 3000, "the " * 500]
+    ids = codec.encode_all(texts)
+    assert ids == [library.encode_ordinary(t) for t in texts]
+    assert [codec.decode(i) for i in ids] == texts
+
+
+def test_forgetting_changes_nothing(library, monkeypatch):
+    monkeypatch.setattr(bpe, "_MOVES", 50)
+    monkeypatch.setattr(bpe, "_PIECES", 20)
+    small = bpe.Codec(bpe.read_ranks(RANKS), public_tokenizers.PATTERN, True)
+    for text in _odd_texts(300):
+        assert small.encode(text) == library.encode_ordinary(text)
+
+
+def test_streaming_decoder_agrees_with_python():
+    rng = random.Random(1)
+    machine = bpe.Utf8Machine({i: bytes((i,)) for i in range(256)})
+    for _ in range(300):
+        text = "".join(chr(rng.choice([65, 233, 0x6F22, 0x1F600])) for _ in range(6))
+        data = text.encode()
+        cut = rng.randrange(len(data))
+        assert machine.feed(data[:cut]) + machine.feed(data[cut:]) + machine.finish() == text
+    assert machine.feed(b"\xe2\x28\xff") + machine.finish() == "�(�"
+
+
+def test_round_trip_of_rows(spark, library):
+    rows = [(1, None), (2, ""), (2, ""), (None, "Ünï code, twice  spaced\n"), (4, "a" * 50_000)]
+    got = bpe.round_trip(_docs(spark, rows), RANKS, public_tokenizers.PATTERN, cut_at_spaces=True).collect()
+    expected = []
+    for i, text in rows:
+        ids = library.encode_ordinary(text or "")
+        digest = hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+        expected.append((i, len(ids), digest, hashlib.sha256((text or "").encode()).hexdigest()))
+    assert sorted(map(tuple, got), key=repr) == sorted(expected, key=repr)
+    back = bpe.decode(bpe.encode(_docs(spark, rows), RANKS, public_tokenizers.PATTERN), RANKS)
+    assert sorted((r.text for r in back.collect())) == sorted(t or "" for _, t in rows)
+
+
+def test_notices(spark):
+    rows = [
+        (1, "All RIGHTS, reserved. x CC-BY all rights reserved"),
+        (2, "licensed under the apache licence, and the genral public license"),
+        (3, None), (4, ""), (5, "small rights reserved ccby"), (6, "cc by " * 2000),
+    ]
+    got = {r.doc_id: r for r in license_scan.scan_notices(_docs(spark, rows)).collect()}
+    assert [(m.label, m.first_word, m.base, m.edits) for m in got[1].matches] == [
+        ("reserved", 0, True, 0), ("cc-by", 4, True, 0), ("reserved", 6, True, 0),
+    ]
+    assert [(m.label, m.first_word, m.n_words, m.base, m.edits) for m in got[2].matches] == [
+        ("apache", 0, 5, False, 1), ("gpl", 7, 3, False, 1),
+    ]
+    assert got[3].n_words == got[4].n_words == 0 and not got[3].matches
+    assert not [m for m in got[5].matches if m.base]
+    assert len(got[6].matches) == 2000
+
+
+def test_seeds_lose_no_match():
+    """Every phrase with random edits up to its bound is found where it stands."""
+    rng = random.Random(8)
+    scanner = license_scan.Scanner(license_scan.notices())
+    for i, notice in enumerate(scanner.known):
+        for _ in range(30):
+            letters = list(notice.phrase)
+            for _ in range(rng.randrange(notice.edits + 1)):
+                at = rng.randrange(1, len(letters) - 1)
+                letters[at : at + 1] = rng.choice([[], ["q"], [letters[at], "q"]])
+            found = scanner.scan(f" word {''.join(letters)} word ")
+            assert i in [x[0] for x in found], "".join(letters)
+
+
+def test_quality(spark):
+    long = "The quick brown fox jumps over the lazy dog and runs away from it at once."
+    rows = [
+        (1, long, "s", "en"), (2, None, "s", None), (3, "", "s", "en"), (4, "a b c d e " * 9, "s", "en"),
+        (5, "x\n\nx\n \ny # $\n", "s", "xx"), (6, "一二 " * 12, "s", None), (1, long, "s", "en"),
+        (7, "ᠠ" * 400 + " " + long, "s", "en"),
+    ]
+    got = quality.judge_quality(_docs(spark, rows), PIECES, RANKS, public_tokenizers.PATTERN).collect()
+    by_id = {r.doc_id: r for r in got}
+    assert len(got) == len(rows) and by_id[1].kept and by_id[1].band == "en"
+    assert (by_id[2].n_words, by_id[2].base_failed, by_id[2].chars_per_token) == (0, True, 0.0)
+    assert (by_id[4].n_repeat_words, by_id[4].kept) == (45, False)
+    assert (by_id[5].n_dup_lines, by_id[5].n_symbols, by_id[5].word_chars) == (1, 2, 5)
+    assert by_id[6].band == "cjk"
+    assert "fallback_share" in by_id[7].reasons and not by_id[7].kept
+
+
+def test_repeated_words_against_brute_force():
+    rng = random.Random(6)
+    for n in [0, 4, 5, 6, *range(10, 60)]:
+        words = [rng.choice([b"a", b"b"]) for _ in range(n)]
+        windows = [tuple(words[i : i + 5]) for i in range(n - 4)]
+        covered = {j for i, w in enumerate(windows) if windows.count(w) > 1 for j in range(i, i + 5)}
+        assert quality.repeated_words(words) == len(covered)
+
+
+def test_features_are_the_grams_of_the_text(monkeypatch):
+    settings = toxicity.Settings()
+    text = "One two, three ONE two é " * 3
+    whole = toxicity.features(text, settings)
+    words = re.findall(r"[0-9a-z\x80-\U0010ffff]+", text.lower())
+    grams = {(w,) for w in words} | {(a, b) for a, b in itertools.pairwise(words)}
+    grams |= {(a, None, b) for a, b in zip(words, words[2:], strict=False)}
+    assert len(whole) == len(grams)
+    monkeypatch.setattr(toxicity, "_BLOCK", 10)
+    assert np.array_equal(toxicity.features(text, settings), whole)
+    assert not len(toxicity.features("", settings)) and not len(toxicity.features(" ,.", settings))
+
+
+def test_toxicity_learns_from_rows_that_are_not_held_out(spark):
+    rng = random.Random(9)
+    rows, labels = [], []
+    for i in range(600):
+        toxic = i % 5 == 0
+        words = [rng.choice("abcdefghij") + rng.choice("klmnop") for _ in range(40)]
+        if toxic:
+            words[rng.randrange(40)] = "nasty"
+        rows.append((i, " ".join(words)))
+        held_out = zlib.crc32(str(i).encode()) % 5 == 0
+        labels.append((i, 1 - toxic if held_out else int(toxic)))  # held-out labels are wrong, and never seen
+    labels += [(1, None), (None, 1), (1, 0)]
+    known = spark.createDataFrame(labels, "doc_id long, toxic int")
+    docs = _docs(spark, [*rows, (None, None), (700, "")])
+    weights = toxicity.fit(docs, known, settings=toxicity.Settings(l1=2.0))
+    scored = {r.doc_id: r for r in toxicity.toxicity_scores(docs, weights).collect()}
+    assert all(scored[i].held_out == (zlib.crc32(str(i).encode()) % 5 == 0) for i in range(600))
+    assert sum(scored[i].predicted == (i % 5 == 0) for i in range(600)) > 590
+    assert len(weights.at) < 5000 and 0 <= scored[700].score < 0.5 and len(scored) == 602
+    assert toxicity.drop_toxic(docs, weights).columns == docs.columns
+    nothing = toxicity.fit(docs, known.limit(0))
+    assert toxicity.toxicity_scores(docs, nothing).agg({"score": "max"}).first()[0] < 0.01
+
+
+def test_lines_of_a_host(spark):
+    rows = [(i, f"own {i}\n menu \n\n  ", "a") for i in range(10)]
+    rows += [(20 + i, "menu" if i < 2 else "text", "b") for i in range(10)]
+    rows += [(40 + i, "menu\nmenu", None) for i in range(5)] + [(60, None, "a"), (61, "", "a"), (61, "", "a")]
+    got = {r.doc_id: r for r in line_dedup.strip_lines(_docs(spark, rows), ratio=0.5, least=5).collect()}
+    assert (got[0].n_lines, got[0].n_removed, got[0].text) == (4, 1, "own 0\n\n  ")
+    assert (got[20].n_removed, got[22].n_removed) == (0, 1)
+    assert (got[40].n_removed, got[40].text) == (2, "")
+    assert (got[60].n_lines, got[60].n_removed, got[60].text) == (1, 0, "")
+    docs = _docs(spark, rows)
+    kept = line_dedup.drop_lines(docs, ratio=0.5)
+    assert kept.columns == docs.columns and kept.count() == len(rows)
+    assert kept.filter("doc_id = 60").first().text is None
+    assert line_dedup.strip_lines(docs.limit(0)).count() == 0
+
+
+def test_boundaries_against_brute_force():
+    rng = random.Random(7)
+    for _ in range(60):
+        lengths = sorted(rng.sample(range(30), rng.randrange(1, 8)))
+        counts = [rng.randrange(1, 5) for _ in lengths]
+        buckets = rng.randrange(1, 5)
+
+        def padding(bounds, lengths=lengths, counts=counts):
+            return sum(c * (min(b for b in bounds if b >= n) - n) for n, c in zip(lengths, counts, strict=True))
+
+        best = min(
+            padding([*some, lengths[-1]])
+            for k in range(buckets)
+            for some in itertools.combinations(lengths[:-1], min(k, len(lengths) - 1))
+        )
+        found = packing.best_boundaries(lengths, counts, buckets)
+        assert len(found) <= buckets and padding(found) == best
+
+
+def test_packing(spark):
+    rows = [(i, "w " * (i % 13)) for i in range(50)] + [(50, "w " * 45), (51, None), (7, "w " * 7), (None, "w")]
+    out = packing.pack(_docs(spark, rows), longest=20, buckets=3, budget=40).collect()
+    total = sum((t or "").count("w") for _, t in rows)
+    assert sum(r.n_tokens for r in out) == total
+    assert sorted(r.n_tokens for r in out if r.doc_id == 50) == [5, 20, 20]
+    assert all(r.n_tokens <= r.bucket for r in out) and len({r.bucket for r in out}) == 3
+    assert len({(r.bucket, r.batch, r.slot) for r in out}) == len(out)
+    for bucket in {r.bucket for r in out}:
+        batches = [r.batch for r in out if r.bucket == bucket]
+        fit = 40 // max(bucket, 1)
+        assert all(batches.count(b) == fit for b in range(max(batches)))
+    assert packing.pack(_docs(spark, rows).limit(0)).count() == 0
+
+
+RULES = [
+    url_filter.Rule("org/", "allow"), url_filter.Rule("a.org/x", "block"), url_filter.Rule("bad.com/", "block"),
+]
+
+
+def test_urls(spark):
+    link = '<html><head><LINK href="{}" rel=canonical></head>'
+    rows = [
+        (1, "https://a.org/xy", None), (2, "http://B.ORG/?q", None), (3, "http://borg/", None), (4, None, "<p>"),
+        (5, "no scheme", None), (6, "http://www.bad.com/q?utm_a=1#f", None),
+        (7, "http://mirror.net/1", link.format("https://bad.com/q")),
+        (8, "http://mirror.net/2", link.format("/1")), (8, "http://mirror.net/2", link.format("/1")),
+        (9, "http://other.net/", link.format("http://bad.com/r")),
+        (10, "https://other.net", link.format("//c.org/")),
+        (11, "http://late.net/a", '<meta http-equiv="refresh" content="0; URL=http://bad.com/z">'),
+        (12, "http://moved.net/", ""), (13, "http://plain.net/", "canonical"),
+    ]
+    pages = spark.createDataFrame(
+        [(*r, "x", "y") for r in rows], "page_id long, url string, html string, alias string, rule string"
+    )
+    moves = spark.createDataFrame([("http://moved.net", "http://bad.com/w")], "from_url string, to_url string")
+    got = {r.page_id: r for r in url_filter.judge_urls(pages, RULES, redirects=moves).collect()}
+    verdicts = {i: r.verdict for i, r in got.items()}
+    assert verdicts == {
+        1: "block", 2: "allow", 3: "allow", 4: "allow", 5: "allow", 6: "block", 7: "block", 8: "block",
+        9: "allow", 10: "allow", 11: "block", 12: "block", 13: "allow",
+    }
+    assert (got[1].rule, got[2].rule, got[3].rule) == ("a.org/x", "org/", None)
+    assert (got[2].host, got[2].path, got[4].host, got[5].path) == ("b.org", "/", "", "")
+    assert got[7].alias == got[8].alias == got[6].alias
+    assert url_filter.judge_urls(pages.limit(0), RULES).count() == 0

@@ -16,7 +16,7 @@ from sediment.llm.tables import kept, text_or_empty
 
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)  # odd, so that powers can be undone modulo 2^64
 _LOW = np.uint64((1 << 21) - 1)
-_BLOCK = 1 << 20  # positions that are worked on at once
+_BLOCK = 1 << 18  # positions that are worked on at once
 #: Members from which a bucket is refined by rows of windows instead of in one task.
 WIDE = 2000
 _TOGETHER = 4_000  # rows of small buckets, on average, that are refined in one task

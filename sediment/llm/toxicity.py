@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from sediment.llm.tables import text_or_empty
 
 #: Bound of the sample that weights are fitted on, in labelled rows.
-SAMPLE = 20_000
-_BLOCK = 1 << 20
+SAMPLE = 8_000
+_BLOCK = 1 << 18
 # Bytes that belong to words: digits, a-z, and all of the characters beyond ASCII.
 _WORD = np.zeros(256, bool)
 _WORD[48:58] = _WORD[97:123] = _WORD[128:] = True

@@ -18,7 +18,7 @@ from sediment.llm.tables import text_or_empty
 
 _WINDOW = 5
 _SYMBOLS = b"#*$%&|<>"
-_WORDS = 300_000  # words of which a worker remembers the tokens
+_WORDS = 200_000  # words of which a worker remembers the tokens, twice
 
 
 @dataclass(frozen=True)
@@ -75,17 +75,23 @@ def repeated_words(words: list[bytes], window: int = _WINDOW) -> int:
     count = len(words) - window + 1
     if count < 2:
         return 0
-    numbers: dict[bytes, int] = {}
-    ids = np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), np.int64, len(words))
+    numbers = {word: i for i, word in enumerate(dict.fromkeys(words))}
+    if len(numbers) == len(words):
+        return 0
+    ids = np.array(list(map(numbers.__getitem__, words)), np.int64)
     # Windows are numbered exactly, word by word: pairs of (number so far, next word).
     places = ids[:count]
     for k in range(1, window):
         _, places = np.unique(places * len(numbers) + ids[k : count + k], return_inverse=True)
+        if places.max() + 1 == count:  # already no two are alike
+            return 0
     again = np.bincount(places)[places] > 1
-    covered = np.zeros(len(words) + 1, np.int64)
-    np.add.at(covered, np.flatnonzero(again), 1)
-    np.add.at(covered, np.flatnonzero(again) + window, -1)
-    return int((np.cumsum(covered) > 0).sum())
+    if not again.any():
+        return 0
+    covered = np.zeros(len(words), bool)
+    for k in range(window):
+        covered[k : count + k] |= again
+    return int(covered.sum())
 
 
 def repeated_lines(data: bytes) -> int:
@@ -106,29 +112,39 @@ class Fertility:
         self.pieces = sentencepiece.SentencePieceProcessor(model_proto=piece_model)
         self.fallback = np.array([self.pieces.is_byte(i) for i in range(self.pieces.get_piece_size())])
         self.bytes = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.known: dict[bytes, tuple[int, ...]] = {}
+        #: Piece ids, and the number of byte-level tokens, of the latest words and those before.
+        self.known: tuple[dict, dict] = ({}, {})
+        self.before: tuple[dict, dict] = ({}, {})
+
+    def _learn(self, words: set[bytes]) -> None:
+        ids, counts = self.known
+        old_ids, old_counts = self.before
+        new = []
+        for word in words:
+            if word in old_ids:
+                ids[word], counts[word] = old_ids[word], old_counts[word]
+            else:
+                new.append(word)
+        texts = [w.decode() for w in new]
+        for word, text, pieces in zip(new, texts, self.pieces.encode(texts, num_threads=1), strict=True):
+            ids[word] = tuple(pieces)
+            counts[word] = len(self.bytes.encode_ordinary(f" {text}"))
 
     def of(self, words: list[bytes]) -> tuple[int, int, int, float]:
         """Piece tokens, those of them that are single bytes, byte-level tokens, entropy in bits."""
-        known = self.known
-        if len(known) > _WORDS:
-            known.clear()
-        new = list(set(words).difference(known))
-        if new:
-            texts = [w.decode() for w in new]
-            ids = self.pieces.encode(texts, num_threads=1)
-            for word, text, pieces in zip(new, texts, ids, strict=True):
-                known[word] = (len(self.bytes.encode_ordinary(f" {text}")), *pieces)
+        if len(self.known[0]) > _WORDS:
+            self.known, self.before = ({}, {}), self.known
+        ids, counts = self.known
+        self._learn(set(words).difference(ids))
         if not words:
             return 0, 0, 0, 0.0
-        found = list(map(known.__getitem__, words))
-        second = sum(x[0] for x in found)
-        ids = np.fromiter(chain.from_iterable(x[1:] for x in found), np.int64)
-        if not len(ids):
+        second = sum(map(counts.__getitem__, words))
+        tokens = np.array(list(chain.from_iterable(map(ids.__getitem__, words))), np.int64)
+        if not len(tokens):
             return 0, 0, second, 0.0
-        counts = np.bincount(ids, minlength=1)
-        shares = counts[counts > 0] / len(ids)
-        return len(ids), int(self.fallback[ids].sum()), second, float(-(shares * np.log2(shares)).sum())
+        _, times = np.unique(tokens, return_counts=True)
+        shares = times / len(tokens)
+        return len(tokens), int(self.fallback[tokens].sum()), second, float(-(shares * np.log2(shares)).sum())
 
 
 _models: dict[int, Fertility] = {}

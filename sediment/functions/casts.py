@@ -23,17 +23,25 @@ def common_type(source: T.DataType | None, target: T.DataType | None) -> T.DataT
     return target
 
 
-def checked_cast(col: Column, name: str, source: T.DataType, target: T.DataType) -> Column:
-    """Cast that stops the job with a clear message where a value does not fit."""
+def checked_cast(
+    col: Column, name: str, source: T.DataType, target: T.DataType, side: str = "snapshot"
+) -> Column:
+    """Cast that stops the job with a clear message where a value does not fit.
+
+    A value other than text fits if casting it back gives the same value again, so
+    that digits or times of day are never lost silently. Text fits if it can be read.
+    """
     if source == target:
         return col
     cast = col.try_cast(target)
     message = F.concat(
         F.lit(f"Column '{name}': value '"),
         col.cast("string"),
-        F.lit(f"' of the snapshot does not fit the history type {target.simpleString()}."),
+        F.lit(f"' of the {side} does not fit the history type {target.simpleString()}."),
     )
     bad = col.isNotNull() & cast.isNull()
     if isinstance(source, T.StringType):
         bad = bad & (F.trim(col) != "")
+    elif not isinstance(target, T.StringType):
+        bad = col.isNotNull() & ~cast.try_cast(source).eqNullSafe(col)
     return F.when(bad, F.raise_error(message).cast(target)).otherwise(cast)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sediment.functions.columns import (
@@ -18,7 +18,7 @@ from sediment.functions.columns import (
     UNCHANGED,
 )
 from sediment.operators.diff import Comparison, compare, current_rows, new, old
-from sediment.plans.keyed import hot_keys, key_counts, match_key
+from sediment.plans.keyed import match_key
 
 
 def output_columns(comparison: Comparison) -> list[str]:
@@ -154,29 +154,14 @@ def _repeated_keys(comparison: Comparison, today: Column, closing: list[str]) ->
     key_types = [comparison.type_of(k) for k in comparison.key]
     keys = [F.col(f"`{k}`").cast(t) for k, t in zip(comparison.key, key_types, strict=True)]
     current = current_rows(target).select("*", *match_key(keys, key_types))
-    cold, few = current, None
-    if comparison.hot_rows is not None:
-        few = F.broadcast(hot_keys(key_counts(current, on), on, comparison.hot_rows))
-        cold = current.join(few, on, "left_anti")
     closes = ~F.coalesce(F.col("__keep"), F.lit(DELETED not in closing))
     existing = _target_row(comparison, lambda c: c, closes, today)
-
-    # One join gives both the existing rows and, on the first of them (or alone, if
-    # there is none), the new version, so the comparison is worked out only once.
-    first = F.row_number().over(Window.partitionBy(*on).orderBy(*on)) == 1
-    cold = cold.withColumn("__first", first)
-    exists = F.col("__first").isNotNull()
-    has_new = F.col("__open") & (~exists | F.col("__first"))
-    opens = (
-        F.when(exists & has_new, F.array(F.lit(False), F.lit(True)))
-        .when(exists, F.array(F.lit(False)))
-        .when(has_new, F.array(F.lit(True)))
-    )
     after = _opened_row(comparison, today, lambda c: f"__last`.`{new(c)}")
-    live = _versions(comparison, cold.join(per_key, on, "full_outer"), opens, existing, after)
-    if few is None:
-        return live
-    # Rows of hot keys meet their few partners by broadcast; their new versions are above.
-    partners = F.broadcast(per_key.join(few, on, "left_semi").select(*on, "__keep"))
-    hot = current.join(few, on, "left_semi").join(partners, on, "left").select(*existing)
-    return live.unionByName(hot)
+    columns = output_columns(comparison)
+    # Existing rows are on the left, so a hot key's can be split; new versions come
+    # from the flags and last row of each key, which both branches read.
+    live = current.join(per_key.select(*on, "__keep"), on, "left").select(
+        *[e.alias(c) for e, c in zip(existing, columns, strict=True)]
+    )
+    opened = per_key.filter("__open").select(*[a.alias(c) for a, c in zip(after, columns, strict=True)])
+    return live.unionByName(opened)

@@ -22,9 +22,6 @@ from sediment.functions.columns import (
 )
 from sediment.functions.text import display, same_value
 from sediment.plans.keyed import (
-    HOT_ROWS,
-    hot_keys,
-    key_counts,
     last_per_key,
     match,
     match_columns,
@@ -65,7 +62,6 @@ class Comparison:
     ``rows`` has one row per change record: the key, ``change_type``, a flag per
     tracked column, the values of both sides and the match columns of the key. With
     ``unique`` no key repeats on either side, so every key is on exactly one row.
-    ``hot_rows`` is None if no key of the history table is known to be that hot.
     """
 
     rows: DataFrame
@@ -75,7 +71,6 @@ class Comparison:
     tracked: list[str]
     kept: list[str]
     unique: bool
-    hot_rows: int | None
 
     @property
     def on(self) -> list[str]:
@@ -177,7 +172,6 @@ def compare(
     order_by: list[str] | None = None,
     target_order_by: list[str] | None = None,
     removed_columns: str = "drop",
-    hot_rows: int = HOT_ROWS,
 ) -> Comparison:
     """Match a snapshot with the current rows of a history table, null keys included.
 
@@ -185,7 +179,7 @@ def compare(
     False that some may; None finds out with a job over the key columns alone.
     With repeated keys each snapshot row is compared with the last current row of
     its key, "last" being by ``order_by``/``target_order_by`` or by position in the
-    input files; ``duplicates='error'`` rejects them instead.
+    input files; ``duplicates='error'`` rejects them instead, whatever was promised.
     ``removed_columns='keep'`` carries columns that only the history table has.
     """
     if duplicates not in ("last", "error"):
@@ -205,7 +199,10 @@ def compare(
         checked_cast(F.col(f"`{k}`"), k, source_types[k], t)
         for k, t in zip(key, key_types, strict=True)
     ]
-    target_keys = [F.col(f"`{k}`").cast(t) for k, t in zip(key, key_types, strict=True)]
+    target_keys = [
+        checked_cast(F.col(f"`{k}`"), k, target_types[k], t, "history table")
+        for k, t in zip(key, key_types, strict=True)
+    ]
     current = current_rows(target)
     left = source.select(
         *match_key(source_keys, key_types),
@@ -219,11 +216,9 @@ def compare(
         *[_column(target, c).alias(old(c)) for c in [*key, *tracked, *kept, *META]],
     )
 
-    hot_source = hot_target = True  # until counted otherwise
-    if unique is None:
+    if unique is None or duplicates == "error":
         most_source, most_target = rows_per_key(left, right, on)
         unique = most_source <= 1 and most_target <= 1
-        hot_source, hot_target = most_source > hot_rows, most_target > hot_rows
         if most_source > 1 and duplicates == "error":
             raise ValueError("The snapshot has duplicate business keys.")
         if most_target > 1 and duplicates == "error":
@@ -240,15 +235,13 @@ def compare(
             *_order(target, target_order_by),
         )
         last = last_per_key(ordered, on, [_ORDER]).drop(_ORDER)
-        hot = hot_keys(key_counts(left, on), on, hot_rows) if hot_source else None
-        rows = match(left, last, on, hot)
+        rows = match(left, last, on)
 
     labelled = _label(rows, key, tracked, source_types, target_types, key_types)
     if _ORDER in labelled.columns:
         labelled = labelled.withColumn(ROW_ORDER, F.col(_ORDER))
     return Comparison(
-        labelled, source, target, list(key), list(tracked), kept, bool(unique),
-        hot_rows if hot_target else None,
+        labelled, source, target, list(key), list(tracked), kept, bool(unique)
     )
 
 

@@ -33,7 +33,9 @@ def by_status(df: DataFrame, status: str = ALL, sort: str | None = None) -> Data
             df = df.filter(F.col(IS_CURRENT))
         elif status == HISTORICAL_ONLY:
             df = df.filter(~F.col(IS_CURRENT))
-    return df.orderBy(f"`{sort}`") if sort in df.columns else df
+    if sort is not None and sort not in df.columns:
+        raise ValueError(f"Unknown column to sort by: {sort}")
+    return df if sort is None else df.orderBy(f"`{sort}`")
 
 
 def ordered(df: DataFrame, key: list[str]) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Joining and reducing by business key, also when keys are null, repeated or hot."""
+"""Joining and reducing by business key, also when keys are null or repeated."""
 
 from __future__ import annotations
 
@@ -8,11 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# A key with more rows than HOT_ROWS is kept out of the shuffle. At most HOT_LIMIT
-# keys are (the largest ones), so what is broadcast for them has that many rows.
-HOT_ROWS = 1_000_000
-HOT_LIMIT = 256
-
 _MASK = "__key_nulls"
 
 
@@ -81,16 +76,6 @@ def rows_per_key(left: DataFrame, right: DataFrame, on: list[str]) -> tuple[int,
     return most.get(0, 0), most.get(1, 0)
 
 
-def hot_keys(counts: DataFrame, on: list[str], hot_rows: int) -> DataFrame:
-    """The keys with more than ``hot_rows`` rows; never more than ``HOT_LIMIT`` of them."""
-    return (
-        counts.filter(F.col("__rows") > hot_rows)
-        .orderBy(F.desc("__rows"), *on)
-        .limit(HOT_LIMIT)
-        .select(*on)
-    )
-
-
 def last_per_key(df: DataFrame, on: list[str], order: list[str]) -> DataFrame:
     """The last row of each key; rows that tie in ``order`` are told apart by their values.
 
@@ -105,20 +90,12 @@ def last_per_key(df: DataFrame, on: list[str], order: list[str]) -> DataFrame:
     )
 
 
-def match(left: DataFrame, right: DataFrame, on: list[str], hot: DataFrame | None) -> DataFrame:
-    """Full outer join to a side with one row per key, without shuffling rows of hot keys.
+def match(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """What a full outer join gives, to a side with one row per key.
 
-    ``hot`` names keys of ``left``; None says that it has no hot ones. Their rows meet
-    their (at most ``HOT_LIMIT``) partners by broadcast, all others by an ordinary join.
-    If no key turns out to be hot, adaptive execution finds the broadcast empty and
-    drops that branch before it reads anything.
+    Rows of ``left`` meet their partners in a left join, whose left side adaptive
+    execution can split where a key is hot, which it cannot in a full outer join. Keys
+    that only ``right`` has follow from an anti join.
     """
-    if hot is None:
-        return left.join(right, on, "full_outer")
-    few = F.broadcast(hot)
-    cold = left.join(few, on, "left_anti").join(
-        right.join(few, on, "left_anti"), on, "full_outer"
-    )
-    partners = right.join(few, on, "left_semi")
-    hot_rows = left.join(few, on, "left_semi").join(F.broadcast(partners), on, "left")
-    return cold.unionByName(hot_rows)
+    alone = right.join(left.select(*on), on, "left_anti")
+    return left.join(right, on, "left").unionByName(alone, allowMissingColumns=True)

@@ -34,21 +34,24 @@ def make_pair(
     else:
         raise ValueError(f"Unknown kind of pair: {kind}")
 
-    def data(name: Column) -> list[Column]:
+    def data(name: Column, city: Column) -> list[Column]:
         columns = [k.alias(key), F.concat(name, k.cast("string")).alias("name")]
         if kind == "split":
-            columns.append(F.concat(F.lit("City_"), k.cast("string")).alias("city"))
+            columns.append(F.concat(city, k.cast("string")).alias("city"))
         return columns
 
     source = spark.range(first, n + 1).select(
-        *data(F.when(changed, "NewName_").otherwise("Name_"))
+        *data(F.when(changed, "NewName_").otherwise("Name_"), F.lit("City_"))
     )
     versions = F.when(closed, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(True)))
     target = (
         spark.range(1, last + 1)
         .withColumn("is_current", F.explode(versions))
         .select(
-            *data(F.when(F.col("is_current"), "Name_").otherwise("OldName_")),
+            *data(
+                F.when(F.col("is_current"), "Name_").otherwise("OldName_"),
+                F.when(F.col("is_current"), "City_").otherwise("OldCity_"),
+            ),
             F.when(F.col("is_current"), _OPENED).otherwise(_BEFORE).cast("date").alias("effective_from"),
             F.when(~F.col("is_current"), _OPENED).cast("date").alias("effective_to"),
             "is_current",

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sediment.functions.casts import checked_cast
 from sediment.functions.columns import EFFECTIVE_FROM, EFFECTIVE_TO, IS_CURRENT, ROW_ORDER
 from sediment.functions.text import null_if_empty, strip
 
@@ -82,10 +83,21 @@ def parse_flag(col: Column) -> Column:
 
 
 def coerce_meta(df: DataFrame) -> DataFrame:
-    """Make the metadata columns date, date and boolean; unreadable dates become null."""
+    """Make the metadata columns date, date and boolean; unreadable dates become null.
+
+    A timestamp must be midnight, and any other stops the job: the day alone would say
+    something else.
+    """
     columns = {}
     for name in (EFFECTIVE_FROM, EFFECTIVE_TO):
-        if name in df.columns and not isinstance(df.schema[name].dataType, T.DateType):
+        if name not in df.columns or isinstance(df.schema[name].dataType, T.DateType):
+            continue
+        kind = df.schema[name].dataType
+        if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+            columns[name] = checked_cast(
+                F.col(name), name, kind, T.DateType(), "table"
+            )
+        else:
             columns[name] = F.try_to_date(F.col(name).cast("string"), "yyyy-MM-dd")
     if IS_CURRENT in df.columns and not isinstance(df.schema[IS_CURRENT].dataType, T.BooleanType):
         columns[IS_CURRENT] = parse_flag(F.col(IS_CURRENT))

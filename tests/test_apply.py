@@ -88,12 +88,11 @@ def test_repeated_key_that_is_changed_and_unchanged_ends_with_two_open_rows(fram
     assert rules["one_current_per_key"] == rules["no_overlapping_dates"] == "fail"
 
 
-@pytest.mark.parametrize("hot_rows", [0, 1000])
-def test_repeated_current_rows_are_closed_together(frame, history, hot_rows):
+def test_repeated_current_rows_are_closed_together(frame, history):
     target = history((1, "a", OLD, None, True), (1, "b", OLD, None, True), (2, "c", OLD, None, True))
     output = applied(
         frame([(1, "z")], "id long, name string"), target, unique=False, order_by=["name"],
-        target_order_by=["name"], hot_rows=hot_rows,
+        target_order_by=["name"],
     )
     assert rows(output, "id", "name", "is_current") == [
         (1, "a", False), (1, "b", False), (1, "z", True), (2, "c", False),

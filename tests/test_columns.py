@@ -2,13 +2,15 @@
 
 import pytest
 from conftest import DAY, rows
+from pyspark.sql import functions as F
 
+from sediment.functions.casts import checked_cast
 from sediment.operators.apply import apply_scd2
 from sediment.operators.diff import compare, summary
 from sediment.operators.explain import explain_changes
 from sediment.operators.validate import validate_scd2
 from sediment.operators.views import changed_wide
-from sediment.plans.keyed import HOT_LIMIT, hot_keys, key_counts
+from sediment.plans.keyed import match
 from sediment.plans.materialize import materialize, shared_folder
 
 META = "date'2026-01-01' effective_from, cast(null as date) effective_to, true is_current"
@@ -48,10 +50,14 @@ def test_key_types(spark, value):
     assert apply_scd2(comparison, processing_date=DAY).dtypes[0] == ("k", kind)
 
 
-def test_hot_keys_are_few(spark):
-    counts = key_counts(spark.range(5000).selectExpr("id % 1000 as k"), ["k"])
-    assert hot_keys(counts, ["k"], 4).count() == HOT_LIMIT
-    assert hot_keys(counts, ["k"], 5).isEmpty()
+def test_hot_keys_meet_their_partner_in_a_join_that_can_be_split(spark):
+    left = spark.range(6000).selectExpr("id % 300 as k", "id as n")
+    right = spark.range(200, 400).selectExpr("id as k", "id as m")
+    found = match(left, right, ["k"])
+    assert found.count() == 6100
+    assert found.filter("n is null").count() == 100 and found.filter("m is null").count() == 4000
+    plan = found._jdf.queryExecution().toString()
+    assert "FullOuter" not in plan and "TakeOrdered" not in plan
 
 
 def test_kept_results_are_written_where_the_session_says(spark, tmp_path):
@@ -59,3 +65,23 @@ def test_kept_results_are_written_where_the_session_says(spark, tmp_path):
     kept = materialize(df, str(tmp_path))
     assert rows(kept) == rows(df) and "FileScan parquet" in kept._jdf.queryExecution().toString()
     assert shared_folder(spark) == spark.conf.get("spark.checkpoint.dir", None)
+
+
+@pytest.mark.parametrize(
+    ("kind", "value", "history", "fits"),
+    [
+        ("double", "100.555", "decimal(10,2)", False), ("double", "100.5", "decimal(10,2)", True),
+        ("timestamp", "2026-01-01 10:00:00", "date", False), ("timestamp", "2026-01-01", "date", True),
+        ("long", "9007199254740993", "double", False), ("long", "9007199254740992", "double", True),
+        ("string", "7.5", "double", True), ("string", "x", "long", False), ("string", " ", "long", True),
+    ],
+)
+def test_values_that_lose_something_stop_the_job(spark, kind, value, history, fits):
+    df = spark.createDataFrame([(value,)], "v string").selectExpr(f"cast(v as {kind}) as v")
+    target = spark.createDataFrame([], f"v {history}").schema["v"].dataType
+    cast = df.select(checked_cast(F.col("v"), "v", df.schema["v"].dataType, target))
+    if fits:
+        cast.collect()
+    else:
+        with pytest.raises(Exception, match="does not fit"):
+            cast.collect()

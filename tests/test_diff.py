@@ -70,15 +70,14 @@ def test_null_keys_match_each_other(frame):
         )
 
 
-@pytest.mark.parametrize("hot_rows", [0, 1, 1000])
-def test_one_record_per_repeated_row(spark, history, hot_rows):
+def test_one_record_per_repeated_row(spark, history):
     source = spark.createDataFrame(
         [(1, "a", 1), (1, "b", 2), (1, "a", 3), (2, "c", 4)], "id long, name string, n int"
     )
     target = history(*current((1, "a"), (3, "gone")))
     changes = detect_changes(
         source, target, ["id"], ["name"], unique=False, order_by=["n"],
-        target_order_by=["name"], hot_rows=hot_rows,
+        target_order_by=["name"],
     )
     assert rows(changes, "id", "change_type") == [
         (1, "changed"), (1, "unchanged"), (1, "unchanged"), (2, "new"), (3, "deleted"),
@@ -102,6 +101,15 @@ def test_repeated_keys_need_an_order(snapshot, history):
         compare(snapshot((1, "a")), history(*current((1, "a"), (1, "b"))), ["id"], duplicates="error")
 
 
+@pytest.mark.parametrize("unique", [None, True, False])
+def test_repeated_keys_are_rejected_whatever_was_promised(snapshot, history, unique):
+    with pytest.raises(ValueError, match="duplicate business keys"):
+        compare(
+            snapshot((1, "a"), (1, "b")), history(*current((1, "a"))), ["id"], unique=unique,
+            duplicates="error", order_by=["name"], target_order_by=["name"],
+        )
+
+
 def test_uniqueness_is_found_out(snapshot, history):
     assert compare(snapshot((1, "a"), (None, "b")), history(*current((1, "a"))), ["id"]).unique
     repeated = compare(

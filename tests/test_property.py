@@ -88,7 +88,7 @@ def test_unique_keys_by_both_paths(frame, unique):
     source, target = build(42, repeats=False)
     s, t = frames(frame, source, target)
     comparison = compare(
-        s, t, KEY, TRACKED, unique=unique, order_by=["n"], target_order_by=["n"], hot_rows=0
+        s, t, KEY, TRACKED, unique=unique, order_by=["n"], target_order_by=["n"]
     )
     assert found_changes(comparison) == expected_changes(source, target)
     output = apply_scd2(comparison, processing_date=DAY)
@@ -103,12 +103,11 @@ def test_unique_keys_by_both_paths(frame, unique):
     assert {tuple(r) for r in output.select(*KEY).distinct().collect()} == wanted
 
 
-@pytest.mark.parametrize("hot_rows", [0, 3, 10**6])
-def test_repeated_keys_with_and_without_hot_ones(frame, hot_rows):
+def test_repeated_keys_with_and_without_hot_ones(frame):
     source, target = build(7, repeats=True)
     s, t = frames(frame, source, target)
     comparison = compare(
-        s, t, KEY, TRACKED, order_by=["n"], target_order_by=["n"], hot_rows=hot_rows
+        s, t, KEY, TRACKED, order_by=["n"], target_order_by=["n"]
     )
     assert not comparison.unique
     for kind in CHANGE_TYPES:

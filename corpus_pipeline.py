@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sediment.llm import line_dedup, packing, repeats, simhash, toxicity
-from sediment.llm.tables import kept, table
+from sediment.llm.tables import few_rows_a_batch, kept, table
 
 # Lines go before copies are merged, so a line counts as boilerplate only on a larger
 # part of a site's pages than one group of copies is expected to take up.
@@ -31,10 +31,13 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest id stays."""
+    few_rows_a_batch(spark)
     return simhash.drop_near_copies(docs, shingle=3, distance=2)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages found more than once go from every document that has them."""
+    few_rows_a_batch(spark)
     return _counted(repeats.drop_repeats(docs, length=REPEAT))
 
 

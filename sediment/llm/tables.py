@@ -9,7 +9,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def few_rows_a_batch(spark: SparkSession, rows: int = 1000) -> None:
+    """Send whole texts to Python workers by the thousand: by default ten times as many go at once."""
+    if not 0 < int(spark.conf.get(_ROWS)) <= rows:
+        spark.conf.set(_ROWS, str(rows))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    few_rows_a_batch(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

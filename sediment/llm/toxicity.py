@@ -36,7 +36,7 @@ class Settings:
     l1: float = 12.0
     l2: float = 0.0
     epochs: int = 3
-    positive: float = 4.0
+    positive: float = 2.0
 
 
 def word_hashes(data: bytes) -> np.ndarray:

@@ -46,26 +46,24 @@ class Transducer:
         self.sizes = {rank: len(token) for token, rank in ranks.items()}
         self.halves: dict[int, tuple[int, int] | None] = {}
         self.fits: dict[tuple[int, int], bool] = {}
-        #: The tokens as a tree: next node by (node, byte), token and whether longer ones follow, by node.
-        self.steps: dict[int, int] = {}
-        self.token_at, self.inner = [-1], [True]
+        #: The tokens as a tree: by byte, the node after it (None at a leaf) and the token there (or -1).
+        self.root: dict[int, tuple[dict | None, int]] = {}
         for token, rank in ranks.items():
-            node = 0
-            for byte in token:
-                self.inner[node] = True
-                after = self.steps.setdefault(node << 8 | byte, len(self.inner))
-                if after == len(self.inner):
-                    self.inner.append(False)
-                    self.token_at.append(-1)
+            node = self.root
+            for byte in token[:-1]:
+                after, here = node.get(byte, (None, -1))
+                if after is None:
+                    after = {}
+                    node[byte] = after, here
                 node = after
-            self.token_at[node] = rank
+            node[token[-1]] = node.get(token[-1], (None, -1))[0], rank
         self.forget()
 
     def forget(self) -> None:
         """Drop the compiled states."""
         #: Of each state: last certain token, bytes since, token that ends at each of them,
         #: members (place, node of the tree).
-        self.states = [(-1, b"", (), ((0, 0),))]
+        self.states = [(-1, b"", (), ((0, self.root),))]
         self.numbers = {(-1, b""): 0}
         self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}
 
@@ -127,31 +125,35 @@ class Transducer:
         last, since, ends, members = self.states[state]
         reach, ended = [], -1
         for place, node in members:
-            node = self.steps.get(node << 8 | byte)
-            if node is None:
+            step = node.get(byte)
+            if step is None:
                 continue
-            if self.inner[node]:
+            node, rank = step
+            if node is not None:
                 reach.append((place, node))
-            if ended < 0 and (rank := self.token_at[node]) >= 0:
-                left = ends[place - 1] if place else last
-                fits = self.fits.get((left, rank))
+            if ended < 0 <= rank:
+                pair = ends[place - 1] if place else last, rank
+                fits = self.fits.get(pair)
                 if fits is None:
-                    fits = self.fits[left, rank] = self._stand_together(left, rank)
+                    fits = self.fits[pair] = self._stand_together(*pair)
                 if fits:
                     ended = rank
         if ended < 0:
             raise ValueError(f"no token begins with the byte {byte}")
         since += bytes((byte,))
         ends += (ended,)
-        reach.append((len(since), 0))
+        reach.append((len(since), self.root))
         emitted: tuple[int, ...] = ()
         if reach[0][0]:
-            places = {place for place, _ in reach}
-            while len(places) > 1:  # step back from the furthest until all ways have met
-                place = max(places)
-                places.remove(place)
-                places.add(place - self.sizes[ends[place - 1]])
-            cut = places.pop()
+            sizes, cut = self.sizes, reach[0][0]
+            for place, _ in reach:  # step back from the further of two places until both ways have met
+                while place != cut:
+                    if place > cut:
+                        place -= sizes[ends[place - 1]]
+                    else:
+                        cut -= sizes[ends[cut - 1]]
+                if not cut:
+                    break
             if cut:
                 emitted = tuple(self._way(ends, cut))
                 last, since, ends = emitted[-1], since[cut:], ends[cut:]
@@ -218,9 +220,16 @@ class Utf8Machine:
     def __init__(self, tokens: dict[int, bytes]):
         self.tokens = tokens
         self.moves: dict[tuple[bytes, int], tuple[bytes, str]] = {}
+        self.complete = _Complete(self)
         self.pending = b""
 
     def feed(self, ids: Iterable[int]) -> str:
+        ids = list(ids)
+        if not self.pending:
+            try:
+                return "".join(map(self.complete.__getitem__, ids))
+            except KeyError:  # some token ends within a character
+                pass
         out, pending, moves = [], self.pending, self.moves
         for i in ids:
             move = moves.get((pending, i))
@@ -247,6 +256,21 @@ class Utf8Machine:
         return pending, "".join(out)
 
 
+class _Complete(dict):
+    """The moves that start and end between characters, by token; the others are missing."""
+
+    def __init__(self, machine: Utf8Machine):
+        super().__init__()
+        self.machine = machine
+
+    def __missing__(self, i: int) -> str:
+        pending, text = self.machine._move(b"", self.machine.tokens[i])
+        if pending:
+            raise KeyError(i)
+        self[i] = text
+        return text
+
+
 def _utf8_step(pending: bytes, byte: int) -> tuple[bytes, str]:
     if pending:
         low, high = 0x80, 0xBF
@@ -290,25 +314,24 @@ class Codec:
         return out
 
     def _learn(self, words: set[str]) -> None:
-        """Work out what follows a space; single pieces in rising order."""
-        single = {}
+        """Work out what follows a space; distinct pieces in rising order."""
+        known, before = self.known, self.before
+        split: dict[str, list[bytes]] = {}
         for word in words:
-            ids = self.before.get(word)
+            ids = before.get(word)
             if ids is not None:
-                self.known[word] = ids
+                known[word] = ids
             elif word.isascii() and word.isalpha():
-                single[f" {word}".encode()] = word
+                split[word] = [f" {word}".encode()]
             else:
-                pieces = self.pattern.findall(f" {word}")
-                if len(pieces) == 1:
-                    single[pieces[0].encode()] = word
-                else:
-                    self.known[word] = tuple(chain.from_iterable(
-                        self.transducer.encode(piece.encode()) for piece in pieces
-                    ))
-        pieces = sorted(single)
-        for piece, ids in zip(pieces, self.transducer.encode_sorted(pieces), strict=True):
-            self.known[single[piece]] = ids
+                split[word] = [piece.encode() for piece in self.pattern.findall(f" {word}")]
+        pieces = sorted(set(chain.from_iterable(split.values())))
+        found = dict(zip(pieces, self.transducer.encode_sorted(pieces), strict=True))
+        for word, parts in split.items():
+            known[word] = (
+                found[parts[0]] if len(parts) == 1
+                else tuple(chain.from_iterable(map(found.__getitem__, parts)))
+            )
 
     def encode_all(self, texts: list[str]) -> list[list[int]]:
         """The ids of each text."""

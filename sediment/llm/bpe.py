@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from sediment.llm.tables import text_or_empty
 
 # Memory of one worker is bounded by forgetting what can be worked out again.
-_PIECES = 300_000
-_MOVES = 600_000
+_PIECES = 500_000
+_MOVES = 900_000
 _TEXTS = 200  # that are encoded together
 
 

@@ -18,9 +18,6 @@ from sediment.plans.materialize import materialize
 
 TEMPLATE = "template"
 
-# Records that one task numbers, where the caller does not say otherwise.
-BUCKET_ROWS = 10_000
-
 # Prices in dollars per million tokens (prompt, completion).
 PRICES = {"gemini": (0.075, 0.30), "groq": (0.59, 0.79)}
 
@@ -165,6 +162,54 @@ def _chunks_of_copies(records: DataFrame) -> DataFrame:
     ).withColumn("__copies", F.least(F.col("__n") - F.col("__chunk") * chunk, F.lit(chunk)))
 
 
+def _through_report(records: DataFrame, order: list[Column], unique: bool, folder: str | None) -> DataFrame:
+    """``__position`` of each record in the order of all of them.
+
+    Each range of the order is numbered by itself, from where the ranges before it end.
+    """
+    if unique:
+        records = records.withColumn("__copies", F.lit(1).cast("long"))
+    else:
+        distinct = F.xxhash64(*[f"`{c}`" for c in records.columns])
+        records, order = _chunks_of_copies(records), [*order, distinct, F.col("__chunk")]
+    dealt = materialize(
+        records.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()), folder
+    )
+    earlier = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    starts = (
+        dealt.groupBy("__range").agg(F.sum("__copies").alias("__size"))
+        .select("__range", F.coalesce(F.sum("__size").over(earlier), F.lit(0)).alias("__start"))
+    )
+    within = Window.partitionBy("__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    first = F.coalesce(F.sum("__copies").over(within), F.lit(0)) + F.col("__start")
+    copies = F.sequence(F.lit(0).cast("long"), F.col("__copies") - 1)
+    return (
+        dealt.join(starts, "__range").withColumn("__first", first)
+        .withColumn("__copy", F.explode(copies))
+        .withColumn("__position", F.col("__first") + F.col("__copy"))
+    )
+
+
+def _within_buckets(
+    records: DataFrame, order: list[Column], buckets: int | Column, spread: list[str], unique: bool
+) -> DataFrame:
+    """``__bucket`` and, from 0 in each, ``__position``."""
+    if isinstance(buckets, int):
+        spread = [f"`{c}`" for c in dict.fromkeys(spread)]
+        if not unique and buckets > 1:
+            records = _chunks_of_copies(records)
+            spread.append("__chunk")
+        buckets = F.pmod(F.xxhash64(*spread), F.lit(buckets)) if buckets > 1 else F.lit(0)
+    records = records.select("*", buckets.alias("__bucket"))
+    if "__chunk" in records.columns:
+        records = records.withColumn(
+            "__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))
+        )
+    return records.withColumn(
+        "__position", F.row_number().over(Window.partitionBy("__bucket").orderBy(*order)) - 1
+    )
+
+
 def single_prompts(changes: DataFrame, key: list[str], short: bool = False) -> DataFrame:
     """One prompt per record, in the layout of ``batch_prompts``; ``batch`` is a hash."""
     schema = changes.schema
@@ -185,41 +230,25 @@ def batch_prompts(
     order_by: list[str] | None = None,
     reply_format: bool = True,
     unique: bool = False,
+    folder: str | None = None,
 ) -> DataFrame:
     """Prompts of at most ``size`` records: ``bucket``, ``batch``, ``prompt``, ``records``.
 
-    Records are numbered within a bucket, so buckets bound what one task sorts: give
-    their number (hash of the record) or an expression that keeps each of them small.
-    None counts the records and takes a bucket per ten thousand. One bucket numbers the
-    records of a report as a whole. ``unique`` says that no key
-    has two records; otherwise equal records are counted first, so that copies spread
-    over the buckets too, at the cost of one more shuffle.
+    Records are numbered through the whole report, whatever its size; they are dealt by
+    ranges of its order for that and kept (in ``folder``, or the session's). With
+    ``buckets``, the number of buckets (by hash of the record) or an expression, each
+    bucket is numbered by itself instead, and one task sorts it. ``unique`` says that no
+    key has two records; otherwise equal records are counted first, so that copies spread
+    too, at the cost of one more shuffle.
     """
     schema = changes.schema
     records = to_explain(changes)
     order = order_by or ([ROW_ORDER] if ROW_ORDER in changes.columns else key)
+    in_order = [_section(), *[F.col(f"`{c}`") for c in dict.fromkeys([*order, *key])]]
     if buckets is None:
-        buckets = -(-records.count() // BUCKET_ROWS) or 1
-    if isinstance(buckets, int):
-        spread = [f"`{c}`" for c in dict.fromkeys([*key, "change_type", *order])]
-        if not unique and buckets > 1:
-            records = _chunks_of_copies(records)
-            spread.append("__chunk")
-        buckets = F.pmod(F.xxhash64(*spread), F.lit(buckets)) if buckets > 1 else F.lit(0)
-    records = records.select("*", buckets.alias("__bucket"))
-    if "__chunk" in records.columns:
-        records = records.withColumn(
-            "__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))
-        )
-    numbered = records.withColumn(
-        "__position",
-        F.row_number().over(
-            Window.partitionBy("__bucket").orderBy(
-                _section(), *[f"`{c}`" for c in order], *[f"`{k}`" for k in key]
-            )
-        )
-        - 1,
-    )
+        numbered = _through_report(records, in_order, unique, folder).withColumn("__bucket", F.lit(0))
+    else:
+        numbered = _within_buckets(records, in_order, buckets, [*key, "change_type", *order], unique)
     record_id = F.col("__position") % size
     line = F.concat(
         F.lit("--- Record ID: "), record_id.cast("string"), F.lit(" ---\nBusiness key: "),
@@ -472,7 +501,7 @@ def explain_changes(
     if single:
         batches = single_prompts(changes, key)
     else:
-        batches = batch_prompts(changes, key, size, buckets, unique=unique)
+        batches = batch_prompts(changes, key, size, buckets, unique=unique, folder=folder)
     answered = materialize(with_callable(batches, explain, tasks), folder)
     merged = merge(answered, key, provider, json=not single)
     return Explained(merged, answered, provider, model, prices, not single)

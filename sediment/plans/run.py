@@ -11,10 +11,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sediment.functions.columns import CHANGE_TYPES, IS_CURRENT
+from sediment.functions.columns import IS_CURRENT
 from sediment.operators.apply import apply_scd2
 from sediment.operators.diff import Comparison, compare, summary
-from sediment.operators.explain import BUCKET_ROWS, Explained, explain_changes
+from sediment.operators.explain import Explained, explain_changes
 from sediment.operators.validate import RULES, Validation, validate_scd2
 from sediment.sources.audit import append_run
 from sediment.sources.ingest import align_empty, load_snapshot
@@ -95,10 +95,8 @@ def run_scd2(
     verdicts = {r["rule"]: r["status"] for r in verdict_rows}
     overlaps = next(r["violation_count"] for r in verdict_rows if r["rule"] == RULES[3])
 
-    to_explain = sum(counts[t] for t in CHANGE_TYPES if t != "unchanged")
-    buckets = max(1, -(-to_explain // BUCKET_ROWS))
     explained = explain_changes(
-        changes, key, explain, provider=provider, size=batch_size, buckets=buckets,
+        changes, key, explain, provider=provider, size=batch_size,
         unique=comparison.unique, tasks=tasks, folder=folder,
     )
     dropped = target.filter(F.col(IS_CURRENT).isNull()).count()

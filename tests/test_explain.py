@@ -140,7 +140,7 @@ def test_one_call_per_record(changes):
     assert found.usage.first().batches == 4
 
 
-@pytest.mark.parametrize("buckets", [1, 4])
+@pytest.mark.parametrize("buckets", [None, 1, 4])
 def test_copies_of_a_record_are_all_explained(spark, history, buckets):
     source = spark.range(2500).selectExpr("cast(1 as long) id", "'n' name", "1 as n").unionByName(
         spark.range(5).selectExpr("id + 10 as id", "'m' name", "1 as n")
@@ -152,10 +152,23 @@ def test_copies_of_a_record_are_all_explained(spark, history, buckets):
     merged = explain.merge(batches.selectExpr("*", "cast(null as string) response"), KEY, "groq")
     assert rows(merged.groupBy("id").count()) == [(1, 2500), *[(i, 1) for i in range(10, 15)]]
     assert max(len(b.records) for b in batches.collect()) <= 100
-    if buckets > 1:
+    if buckets == 4:
         assert batches.select("bucket").distinct().count() > 1
 
 
+def test_records_are_numbered_through_reports_of_any_size(spark):
+    source = spark.range(0, 12_000, numPartitions=5).selectExpr("(id * 7919) % 12000 as id", "'n' name")
+    changes = detect_changes(source, source.limit(0).selectExpr(
+        "id", "name", "true is_current", "current_date() effective_from", "current_date() effective_to"
+    ), KEY, ["name"], unique=True)
+    for size, unique in [(50, True), (50, False), (70, True)]:
+        batches = explain.batch_prompts(changes, KEY, size=size, unique=unique)
+        found = batches.selectExpr("bucket", "batch", "posexplode(records) as (at, r)").collect()
+        assert {r.bucket for r in found} == {0}
+        assert sorted(r.r.key.id for r in found) == list(range(12_000))
+        assert all(r.r.key.id == r.batch * size + r.at and r.r.record_id == r.at for r in found)
+
+
 def test_calls_can_be_spread(changes):
     batches = explain.batch_prompts(changes, KEY, size=1)
     called = explain.with_callable(batches, lambda p: reply((0, "x")), tasks=3)

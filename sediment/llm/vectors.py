@@ -14,7 +14,7 @@ from sediment.llm.graph import components
 from sediment.llm.tables import kept
 
 _BLOCK = 512  # vectors that one task compares with each other
-_VECTOR = "node long, vector array<double>"
+_VECTOR = "node long, vector array<double>, place long"
 
 
 @dataclass(frozen=True)
@@ -65,24 +65,24 @@ def _unit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield batch[["id", "vector"]]
 
 
-def _top(sims: np.ndarray, nodes: np.ndarray, keep: int) -> pd.DataFrame:
-    """Of every row its ``keep`` nearest others; ties by smaller node."""
-    n = len(nodes)
-    keep = min(keep, n - 1)
+def _top(sims: np.ndarray, nodes: np.ndarray, places: np.ndarray, keep: int) -> pd.DataFrame:
+    """Of every row its ``keep`` nearest others in other places; ties by smaller node."""
+    keep = min(keep, len(nodes) - 1)
     if keep <= 0:
         return pd.DataFrame({"u": [], "v": [], "sim": []}).astype({"u": "int64", "v": "int64", "sim": "float64"})
-    np.fill_diagonal(sims, -np.inf)
+    sims[places[:, None] == places[None, :]] = -np.inf
     order = np.argsort(-sims, axis=1, kind="stable")[:, :keep]
-    return pd.DataFrame(
+    out = pd.DataFrame(
         {"u": np.repeat(nodes, keep), "v": nodes[order].ravel(), "sim": np.take_along_axis(sims, order, 1).ravel()}
     )
+    return out[out["sim"] > -np.inf]
 
 
 def _nearest_in_block(keep: int):
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.drop_duplicates("node").sort_values("node")
         x = _matrix(group["vector"])
-        return _top(x @ x.T, group["node"].to_numpy(), keep)
+        return _top(x @ x.T, group["node"].to_numpy(), group["place"].to_numpy(), keep)
 
     return run
 
@@ -96,7 +96,7 @@ def _signs(first: int, tables: int, bits: int):
             for t in range(first, first + tables):
                 planes = np.random.default_rng(t).standard_normal((bits, x.shape[1] if x.ndim > 1 else 0))
                 code = ((x @ planes.T > 0) @ (1 << np.arange(bits, dtype=np.int64))) if bits else np.zeros(len(x), np.int64)
-                yield pd.DataFrame({"table": t, "code": code, "node": batch["node"], "vector": batch["vector"]})
+                yield pd.DataFrame({"table": t, "code": code} | {c: batch[c] for c in ("node", "vector", "place")})
 
     return run
 
@@ -122,17 +122,17 @@ def _first_lists(vectors: DataFrame, count: int, first: int, settings: Settings)
     dealt = coded.join(kept(sizes), ["table", "code"]).withColumn(
         "block", F.pmod(F.xxhash64("node", "table"), F.col("blocks"))
     )
-    return dealt.select("table", "code", "block", "node", "vector").groupBy("table", "code", "block").applyInPandas(
+    return dealt.select("table", "code", "block", "node", "vector", "place").groupBy("table", "code", "block").applyInPandas(
         _nearest_in_block(settings.neighbours), "u long, v long, sim double"
     )
 
 
-def _around(graph: DataFrame, vectors: DataFrame, keep: int) -> DataFrame:
+def _around(graph: DataFrame, vectors: DataFrame, known: DataFrame | None, keep: int) -> DataFrame:
     """Candidates among the neighbours of each vector, itself and some it is a neighbour of.
 
     Of the lists that a vector is in, ``keep`` drawn by hash are used, so that no centre
-    has more than 2 * ``keep`` + 1 members; what that leaves open is for later rounds and,
-    where lists are full of links, for the comparison of whole components.
+    has more than 3 * ``keep`` + 1 members; what that leaves open is for later rounds.
+    ``known`` are neighbours from an earlier search, in the place of the vector itself.
     """
     pairs = _pairs(graph)
     drawn = Window.partitionBy("v").orderBy(F.xxhash64("u", "v"))
@@ -141,13 +141,83 @@ def _around(graph: DataFrame, vectors: DataFrame, keep: int) -> DataFrame:
         pairs.select(F.col("u").alias("centre"), F.col("v").alias("node"))
         .unionByName(back.select(F.col("v").alias("centre"), F.col("u").alias("node")))
         .unionByName(graph.select(F.col("u").alias("centre"), F.col("u").alias("node")))
-        .distinct()
     )
-    return members.join(vectors, "node").groupBy("centre").applyInPandas(
+    if known is not None:
+        inside = _pairs(known).join(graph.select("u"), "u", "left_semi")
+        members = members.unionByName(inside.select(F.col("u").alias("centre"), F.col("v").alias("node")))
+    return members.distinct().join(vectors, "node").groupBy("centre").applyInPandas(
         lambda group: _nearest_in_block(keep)(group), "u long, v long, sim double"
     )
 
 
+def _search(
+    vectors: DataFrame, graph: DataFrame | None, known: DataFrame | None, first: int, settings: Settings
+) -> tuple[DataFrame, int]:
+    """Lists of the nearest vectors in other places, and the rounds they took."""
+    count = vectors.count()
+    candidates = _first_lists(vectors, count, first, settings)
+    if graph is not None:
+        candidates = candidates.unionByName(_pairs(graph))
+    graph, rounds = kept(_shortest(candidates, settings.neighbours)), 0
+    while rounds < settings.rounds:
+        more = _around(graph, vectors, known, settings.neighbours).unionByName(_pairs(graph))
+        after = kept(_shortest(more, settings.neighbours))
+        old = graph.select("u", F.col("list").alias("old"))
+        changed = after.join(old, "u", "left").filter(
+            ~F.transform("list", lambda e: e["v"]).eqNullSafe(F.transform("old", lambda e: e["v"]))
+        ).count()
+        graph, rounds = after, rounds + 1
+        if changed <= settings.settled * count:
+            break
+    return graph, rounds
+
+
+def _edges(graph: DataFrame, threshold: float) -> DataFrame:
+    return (
+        _pairs(graph).filter(F.col("sim") >= threshold)
+        .select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    )
+
+
+def _full(graph: DataFrame, threshold: float, settings: Settings) -> DataFrame:
+    """Nodes whose list is full of links, so that it may hide more."""
+    return graph.filter(
+        (F.size("list") >= settings.neighbours) & (-F.element_at("list", settings.neighbours)["far"] >= threshold)
+    ).select(F.col("u").alias("node"))
+
+
+def _linked(graph: DataFrame, nodes: DataFrame, threshold: float, first: int, settings: Settings):
+    """Edges of links, components of them, and the components to compare as a whole.
+
+    A list full of links is made longer by the whole component that its vector is in, to be
+    compared block by block, and by a list of the nearest vectors outside it. As long as
+    such lists hold links, components grow together; those full of links are made longer
+    again. A link that is in no list has a full list at both ends, so each search is only
+    among the vectors whose last list was full.
+    """
+    near = kept(_edges(graph, threshold))
+    found = components(near)
+    full = kept(_full(graph, threshold, settings))
+    hiding, rounds = full, 0
+    while hiding.limit(1).count():
+        vectors = kept(
+            found.join(hiding, "node", "left_semi").join(nodes.select("node", "vector"), "node")
+            .select("node", "vector", F.col("root").alias("place"))
+        )
+        if vectors.select("place").distinct().limit(2).count() < 2:
+            break
+        outside, n = _search(vectors, None, graph, first, settings)
+        rounds += n
+        more = kept(_edges(outside, threshold))
+        if not more.limit(1).count():
+            break
+        near = kept(near.unionByName(more).distinct())
+        found = components(near)
+        hiding = kept(_full(outside, threshold, settings))
+    wide = kept(found.join(full, "node", "left_semi").select("root").distinct())
+    return near, found, wide, rounds
+
+
 def _links_within(threshold: float):
     """Links between two blocks of one component, or within one; counts weighed by copies."""
 
@@ -203,9 +273,11 @@ def near_vectors(
     id reachable) and ``kept`` (is the id that one). Equal vectors become one node that
     carries their number. Nodes get first lists of neighbours from random partitions;
     rounds of NN-descent then compare the neighbours of each node with each other.
-    Lists full of links may hide more, so the components they are in are compared as a
-    whole, block by block, whatever their size. The links of a bounded sample, counted
-    exactly, give the recall; while it is too low, further partitions are added.
+    Lists full of links may hide more: they are made longer by all of their component and
+    by the nearest vectors outside it, until none is full of links. Components with such
+    lists are compared as a whole, block by block, whatever their size. The links of a
+    bounded sample, counted exactly, give the recall; while it is too low, further
+    partitions are added.
 
     Vectors that are null, empty, zero or hold null or non-finite components link with
     nothing, and so do those of different dimensions. Rows that repeat an id are vectors
@@ -231,8 +303,7 @@ def near_vectors(
         raise ValueError("Vectors have different dimensions.")
     if len(sizes) and nodes.groupBy("node").count().filter("count > 1").limit(1).count():
         raise ValueError("Two vectors have one 64-bit hash.")
-    vectors = nodes.select("node", "vector")
-    count = nodes.count()
+    vectors = nodes.select("node", "vector", F.col("node").alias("place"))
     sample = nodes.orderBy(F.xxhash64(F.lit(7), "node"), "node").limit(settings.audited)
     queries = [(r["node"], list(r["vector"])) for r in sample.collect()]  # bounded by ``audited``
     exact = nodes.select("node", "vector", "copies").mapInPandas(
@@ -243,21 +314,11 @@ def near_vectors(
     graph = None
     recall, rounds = 1.0, 0
     for attempt in range(settings.tries):
-        candidates = _first_lists(vectors, count, attempt * settings.tables, settings)
-        if graph is not None:
-            candidates = candidates.unionByName(_pairs(graph))
-        graph = kept(_shortest(candidates, settings.neighbours))
-        for _ in range(settings.rounds):
-            more = _around(graph, vectors, settings.neighbours).unionByName(_pairs(graph))
-            after = kept(_shortest(more, settings.neighbours))
-            old = graph.select("u", F.col("list").alias("old"))
-            changed = after.join(old, "u").filter(
-                F.transform("list", lambda e: e["v"]) != F.transform("old", lambda e: e["v"])
-            ).count()
-            graph, rounds = after, rounds + 1
-            if changed <= settings.settled * count:
-                break
-        counts, found = _links(graph, nodes, threshold, settings)
+        first = attempt * settings.tables
+        graph, n = _search(vectors, graph, None, first, settings)
+        near, found, wide, more = _linked(graph, nodes, threshold, first, settings)
+        rounds += n + more
+        counts = _links(near, found, wide, nodes, threshold)
         if truth:
             got = dict(map(tuple, counts.join(sample.select("node"), "node").select("node", "n").collect()))
             total = sum(truth.values())
@@ -290,20 +351,8 @@ def near_vectors(
     )
 
 
-def _links(graph: DataFrame, nodes: DataFrame, threshold: float, settings: Settings):
-    """Links of each node, weighed by copies, and the components of the links."""
-    near = kept(
-        _pairs(graph).filter(F.col("sim") >= threshold)
-        .select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    )
-    found = components(near)
-    full = graph.filter(
-        (F.size("list") >= settings.neighbours) & (-F.element_at("list", settings.neighbours)["far"] >= threshold)
-    )
-    # Components with a full list are compared as a whole; the lists of all others are complete.
-    wide = kept(
-        found.join(full.select(F.col("u").alias("node")), "node", "left_semi").select("root").distinct()
-    )
+def _links(near: DataFrame, found: DataFrame, wide: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+    """Links of each node, weighed by copies; the components ``wide`` are compared as a whole."""
     sizes = found.join(wide, "root", "left_semi").groupBy("root").agg(
         F.ceil(F.count(F.lit(1)) / _BLOCK).alias("blocks")
     )
@@ -322,5 +371,4 @@ def _links(graph: DataFrame, nodes: DataFrame, threshold: float, settings: Setti
     inside = found.join(wide, "root", "left_semi").select(F.col("node").alias("u"))
     copies = nodes.select(F.col("node").alias("v"), F.col("copies").alias("n"))
     listed = both.join(inside, "u", "left_anti").join(copies, "v").select(F.col("u").alias("node"), "n")
-    counts = kept(whole.unionByName(listed).groupBy("node").agg(F.sum("n").alias("n")))
-    return counts, found
+    return kept(whole.unionByName(listed).groupBy("node").agg(F.sum("n").alias("n")))

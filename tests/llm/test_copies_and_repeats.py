@@ -178,6 +178,37 @@ def test_vectors_against_brute_force(spark):
     assert got == expected
 
 
+def _tight_clusters(rng, centres, size, spread):
+    """Vectors close around each centre, shuffled."""
+    x = np.repeat(centres, size, axis=0) + spread * rng.standard_normal((len(centres) * size, centres.shape[1]))
+    return rng.permutation(x)
+
+
+def _links_and_roots(x, threshold=0.9):
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = unit @ unit.T >= threshold
+    np.fill_diagonal(near, False)
+    root = np.arange(len(x))
+    for _ in range(len(x)):
+        root = np.array([min([root[i], *root[near[i]]]) for i in range(len(x))])
+    return near.sum(1), root
+
+
+@pytest.mark.parametrize("clusters", [2, 5])
+def test_links_between_clusters_that_fill_their_lists(spark, clusters):
+    """Lists of 10 hold none of the links to another cluster, nor longer ones all of those to several."""
+    rng = np.random.default_rng(11)
+    base = np.linalg.qr(rng.standard_normal((32, 32)))[0]
+    # Every two centres have the cosine 0.905.
+    centres = np.sqrt(0.905) * base[0] + np.sqrt(0.095) * base[1 : clusters + 1]
+    x = np.concatenate((_tight_clusters(rng, centres, 20, 0.01), rng.standard_normal((300, 32))))
+    links, root = _links_and_roots(x)
+    assert len(set(root[: clusters * 20])) == 1 and links.sum() > clusters * 20 * 19
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vectors.near_vectors(frame).rows.collect()}
+    assert got == {i: (links[i], root[i]) for i in range(len(x))}
+
+
 def test_no_vectors(spark):
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert vectors.near_vectors(empty).rows.count() == 0

@@ -14,6 +14,7 @@ from sediment.llm.graph import components
 from sediment.llm.tables import kept
 
 _BLOCK = 512  # vectors that one task compares with each other
+_LINKED = 32  # vectors with links that an audit should have
 _VECTOR = "node long, vector array<double>, place long"
 
 
@@ -22,9 +23,11 @@ class Settings:
     """Of the neighbour graph.
 
     ``neighbours``: length of a list. ``tables``: random partitions that the first lists
-    come from. ``rounds``: of refinement at most; they end when less than ``settled``
-    of all lists change. ``audited``: vectors whose links are counted exactly.
-    ``recall``: the share of their links that must be found, or further tables are made.
+    come from, at least; the more vectors, the longer the codes and the more there are.
+    ``rounds``: of refinement at most; they end when less than ``settled`` of all lists
+    change. ``audited``: vectors whose links are counted exactly, up to 16 times as many
+    where few have links. ``recall``: the share of links that must be found, or twice as
+    many tables are added; after as many ``tries`` the job stops.
     """
 
     neighbours: int = 10
@@ -38,10 +41,11 @@ class Settings:
 
 @dataclass(frozen=True)
 class Found:
-    """``rows``: one a vector. ``recall``: of the audited links. ``rounds``: of refinement, in all."""
+    """``rows``: one a vector. ``recall``: of the audited links, None if no audited vector
+    has any. ``rounds``: of refinement, in all."""
 
     rows: DataFrame
-    recall: float
+    recall: float | None
     rounds: int
 
 
@@ -112,12 +116,28 @@ def _pairs(graph: DataFrame) -> DataFrame:
     return graph.select("u", F.explode("list").alias("e")).select("u", "e.v", (-F.col("e.far")).alias("sim"))
 
 
-def _first_lists(vectors: DataFrame, count: int, first: int, settings: Settings) -> DataFrame:
-    """Candidates from random partitions; a code with many vectors is dealt out in blocks."""
-    bits = max(0, int(np.ceil(np.log2(max(count, 1) / (_BLOCK / 4)))))
-    coded = kept(
-        vectors.mapInPandas(_signs(first, settings.tables, bits), f"table int, code long, {_VECTOR}")
-    )
+def _bits(count: int) -> int:
+    """Length of the codes of so many vectors."""
+    return max(0, int(np.ceil(np.log2(max(count, 1) / (_BLOCK / 4)))))
+
+
+def _tables(bits: int, threshold: float, settings: Settings) -> int:
+    """So many that a pair at the threshold shares a code in one with the recall's chance."""
+    shared = (1 - np.arccos(np.clip(threshold, -1, 1)) / np.pi) ** bits
+    if shared >= settings.recall or settings.recall >= 1:
+        return settings.tables
+    return max(settings.tables, int(np.ceil(np.log(1 - settings.recall) / np.log1p(-shared))))
+
+
+def _first_lists(vectors: DataFrame, count: int, threshold: float, attempt: int, settings: Settings) -> DataFrame:
+    """Candidates from random partitions; a code with many vectors is dealt out in blocks.
+
+    Every attempt has partitions of its own, twice as many as the one before.
+    """
+    bits = _bits(count)
+    tables = _tables(bits, threshold, settings)
+    first, tables = tables * (2**attempt - 1), tables * 2**attempt
+    coded = kept(vectors.mapInPandas(_signs(first, tables, bits), f"table int, code long, {_VECTOR}"))
     sizes = coded.groupBy("table", "code").agg(F.ceil(F.count(F.lit(1)) / _BLOCK).alias("blocks"))
     dealt = coded.join(kept(sizes), ["table", "code"]).withColumn(
         "block", F.pmod(F.xxhash64("node", "table"), F.col("blocks"))
@@ -151,11 +171,12 @@ def _around(graph: DataFrame, vectors: DataFrame, known: DataFrame | None, keep:
 
 
 def _search(
-    vectors: DataFrame, graph: DataFrame | None, known: DataFrame | None, first: int, settings: Settings
+    vectors: DataFrame, graph: DataFrame | None, known: DataFrame | None, threshold: float, attempt: int,
+    settings: Settings,
 ) -> tuple[DataFrame, int]:
     """Lists of the nearest vectors in other places, and the rounds they took."""
     count = vectors.count()
-    candidates = _first_lists(vectors, count, first, settings)
+    candidates = _first_lists(vectors, count, threshold, attempt, settings)
     if graph is not None:
         candidates = candidates.unionByName(_pairs(graph))
     graph, rounds = kept(_shortest(candidates, settings.neighbours)), 0
@@ -186,7 +207,7 @@ def _full(graph: DataFrame, threshold: float, settings: Settings) -> DataFrame:
     ).select(F.col("u").alias("node"))
 
 
-def _linked(graph: DataFrame, nodes: DataFrame, threshold: float, first: int, settings: Settings):
+def _linked(graph: DataFrame, nodes: DataFrame, threshold: float, attempt: int, settings: Settings):
     """Edges of links, components of them, and the components to compare as a whole.
 
     A list full of links is made longer by the whole component that its vector is in, to be
@@ -206,7 +227,7 @@ def _linked(graph: DataFrame, nodes: DataFrame, threshold: float, first: int, se
         )
         if vectors.select("place").distinct().limit(2).count() < 2:
             break
-        outside, n = _search(vectors, None, graph, first, settings)
+        outside, n = _search(vectors, None, graph, threshold, attempt, settings)
         rounds += n
         more = kept(_edges(outside, threshold))
         if not more.limit(1).count():
@@ -229,36 +250,62 @@ def _links_within(threshold: float):
         if low == high:
             near = a @ a.T >= threshold
             np.fill_diagonal(near, False)
-            return pd.DataFrame({"node": left["node"].to_numpy(), "n": near @ left["copies"].to_numpy()})
+            return pd.DataFrame(
+                {"node": left["node"].to_numpy(), "n": near @ left["copies"].to_numpy(), "linked": near.sum(1)}
+            )
         right = group[side == high].sort_values("node")
         if not len(left) or not len(right):
-            return pd.DataFrame({"node": [], "n": []}).astype("int64")
+            return pd.DataFrame({"node": [], "n": [], "linked": []}).astype("int64")
         near = a @ _matrix(right["vector"]).T >= threshold
         return pd.DataFrame(
             {
                 "node": np.concatenate((left["node"], right["node"])),
                 "n": np.concatenate((near @ right["copies"].to_numpy(), near.T @ left["copies"].to_numpy())),
+                "linked": np.concatenate((near.sum(1), near.sum(0))),
             }
         )
 
     return run
 
 
-def _exact_counts(queries: list[tuple[int, list[float]]], threshold: float):
-    ids = np.array([q[0] for q in queries], np.int64)
-    q = np.array([q[1] for q in queries], np.float64)
-
+def _exact_counts(ids: np.ndarray, q: np.ndarray, threshold: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(len(ids), np.int64)
         for batch in batches:
             near = q @ _matrix(batch["vector"]).T >= threshold
             near &= ids[:, None] != batch["node"].to_numpy()[None, :]
-            total += near @ batch["copies"].to_numpy()
-        yield pd.DataFrame({"node": ids, "n": total})
+            total += near.sum(1)
+        yield pd.DataFrame({"node": ids, "linked": total})
 
     return run
 
 
+def _audited(nodes: DataFrame, count: int, threshold: float, settings: Settings) -> dict[int, int]:
+    """To how many others the vectors of a sample are linked; those without links are left out.
+
+    The sample grows until it has enough vectors with links, up to a bound.
+    """
+    size, linked = settings.audited, {}
+    while count and size:
+        sample = nodes.orderBy(F.xxhash64(F.lit(7), "node"), "node").limit(size).select("node", "vector").collect()
+        ids, q = np.array([r[0] for r in sample], np.int64), np.array([r[1] for r in sample], np.float64)
+        exact = nodes.select("node", "vector").mapInPandas(
+            _exact_counts(ids, q, threshold), "node long, linked long"
+        ).groupBy("node").agg(F.sum("linked").alias("linked"))
+        linked = {node: n for node, n in map(tuple, exact.collect()) if n}
+        if len(linked) >= _LINKED or size >= min(count, 16 * settings.audited):
+            break
+        size *= 4
+    return linked
+
+
+def _recall(truth: dict[int, int], got: dict[int, int], few: int) -> float | None:
+    """The mean share of links found, each vector counting alike; the lower one of vectors
+    with up to ``few`` links and those with more, so that neither hides the other."""
+    shares = [[min(got.get(k, 0), n) / n for k, n in truth.items() if (n > few) == many] for many in (False, True)]
+    return min((float(np.mean(s)) for s in shares if s), default=None)
+
+
 def near_vectors(
     rows: DataFrame,
     *,
@@ -277,7 +324,7 @@ def near_vectors(
     by the nearest vectors outside it, until none is full of links. Components with such
     lists are compared as a whole, block by block, whatever their size. The links of a
     bounded sample, counted exactly, give the recall; while it is too low, further
-    partitions are added.
+    partitions are added, and if it stays so, the job stops with a message.
 
     Vectors that are null, empty, zero or hold null or non-finite components link with
     nothing, and so do those of different dimensions. Rows that repeat an id are vectors
@@ -304,32 +351,26 @@ def near_vectors(
     if len(sizes) and nodes.groupBy("node").count().filter("count > 1").limit(1).count():
         raise ValueError("Two vectors have one 64-bit hash.")
     vectors = nodes.select("node", "vector", F.col("node").alias("place"))
-    sample = nodes.orderBy(F.xxhash64(F.lit(7), "node"), "node").limit(settings.audited)
-    queries = [(r["node"], list(r["vector"])) for r in sample.collect()]  # bounded by ``audited``
-    exact = nodes.select("node", "vector", "copies").mapInPandas(
-        _exact_counts(queries, threshold), "node long, n long"
-    ).groupBy("node").agg(F.sum("n").alias("n"))
-    truth = dict(map(tuple, exact.collect())) if queries else {}
-
-    graph = None
-    recall, rounds = 1.0, 0
+    truth = _audited(nodes, nodes.count(), threshold, settings)
+
+    graph, rounds = None, 0
     for attempt in range(settings.tries):
-        first = attempt * settings.tables
-        graph, n = _search(vectors, graph, None, first, settings)
-        near, found, wide, more = _linked(graph, nodes, threshold, first, settings)
+        graph, n = _search(vectors, graph, None, threshold, attempt, settings)
+        near, found, wide, more = _linked(graph, nodes, threshold, attempt, settings)
         rounds += n + more
         counts = _links(near, found, wide, nodes, threshold)
-        if truth:
-            got = dict(map(tuple, counts.join(sample.select("node"), "node").select("node", "n").collect()))
-            total = sum(truth.values())
-            recall = sum(min(got.get(k, 0), n) for k, n in truth.items()) / total if total else 1.0
-        if recall >= settings.recall:
+        # As many rows as are audited, which is bounded.
+        got = counts.filter(F.col("node").isin(list(truth))).select("node", "linked").collect() if truth else []
+        recall = _recall(truth, dict(map(tuple, got)), settings.neighbours)
+        if recall is None or recall >= settings.recall:
             break
+    else:
+        raise RuntimeError(f"Of the audited links {recall:.3f} are found, less than {settings.recall}.")
 
     placed = kept(
         nodes.select("node", "first", "copies")
         .join(found.withColumnRenamed("root", "place"), "node", "left")
-        .join(counts, "node", "left")
+        .join(counts.select("node", "n"), "node", "left")
         .select(
             "node", "first", F.coalesce("place", "node").alias("place"),
             (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
@@ -366,9 +407,15 @@ def _links(near: DataFrame, found: DataFrame, wide: DataFrame, nodes: DataFrame,
             F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"),
         )
     )
-    whole = cells.groupBy("root", "low", "high").applyInPandas(_links_within(threshold), "node long, n long")
+    whole = cells.groupBy("root", "low", "high").applyInPandas(
+        _links_within(threshold), "node long, n long, linked long"
+    )
     both = near.unionByName(near.select(F.col("v").alias("u"), F.col("u").alias("v")))
     inside = found.join(wide, "root", "left_semi").select(F.col("node").alias("u"))
     copies = nodes.select(F.col("node").alias("v"), F.col("copies").alias("n"))
-    listed = both.join(inside, "u", "left_anti").join(copies, "v").select(F.col("u").alias("node"), "n")
-    return kept(whole.unionByName(listed).groupBy("node").agg(F.sum("n").alias("n")))
+    listed = both.join(inside, "u", "left_anti").join(copies, "v").select(
+        F.col("u").alias("node"), "n", F.lit(1).cast("long").alias("linked")
+    )
+    return kept(
+        whole.unionByName(listed).groupBy("node").agg(F.sum("n").alias("n"), F.sum("linked").alias("linked"))
+    )

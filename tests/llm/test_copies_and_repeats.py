@@ -209,6 +209,29 @@ def test_links_between_clusters_that_fill_their_lists(spark, clusters):
     assert got == {i: (links[i], root[i]) for i in range(len(x))}
 
 
+def test_partitions_keep_up_with_the_length_of_codes():
+    settings = vectors.Settings()
+    for count in (100, 10_000, 10**6, 10**8):
+        bits = vectors._bits(count)
+        shared = (1 - np.arccos(0.9) / np.pi) ** bits
+        assert 1 - (1 - shared) ** vectors._tables(bits, 0.9, settings) >= settings.recall
+
+
+def test_a_hot_cluster_does_not_hide_missed_pairs():
+    truth = {0: 5000, 1: 4000} | {i: 1 for i in range(2, 12)}
+    got = {0: 5000, 1: 4000, 2: 1}
+    assert vectors._recall(truth, got, 10) == 0.1
+    assert vectors._recall({}, {}, 10) is None
+
+
+def test_missed_recall_is_an_error(spark):
+    """A recall that cannot be reached stops the job."""
+    x = np.random.default_rng(3).standard_normal((40, 8)).repeat(2, axis=0) + np.tile([[0.0], [0.01]], (40, 8))
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    with pytest.raises(RuntimeError, match="audited links"):
+        vectors.near_vectors(frame, settings=vectors.Settings(recall=1.01, rounds=0, tries=1))
+
+
 def test_no_vectors(spark):
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert vectors.near_vectors(empty).rows.count() == 0

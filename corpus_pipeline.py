@@ -8,9 +8,8 @@ from pyspark.sql import functions as F
 from sediment.llm import line_dedup, packing, repeats, simhash, toxicity
 from sediment.llm.tables import few_rows_a_batch, kept, table
 
-# Lines go before copies are merged, so a line counts as boilerplate only on a larger
-# part of a site's pages than one group of copies is expected to take up.
-LINE_RATIO, LINE_LEAST = 0.25, 5
+# Lines go before copies are merged, so exact copies count as one page of their site.
+LINE_RATIO, LINE_LEAST = 0.1, 3
 # Bytes of repeated passages: over 50 words of five letters and a space or less.
 REPEAT = 256
 
@@ -26,7 +25,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _counted(line_dedup.drop_lines(docs, ratio=LINE_RATIO, least=LINE_LEAST))
+    return _counted(line_dedup.drop_lines(docs, ratio=LINE_RATIO, least=LINE_LEAST, copies=False))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -21,20 +21,26 @@ def _key(line: Column) -> Column:
 
 
 def boilerplate(
-    docs: DataFrame, *, ratio: float, least: int, host_column: str = "source", text_column: str = "text"
+    docs: DataFrame, *, ratio: float, least: int, host_column: str = "source", text_column: str = "text",
+    copies: bool = True,
 ) -> DataFrame:
     """Per host its ``keys``: lines on more than ``ratio`` of its pages, and on ``least`` at least.
 
-    A page counts once for each of its lines. Lines are reduced to their hashes and to
+    A page counts once for each of its lines. Without ``copies`` pages of a host with the
+    same whole text count as one page, both for a line and in the host's total. Lines are reduced to their hashes and to
     one count a host before anything is shuffled, so a host with a third of all pages
     is spread over tasks by its lines. A host has fewer keys than the average number of
     lines on its pages divided by ``ratio``, which bounds the array.
     """
+    text = text_or_empty(text_column)
     pages = docs.select(
         F.col(f"`{host_column}`").alias("host"),
-        F.array_distinct(F.transform(_lines(text_or_empty(text_column)), _key)).alias("keys"),
+        F.array_distinct(F.transform(_lines(text), _key)).alias("keys"),
+        F.xxhash64(text).alias("a"), F.xxhash64(F.lit("text"), text).alias("b"),
     )
-    totals = docs.groupBy(F.col(f"`{host_column}`").alias("host")).agg(F.count(F.lit(1)).alias("pages"))
+    if not copies:
+        pages = kept(pages.groupBy("host", "a", "b").agg(F.first("keys").alias("keys")))
+    totals = pages.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
     counts = (
         pages.select("host", F.explode(F.array_compact("keys")).alias("key"))
         .groupBy("host", "key").agg(F.count(F.lit(1)).alias("n"))
@@ -48,7 +54,9 @@ def boilerplate(
     )
 
 
-def _with_keys(docs: DataFrame, ratio: float, least: int, host_column: str, text_column: str) -> DataFrame:
+def _with_keys(
+    docs: DataFrame, ratio: float, least: int, host_column: str, text_column: str, copies: bool = True
+) -> DataFrame:
     """``docs`` with ``__keys``, the boilerplate of each row's host.
 
     The table of hosts is written first, so that its size is known: below the session's
@@ -56,8 +64,9 @@ def _with_keys(docs: DataFrame, ratio: float, least: int, host_column: str, text
     execution splits a host with very many.
     """
     found = kept(
-        boilerplate(docs, ratio=ratio, least=least, host_column=host_column, text_column=text_column)
-        .select(F.col("host").alias("__site"), F.col("keys").alias("__keys"))
+        boilerplate(
+            docs, ratio=ratio, least=least, host_column=host_column, text_column=text_column, copies=copies
+        ).select(F.col("host").alias("__site"), F.col("keys").alias("__keys"))
     )
     return docs.join(found, F.col(f"`{host_column}`").eqNullSafe(F.col("__site")), "left").drop("__site")
 
@@ -99,9 +108,9 @@ def strip_lines(
     )
 
 
-def drop_lines(docs: DataFrame, *, ratio: float = 0.1, least: int = 5) -> DataFrame:
+def drop_lines(docs: DataFrame, *, ratio: float = 0.1, least: int = 5, copies: bool = True) -> DataFrame:
     """``docs`` with boilerplate lines taken out of ``text``; rows and columns stay as they are."""
-    joined = _with_keys(docs, ratio, least, "source", "text")
+    joined = _with_keys(docs, ratio, least, "source", "text", copies)
     text = F.when(
         F.col("__keys").isNotNull() & F.col("text").isNotNull(),
         F.array_join(F.filter(_lines(F.col("text")), _stays), "\n"),

@@ -45,6 +45,16 @@ def test_stages(spark):
     assert packed.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
 
 
+def test_boilerplate_goes_and_copies_keep_their_lines(spark):
+    """A line on 12 of 100 pages goes; a third of a host that is one text, copied, stays."""
+    rows = [(i, f"page {i}" + ("\nplanted line" if i < 12 else ""), "a") for i in range(100)]
+    rows += [(200 + i, "copied text\nof two lines" if i < 5 else f"own {i}", "b") for i in range(15)]
+    rows += [(300 + i, f"small {i}" + ("\nplanted line" if i < 3 else ""), "c") for i in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "length(text) n_chars")
+    got = {r.doc_id: r.text for r in corpus_pipeline.drop_boilerplate(spark, docs, DATA).collect()}
+    assert got == {i: text.replace("\nplanted line", "") for i, text, _ in rows}
+
+
 def test_empty_documents(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:

@@ -73,14 +73,21 @@ def plain_form(url: Column) -> Column:
     return F.when(url.contains("://"), plain)
 
 
-def _target(html: Column) -> Column:
-    """The first canonical link of a page, or else the place a meta refresh names."""
-    link = F.regexp_extract(html, r"""(?is)<link\b[^>]{0,2000}\brel\s*=\s*["']?canonical\b[^>]{0,2000}>""", 0)
-    href = F.regexp_extract(link, r"""(?is)\bhref\s*=\s*["']?\s*([^"'\s>]+)""", 1)
-    meta = F.regexp_extract(html, r"""(?is)<meta\b[^>]{0,2000}\bhttp-equiv\s*=\s*["']?refresh\b[^>]{0,2000}>""", 0)
-    moved = F.regexp_extract(meta, r"""(?is)\burl\s*=\s*['"]?\s*([^"'\s>]+)""", 1)
+_CANONICAL = r"""(?is)\brel\s*=\s*(?:"(?:[^"]*\s)?canonical\b|'(?:[^']*\s)?canonical\b|canonical\b)"""
+_REFRESH = r"""(?is)\bhttp-equiv\s*=\s*["']?\s*refresh\b"""
+
+
+def _targets(html: Column) -> Column:
+    """All canonical links of a page, and all places that meta refreshes name."""
+
+    def named(tag: str, kind: str, place: str) -> Column:
+        tags = F.filter(F.regexp_extract_all(html, F.lit(rf"(?is)<{tag}\b[^>]*+>"), F.lit(0)), lambda t: t.rlike(kind))
+        return F.transform(tags, lambda t: F.regexp_extract(t, place, 1))
+
+    links = named("link", _CANONICAL, r"""(?is)\bhref\s*=\s*["']?\s*([^"'\s>]+)""")
+    moves = named("meta", _REFRESH, r"""(?is)\burl\s*=\s*['"]?\s*([^"'\s>]+)""")
     worth = html.rlike(r"(?i)\bcanonical\b|\brefresh\b")
-    return F.when(worth, F.when(href != "", href).when(moved != "", moved))
+    return F.when(worth, F.filter(F.array_distinct(F.concat(links, moves)), lambda t: t != ""))
 
 
 def _absolute(target: Column, url: Column) -> Column:
@@ -110,7 +117,7 @@ def judge_urls(
     The longest rule that fits a URL decides. Where none fits, the URLs that redirects
     and canonical links join to it do: if a rule allows any of them it is allowed, else
     if one is blocked it is blocked, else ``default`` holds. ``alias`` names the
-    component by its smallest plain form. Links are those of ``plain_form``, canonical
+    component by its smallest plain form. Links are those of ``plain_form``, all canonical
     links and meta refreshes in ``html_column``, and ``redirects`` (columns ``from_url``
     and ``to_url``, whose targets need not be pages).
 
@@ -123,19 +130,20 @@ def judge_urls(
         columns.append(F.col(f"`{html_column}`").cast("string").alias("html"))
     read = pages.select(columns)
     if html_column:
-        read = read.withColumn("to_url", _absolute(_target(F.col("html")), url)).drop("html")
+        read = read.withColumn("to_urls", F.transform(_targets(F.col("html")), lambda t: _absolute(t, url))).drop("html")
     else:
-        read = read.withColumn("to_url", F.lit(None).cast("string"))
+        read = read.withColumn("to_urls", F.lit(None).cast("array<string>"))
     marked = kept(
         read.select(
             "id", host_of(url).alias("host"), path_of(url).alias("path"),
-            plain_form(url).alias("plain"), "to_url",
+            plain_form(url).alias("plain"), "to_urls",
         ).withColumn("rule", fitting_rule(F.col("host"), F.col("path"), rules))
     )
-    pairs = marked.select(F.col("plain").alias("u"), plain_form(F.col("to_url")).alias("v"))
+    edges = marked.select("plain", F.explode("to_urls").alias("to_url"))
+    pairs = edges.select(F.col("plain").alias("u"), plain_form(F.col("to_url")).alias("v"))
     # Targets are URLs too, and may fit a rule without being pages.
     known = marked.select("plain", "rule")
-    targets = marked.select("to_url")
+    targets = edges.select("to_url")
     if redirects is not None:
         pairs = pairs.unionByName(
             redirects.select(plain_form(F.col("from_url")).alias("u"), plain_form(F.col("to_url")).alias("v"))

@@ -255,3 +255,21 @@ def test_urls(spark):
     assert (got[2].host, got[2].path, got[4].host, got[5].path) == ("b.org", "/", "", "")
     assert got[7].alias == got[8].alias == got[6].alias
     assert url_filter.judge_urls(pages.limit(0), RULES).count() == 0
+
+
+def test_every_link_of_a_page_counts(spark):
+    refresh = '<meta http-equiv="refresh" content="0; url=http://bad.com/z">'
+    link = '<link rel="canonical" href="{}">'
+    htmls = [
+        link.format("http://fine.net/") + refresh,
+        link.format("http://fine.net/2") + link.format("http://bad.com/2"),
+        '<link rel="alternate canonical" href="http://bad.com/3">',
+        f'<link data-x="{"x" * 5000}" rel=canonical href="http://bad.com/4">',
+        refresh.replace("<meta", f'<meta name="{"x" * 5000}"'),
+        '<link rel="alternate" href="http://bad.com/6">canonical',
+    ]
+    pages = spark.createDataFrame(
+        [(i, f"http://m{i}.net/", h) for i, h in enumerate(htmls)], "page_id long, url string, html string"
+    )
+    got = {r.page_id: r.verdict for r in url_filter.judge_urls(pages, RULES).collect()}
+    assert got == {i: "allow" if i == 5 else "block" for i in range(6)}

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from sediment.llm.tables import text_or_empty
 
 #: Bound of the sample that weights are fitted on, in labelled rows.
-SAMPLE = 8_000
+SAMPLE = 20_000
 _BLOCK = 1 << 18
 # Bytes that belong to words: digits, a-z, and all of the characters beyond ASCII.
 _WORD = np.zeros(256, bool)
@@ -148,8 +148,8 @@ def fit(
     """Learn weights from at most about ``sample`` labelled documents.
 
     Of the labelled ids that are not held out those with the smallest hashes are taken,
-    a share that gives ``sample`` rows. An id with several labels has the highest, and
-    null ones are left out. Features are made across tasks; one task runs over them in
+    a share that gives ``sample`` rows. Rows with the same id and text count once. An id
+    with several labels has the highest, and null ones are left out. Features are made across tasks; one task runs over them in
     an order by hash. Without any row to learn from every score is near 0.
     """
     settings = settings or Settings()
@@ -162,6 +162,8 @@ def fit(
     chosen = known.filter(F.col("doc_id").isNotNull() & (turn <= share))
     # Bounded by ``sample``, whatever the number of labels.
     rows = docs.select("doc_id", text_or_empty("text").alias("text")).join(F.broadcast(chosen), "doc_id")
+    prints = {"__a": F.xxhash64("text"), "__b": F.xxhash64(F.lit("text"), "text")}
+    rows = rows.withColumns(prints).dropDuplicates(["doc_id", "__a", "__b"]).select("doc_id", "label", "text")
 
     def featurize(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -174,6 +174,16 @@ def test_toxicity_learns_from_rows_that_are_not_held_out(spark):
     assert toxicity.toxicity_scores(docs, nothing).agg({"score": "max"}).first()[0] < 0.01
 
 
+def test_repeated_rows_teach_once(spark):
+    rows = [(i, ("nasty " if i % 3 == 0 else "kind ") + f"w{i}") for i in range(1, 40)]
+    known = spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    settings = toxicity.Settings(l1=0.1)
+    once = toxicity.fit(_docs(spark, rows), known, settings=settings)
+    often = toxicity.fit(_docs(spark, [*rows, *[rows[0]] * 50]), known, settings=settings)
+    assert toxicity.SAMPLE >= 20_000 and once.bias == often.bias
+    assert np.array_equal(once.at, often.at) and np.array_equal(once.value, often.value)
+
+
 def test_lines_of_a_host(spark):
     rows = [(i, f"own {i}\n menu \n\n  ", "a") for i in range(10)]
     rows += [(20 + i, "menu" if i < 2 else "text", "b") for i in range(10)]

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sediment.llm import (
-    bpe, license_scan, line_dedup, packing, quality, repeats, simhash, toxicity, url_filter, vectors,
+    bpe, clusters, language, license_scan, line_dedup, packing, quality, repeats, simhash, spelling, toxicity,
+    url_filter, vectors,
 )
 from sediment.llm.tables import table
 
@@ -22,6 +23,7 @@ RULES = [
 ]
 LINE_RATIO, LINE_LEAST = 0.1, 5
 LONGEST, BUCKETS, BUDGET = 2048, 8, 32_768
+CENTROIDS, ROUNDS = 16, 3
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,11 +101,30 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling.word_counts(table(spark, sf_dir, "documents"), shortest=5, least=3, every=97)
+    return spelling.spelling_groups(words, ratio=2)
+
+
+def op12_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = clusters.cluster_vectors(table(spark, sf_dir, "embeddings"), k=CENTROIDS, rounds=ROUNDS, scale=64)
+    return clusters.with_inertia(found)
+
+
+def op13_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    named = language.languages(docs, language.fit(docs))
+    return named.select(
+        "doc_id", (~language.learnable(F.col("doc_id"))).alias("held_out"), "lang_pred", "score", "rejected"
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_url_filter, op2_line_dedup, op3_license_scan, op4_toxicity, op5_vector_dedup,
-        op6_simhash, op7_packing, op8_quality, op9_repeats, op10_bpe,
+        op6_simhash, op7_packing, op8_quality, op9_repeats, op10_bpe, op11_spelling, op12_clusters,
+        op13_language,
     )
 }
 
@@ -207,7 +228,47 @@ SELECT doc_id, part, n_tokens, bucket, number // each AS batch, number % each AS
 """
 
 
+def _clusters_sql() -> str:
+    """Rounds one after the other, over rows of (vector, place, integer)."""
+    assign = (
+        "SELECT r, arg_min(c, d * 100 + c) AS c, min(d) AS d FROM ("
+        "SELECT v.r, m.c, sum((v.x - m.x) * (v.x - m.x)) AS d FROM cells v JOIN {0} m ON v.i = m.i "
+        "GROUP BY v.r, m.c) GROUP BY r"
+    )
+    rounds = []
+    for n in range(ROUNDS):
+        rounds.append(f"a{n} AS ({assign.format(f'm{n}')})")
+        # Division of whole numbers, downwards also below zero.
+        rounds.append(
+            f"m{n + 1} AS (SELECT m.c, m.i, CASE WHEN s.n IS NULL THEN m.x "
+            "ELSE (s.total - ((s.total % s.n) + s.n) % s.n) // s.n END AS x "
+            f"FROM m{n} m LEFT JOIN (SELECT a.c, v.i, sum(v.x) AS total, count(*) AS n "
+            f"FROM a{n} a JOIN cells v ON v.r = a.r GROUP BY a.c, v.i) s ON m.c = s.c AND m.i = s.i)"
+        )
+    return f"""
+WITH vectors AS (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e
+  FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+cells AS (
+  SELECT r, unnest(range(64)) AS i, CAST(unnest(list_transform(e, lambda x: floor(64 * x))) AS HUGEINT) AS x
+  FROM vectors),
+chosen AS (
+  SELECT r, row_number() OVER (ORDER BY sha256('1:' || coalesce(CAST(vec_id AS VARCHAR), ''))) - 1 AS c FROM vectors
+  ORDER BY c LIMIT {CENTROIDS}),
+m0 AS (SELECT c, i, x FROM chosen JOIN cells USING (r)),
+{", ".join(rounds)},
+last AS ({assign.format(f"m{ROUNDS}")}),
+prints AS (SELECT c, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY i)) AS centroid_sha256 FROM m{ROUNDS} GROUP BY c)
+SELECT vec_id, CAST(c AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance,
+       CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+       centroid_sha256
+FROM last JOIN vectors USING (r) JOIN prints USING (c)
+"""
+
+
 ORACLES: dict[str, str] = {
+    "op12_clusters": _clusters_sql(),
     "op1_url_filter": _URL_SQL,
     "op2_line_dedup": _LINE_SQL,
     "op7_packing": _packing_sql(),

@@ -18,7 +18,7 @@ from sediment.functions.columns import (
     UNCHANGED,
 )
 from sediment.operators.diff import Comparison, compare, current_rows, new, old
-from sediment.plans.keyed import match_key
+from sediment.plans.keyed import join_sliced, match_key
 
 
 def output_columns(comparison: Comparison) -> list[str]:
@@ -158,9 +158,9 @@ def _repeated_keys(comparison: Comparison, today: Column, closing: list[str]) ->
     existing = _target_row(comparison, lambda c: c, closes, today)
     after = _opened_row(comparison, today, lambda c: f"__last`.`{new(c)}")
     columns = output_columns(comparison)
-    # Existing rows are on the left, so a hot key's can be split; new versions come
-    # from the flags and last row of each key, which both branches read.
-    live = current.join(per_key.select(*on, "__keep"), on, "left").select(
+    # Existing rows are on the left, where those of a hot key are split; new versions
+    # come from the flags and last row of each key, which both branches read.
+    live = join_sliced(current, per_key.select(*on, "__keep"), on, comparison.hot).select(
         *[e.alias(c) for e, c in zip(existing, columns, strict=True)]
     )
     opened = per_key.filter("__open").select(*[a.alias(c) for a, c in zip(after, columns, strict=True)])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +22,7 @@ from sediment.functions.columns import (
 )
 from sediment.functions.text import display, same_value
 from sediment.plans.keyed import (
+    hot_slices,
     last_per_key,
     match,
     match_columns,
@@ -71,6 +72,8 @@ class Comparison:
     tracked: list[str]
     kept: list[str]
     unique: bool
+    #: Hot keys of the history's current rows (see ``hot_slices``), where keys may repeat.
+    hot: dict[int, int] = field(default_factory=dict)
 
     @property
     def on(self) -> list[str]:
@@ -177,7 +180,8 @@ def compare(
 
     ``unique``: True is the caller's promise that no key repeats on either side,
     False that some may; None finds out with a job over the key columns alone.
-    With repeated keys each snapshot row is compared with the last current row of
+    With repeated keys a job over the key columns looks for hot ones, whose rows are
+    split over tasks, and each snapshot row is compared with the last current row of
     its key, "last" being by ``order_by``/``target_order_by`` or by position in the
     input files; ``duplicates='error'`` rejects them instead, whatever was promised.
     ``removed_columns='keep'`` carries columns that only the history table has.
@@ -223,6 +227,7 @@ def compare(
             raise ValueError("The snapshot has duplicate business keys.")
         if most_target > 1 and duplicates == "error":
             raise ValueError("The history table has several current rows for a key.")
+    hot: dict[int, int] = {}
     if unique:
         rows = left.join(right, on, "full_outer")
     else:
@@ -235,13 +240,14 @@ def compare(
             *_order(target, target_order_by),
         )
         last = last_per_key(ordered, on, [_ORDER]).drop(_ORDER)
-        rows = match(left, last, on)
+        slices, hot = hot_slices([left, right], on)
+        rows = match(left, last, on, slices)
 
     labelled = _label(rows, key, tracked, source_types, target_types, key_types)
     if _ORDER in labelled.columns:
         labelled = labelled.withColumn(ROW_ORDER, F.col(_ORDER))
     return Comparison(
-        labelled, source, target, list(key), list(tracked), kept, bool(unique)
+        labelled, source, target, list(key), list(tracked), kept, bool(unique), hot
     )
 
 

@@ -190,8 +190,8 @@ def change_report_duplicates(spark, sf_dir):
     return changes.groupBy("o_custkey", "change_type").agg(F.count(F.lit(1)).alias("records"))
 
 
-def _order_log(spark, sf_dir):
-    source, target = pairs.order_log(spark, sf_dir)
+def _order_log(spark, sf_dir, log=pairs.order_log):
+    source, target = log(spark, sf_dir)
     return compare(
         source, target, ["o_custkey"], ["o_orderpriority", "o_orderstatus"], unique=False,
         order_by=["o_orderkey"], target_order_by=["o_orderkey"],
@@ -325,9 +325,7 @@ def applied_null_keys(spark, sf_dir):
     return apply_scd2(source, target, ["buyer", "status"], processing_date=DAY, unique=True)
 
 
-@query(
-    "scd2_apply_duplicates",
-    f"""with {pairs.ORDER_LOG_SQL},
+APPLY_LOG_SQL = f"""
 flags as (select o_custkey, max(change_type = 'unchanged') as keep,
     max(change_type <> 'unchanged') as opens from labelled group by o_custkey),
 last_s as (select * from src
@@ -340,12 +338,20 @@ select t.o_custkey, o_orderpriority, o_orderstatus, effective_from,
 from tgt t left join flags f on t.o_custkey = f.o_custkey where is_current
 union all
 select s.o_custkey, o_orderpriority, o_orderstatus, date '{DAY}', null, true
-from last_s s join flags f on s.o_custkey = f.o_custkey where opens""",
-)
+from last_s s join flags f on s.o_custkey = f.o_custkey where opens"""
+
+
+@query("scd2_apply_duplicates", f"with {pairs.ORDER_LOG_SQL}, {APPLY_LOG_SQL}")
 def applied_duplicates(spark, sf_dir):
     return apply_scd2(_order_log(spark, sf_dir), processing_date=DAY)
 
 
+@query("scd2_apply_hot_key", f"with {pairs.HOT_LOG_SQL}, {APPLY_LOG_SQL}")
+def applied_hot_key(spark, sf_dir):
+    """Half of all rows have one key; they are split over tasks in both joins."""
+    return apply_scd2(_order_log(spark, sf_dir, pairs.hot_log), processing_date=DAY)
+
+
 @query(
     "scd2_output_keys",
     f"""{APPLIED},

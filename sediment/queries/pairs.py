@@ -140,6 +140,21 @@ labelled as (
   from src s left join last_t t on s.o_custkey = t.o_custkey)"""
 
 
+def hot_log(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The order log, with half of all orders under one customer."""
+    source, target = order_log(spark, sf_dir)
+    one = F.when(F.col("o_orderkey") % 2 == 0, F.lit(-1).cast("long")).otherwise(F.col("o_custkey"))
+    return source.withColumn("o_custkey", one), target.withColumn("o_custkey", one)
+
+
+HOT_LOG_SQL = ORDER_LOG_SQL.replace("src as (", "src0 as (").replace("tgt as (", "tgt0 as (").replace(
+    "last_t as (",
+    """src as (select * replace (case when o_orderkey % 2 = 0 then -1 else o_custkey end as o_custkey) from src0),
+tgt as (select * replace (case when o_orderkey % 2 = 0 then -1 else o_custkey end as o_custkey) from tgt0),
+last_t as (""",
+)
+
+
 def unknown_keys(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Orders counted per (customer, status), where either part of the key may be null."""
     groups = (

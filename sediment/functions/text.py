@@ -6,6 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sediment.functions.types import common_type, one_family
+
 # Every character ``str.strip`` removes; all of them lie below U+3001.
 WHITESPACE = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 
@@ -90,11 +92,16 @@ def same_value(
     """Do two tracked values agree?
 
     Values of one exact type agree when they are equal, so no text is built for
-    them. Text is compared raw first and stripped only where that differs.
+    them, and so do numbers without a floating point, or dates and times, of two types.
+    All others agree if they print alike. Text is compared raw first and stripped only
+    where that differs.
     """
     exact = not isinstance(left_type, (T.StringType, T.FloatType, T.DoubleType))
     if left_type == right_type and exact:
         return left.eqNullSafe(right)
+    if left_type != right_type and one_family(left_type, right_type):
+        both = common_type(left_type, right_type)
+        return left.cast(both).eqNullSafe(right.cast(both))
     by_text = norm(left, left_type).eqNullSafe(norm(right, right_type))
     if left_type != right_type or not isinstance(left_type, T.StringType):
         return by_text

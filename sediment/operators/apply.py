@@ -80,17 +80,15 @@ def _closed_rows(comparison: Comparison, null_flags: str) -> DataFrame | None:
 
 def _target_row(comparison: Comparison, name, closes: Column | None = None, today=None):
     """Output columns of a history row; ``closes`` says which rows end today."""
-    target = comparison.target
-
-    def value(column, dtype):
-        present = column in target.columns
+    def meta(column, dtype):
+        present = column in comparison.target.columns
         return (F.col(f"`{name(column)}`") if present else F.lit(None)).cast(dtype)
 
     data = [*comparison.key, *comparison.tracked, *comparison.kept]
-    columns = [value(c, comparison.type_of(c)).alias(c) for c in data]
-    start = value(EFFECTIVE_FROM, "date")
-    end = value(EFFECTIVE_TO, "date")
-    flag = value(IS_CURRENT, "boolean")
+    columns = [comparison.target_value(c, name).alias(c) for c in data]
+    start = meta(EFFECTIVE_FROM, "date")
+    end = meta(EFFECTIVE_TO, "date")
+    flag = meta(IS_CURRENT, "boolean")
     if closes is not None:
         end = F.when(closes, today).otherwise(end)
         flag = F.when(closes, F.lit(False)).otherwise(flag)

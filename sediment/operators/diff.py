@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sediment.functions.casts import checked_cast, common_type
+from sediment.functions.casts import checked_cast, widen
 from sediment.functions.columns import (
     CHANGE_TYPES,
     CHANGED,
@@ -21,6 +21,7 @@ from sediment.functions.columns import (
     data_columns,
 )
 from sediment.functions.text import display, same_value
+from sediment.functions.types import common_type, key_type
 from sediment.plans.keyed import (
     hot_slices,
     last_per_key,
@@ -80,17 +81,27 @@ class Comparison:
         return match_columns(self.key)
 
     def type_of(self, column: str) -> T.DataType:
-        """Output type of a data column."""
-        return common_type(_types(self.source).get(column), _types(self.target).get(column))
+        """Output type of a data column: it holds the values of both sides as they are."""
+        pick = key_type if column in self.key else common_type
+        return pick(_types(self.source).get(column), _types(self.target).get(column))
 
     def source_value(self, column: str, prefix=new) -> Column:
-        """A snapshot value, cast to the output type."""
-        source_type = _types(self.source).get(column)
+        """A snapshot value in the output type."""
+        source_type, dtype = _types(self.source).get(column), self.type_of(column)
         if source_type is None:
-            return F.lit(None).cast(self.type_of(column))
-        return checked_cast(
-            F.col(f"`{prefix(column)}`"), column, source_type, self.type_of(column)
-        )
+            return F.lit(None).cast(dtype)
+        value = F.col(f"`{prefix(column)}`")
+        if column in self.key:
+            return checked_cast(value, column, source_type, dtype)
+        return widen(value, source_type, dtype)
+
+    def target_value(self, column: str, name) -> Column:
+        """A value of the history, found under ``name(column)``, in the output type."""
+        target_type, dtype = _types(self.target).get(column), self.type_of(column)
+        if target_type is None:
+            return F.lit(None).cast(dtype)
+        value = F.col(f"`{name(column)}`")
+        return value.cast(dtype) if column in self.key else widen(value, target_type, dtype)
 
     def of_type(self, kind: str) -> DataFrame:
         """The rows of one change type.
@@ -196,7 +207,7 @@ def compare(
     if removed_columns == "keep":
         kept = [c for c in data_columns(target) if c not in key and c not in tracked]
     source_types, target_types = _types(source), _types(target)
-    key_types = [common_type(source_types[k], target_types[k]) for k in key]
+    key_types = [key_type(source_types[k], target_types[k]) for k in key]
     on = match_columns(key)
 
     source_keys = [

@@ -155,25 +155,53 @@ def deleted_keys(spark, sf_dir):
     return views.deleted_keys(_customers(spark, sf_dir))
 
 
-@query(
-    "scd2_type_drift",
-    f"""with {pairs.CUSTOMERS_SQL}
-select s.c_custkey, case when nullif(trim(' ' || s.c_nationkey || ' '), '')
-  is distinct from cast(t.c_nationkey + case when t.c_custkey % 10 = 6 then 1 else 0 end as varchar)
-  then 'changed' else 'unchanged' end as change_type
-from src s join tgt t on s.c_custkey = t.c_custkey and t.is_current""",
-)
-def type_drift(spark, sf_dir):
-    """Text in the snapshot against numbers in the history: equal if they print alike."""
+# Text in the snapshot, numbers in the history; every tenth number is another one.
+DRIFT_SQL = f"""with {pairs.CUSTOMERS_SQL},
+s as (select c_custkey, ' ' || c_nationkey || ' ' as nation from src),
+t as (select c_custkey, c_nationkey + case when c_custkey % 10 = 6 then 1 else 0 end as nation,
+    effective_from, effective_to, is_current from tgt),
+ch as (
+  select coalesce(s.c_custkey, t.c_custkey) as c_custkey, s.nation as s_nation,
+    cast(t.nation as varchar) as t_nation, t.effective_from as t_from,
+    case when t.c_custkey is null then 'new' when s.c_custkey is null then 'deleted'
+      when trim(s.nation) <> cast(t.nation as varchar) then 'changed' else 'unchanged' end as change_type
+  from s full outer join (select * from t where is_current) t on s.c_custkey = t.c_custkey)"""
+
+
+def _drifting(spark, sf_dir):
     source, target = pairs.customers(spark, sf_dir)
     text = F.concat(F.lit(" "), F.col("c_nationkey").cast("string"), F.lit(" "))
     source = source.select("c_custkey", text.alias("c_nationkey"))
     drift = F.when(F.col("c_custkey") % 10 == 6, 1).otherwise(0)
-    target = target.withColumn("c_nationkey", F.col("c_nationkey") + drift)
-    changes = detect_changes(source, target, KEY, ["c_nationkey"], unique=True)
-    return changes.select("c_custkey", "change_type").filter(
-        F.col("change_type").isin("changed", "unchanged")
-    )
+    return source, target.withColumn("c_nationkey", F.col("c_nationkey") + drift)
+
+
+@query("scd2_type_drift", f"{DRIFT_SQL} select c_custkey, change_type from ch")
+def type_drift(spark, sf_dir):
+    """Text in the snapshot against numbers in the history: equal if they print alike."""
+    changes = detect_changes(*_drifting(spark, sf_dir), KEY, ["c_nationkey"], unique=True)
+    return changes.select("c_custkey", "change_type")
+
+
+@query(
+    "scd2_type_drift_apply",
+    f"""{DRIFT_SQL}
+select c_custkey, cast(nation as varchar) as c_nationkey, effective_from, effective_to, is_current,
+  null as again from t where not is_current
+union all
+select c_custkey, t_nation, t_from, case when change_type in ('changed', 'deleted') then date '{DAY}' end,
+  change_type = 'unchanged', case when change_type = 'unchanged' then 'unchanged' end
+from ch where change_type <> 'new'
+union all
+select c_custkey, s_nation, date '{DAY}', null, true, 'unchanged' from ch where change_type in ('new', 'changed')""",
+)
+def type_drift_applied(spark, sf_dir):
+    """The column becomes text, which holds both; a second run (``again``) finds no change."""
+    source, target = _drifting(spark, sf_dir)
+    output = apply_scd2(source, target, KEY, ["c_nationkey"], DAY, unique=True)
+    again = detect_changes(source, output, KEY, ["c_nationkey"], unique=True)
+    second = again.select("c_custkey", F.col("change_type").alias("again"), F.lit(True).alias("is_current"))
+    return output.join(second, ["c_custkey", "is_current"], "left").select(*output.columns, "again")
 
 
 @query(

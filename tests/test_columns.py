@@ -85,3 +85,50 @@ def test_values_that_lose_something_stop_the_job(spark, kind, value, history, fi
     else:
         with pytest.raises(Exception, match="does not fit"):
             cast.collect()
+
+
+@pytest.mark.parametrize(
+    ("value", "history", "fits"),
+    [
+        ("100.555", "decimal(10,2)", False), ("100.55", "decimal(10,2)", True), (" 7 ", "long", True),
+        ("2026-01-01 10:00:00", "date", False), ("2026-01-01", "date", True),
+        ("9007199254740993", "double", False), ("9007199254740992", "double", True), ("0.1", "float", True),
+        ("123456789012345678901234567", "double", False), ("1e300", "double", True), ("NaN", "double", True),
+        ("007", "long", True), ("yes", "boolean", True),
+    ],
+)
+def test_text_that_says_more_than_the_key_can_hold_stops_the_job(spark, value, history, fits):
+    df = spark.createDataFrame([(value,)], "v string")
+    target = spark.createDataFrame([], f"v {history}").schema["v"].dataType
+    cast = df.select(checked_cast(F.col("v"), "v", df.schema["v"].dataType, target))
+    if fits:
+        assert cast.first()[0] is not None
+    else:
+        with pytest.raises(Exception, match="does not fit"):
+            cast.collect()
+
+
+@pytest.mark.parametrize(
+    ("snapshot", "history", "kind", "change"),
+    [
+        ("'100.555'", "1.00bd", "string", "changed"), ("'2026-01-01 10:00:00'", "date'2026-01-01'", "string", "changed"),
+        ("'9007199254740993'", "1d", "string", "changed"), ("9007199254740993L", "1d", "string", "changed"),
+        ("'007'", "7L", "string", "changed"), ("' 7'", "7L", "string", "unchanged"), ("'N/A'", "7L", "string", "changed"),
+        ("100.555bd", "100.56bd", "decimal(6,3)", "changed"), ("100.50bd", "100.5000bd", "decimal(7,4)", "unchanged"),
+        ("5L", "5.00bd", "decimal(22,2)", "unchanged"),
+        ("cast(1 as decimal(38,30))", "1L", "string", "changed"),
+        ("timestamp'2026-01-01 10:00:00'", "date'2026-01-01'", "timestamp", "changed"),
+        ("date'2026-01-01'", "timestamp'2026-01-01 00:00:00'", "timestamp", "unchanged"),
+        ("1e16d", "'x'", "string", "changed"), ("true", "'x'", "string", "changed"), ("1.5f", "1.5d", "double", "unchanged"),
+        ("null", "5L", "bigint", "changed"), ("5L", "null", "bigint", "changed"),
+    ],
+)
+def test_a_second_run_finds_nothing_changed_and_nothing_is_lost(spark, snapshot, history, kind, change):
+    source = spark.sql(f"select 1 k, {snapshot} v")
+    target = spark.sql(f"select 1 k, {history} v, {META}")
+    comparison = compare(source, target, ["k"], unique=True)
+    assert comparison.changes().first()["change_type"] == change
+    output = apply_scd2(comparison, processing_date=DAY)
+    assert dict(output.dtypes)["v"] == kind
+    again = compare(source, output, ["k"], unique=True).changes().collect()
+    assert [r["change_type"] for r in again] == ["unchanged"]

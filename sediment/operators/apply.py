@@ -53,14 +53,20 @@ def apply_scd2(
     comparison = source
     if not isinstance(comparison, Comparison):
         comparison = compare(source, target, key, tracked, **options)
+    live = live_rows(comparison, processing_date, delete_policy)
+    closed = _closed_rows(comparison, null_flags)
+    return live if closed is None else closed.unionByName(live)
+
+
+def live_rows(
+    comparison: Comparison, processing_date: datetime.date | str, delete_policy: str = "soft_delete"
+) -> DataFrame:
+    """The part of the next table that was open before or is opened: all but the rows closed earlier."""
     today = F.lit(str(processing_date)).cast("date")
     closing = [CHANGED, DELETED] if delete_policy == "soft_delete" else [CHANGED]
     if comparison.unique:
-        live = _unique_keys(comparison, today, closing)
-    else:
-        live = _repeated_keys(comparison, today, closing)
-    closed = _closed_rows(comparison, null_flags)
-    return live if closed is None else closed.unionByName(live)
+        return _unique_keys(comparison, today, closing)
+    return _repeated_keys(comparison, today, closing)
 
 
 def _closed_rows(comparison: Comparison, null_flags: str) -> DataFrame | None:

@@ -30,7 +30,7 @@ from sediment.plans.keyed import (
     match_key,
     rows_per_key,
 )
-from sediment.plans.materialize import materialize
+from sediment.plans.materialize import Kept, materialize
 
 FIELD_CHANGES = "array<struct<column:string,old_value:string,new_value:string>>"
 
@@ -156,9 +156,9 @@ class Comparison:
             .alias("field_changes")
         )
 
-    def materialized(self, folder: str | None = None) -> Comparison:
+    def materialized(self, folder: str | None = None, kept: Kept | None = None) -> Comparison:
         """The same comparison over rows that are computed once."""
-        return replace(self, rows=materialize(self.rows, folder))
+        return replace(self, rows=materialize(self.rows, folder, kept))
 
 
 def _flag(column: str) -> str:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import datetime
 import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,9 +21,10 @@ from sediment.operators.diff import (
     summary,
 )
 from sediment.plans.keyed import last_per_key
+from sediment.plans.materialize import working_folder
 from sediment.queries import pairs
 from sediment.queries.pairs import DAY
-from sediment.sources import audit, ingest, schema, sinks
+from sediment.sources import audit, ingest, schema, sinks, store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -293,6 +296,21 @@ def applied_removed_column(spark, sf_dir):
     )
 
 
+@query(
+    "scd2_store_days",
+    f"with {pairs.DAYS_SQL} select c_custkey, c_mktsegment, c_name, effective_from, effective_to, is_current from h3",
+)
+def store_days(spark, sf_dir):
+    """Three daily runs that write the difference, the second with a wrong snapshot first."""
+    folder = f"{working_folder(spark).rstrip('/')}/sediment-{uuid.uuid4().hex}"
+    history = store.HistoryStore(spark, folder, KEY)
+    days = [datetime.date.fromisoformat(d) for d in pairs.DAYS]
+    history.start(pairs.before_days(spark, sf_dir), datetime.date(2026, 6, 7))
+    for number, day in ((1, days[0]), (3, days[1]), (2, days[1]), (3, days[2])):
+        history.run(pairs.daily(spark, sf_dir, number), day, unique=True)
+    return history.read()
+
+
 @query(
     "scd2_last_current_rows",
     f"with {pairs.ORDER_LOG_SQL} select o_custkey, o_orderkey, o_orderpriority, o_orderstatus from last_t",

@@ -68,6 +68,46 @@ tgt as (
   from customer where c_custkey % 10 = 3)"""
 
 
+DAYS = ("2026-06-08", "2026-06-09", "2026-06-10")
+
+
+def daily(spark: SparkSession, sf_dir: str, number: int) -> DataFrame:
+    """The snapshot of customers on one of ``DAYS``: others are missing and changed each day."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    k = F.col("c_custkey")
+    segment = F.when(k % 10 == number, F.concat("c_mktsegment", F.lit(f" {number}"))).otherwise(F.col("c_mktsegment"))
+    return c.filter(k % 20 != number).withColumn("c_mktsegment", segment)
+
+
+def before_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The history of customers before ``DAYS``."""
+    return customers(spark, sf_dir)[1].drop("c_nationkey")
+
+
+def _day_sql(number: int) -> str:
+    day, past = DAYS[number - 1], f"h{number - 1}"
+    return f"""
+s{number} as (
+  select c_custkey, c_name, c_mktsegment || case when c_custkey % 10 = {number} then ' {number}' else '' end as c_mktsegment
+  from customer where c_custkey % 20 <> {number}),
+j{number} as (
+  select t.*, s.c_custkey as sk, s.c_mktsegment as seg, coalesce(s.c_mktsegment <> t.c_mktsegment, true) as ends
+  from {past} t left join s{number} s on s.c_custkey = t.c_custkey where t.is_current),
+h{number} as (
+  select * from {past} where not is_current
+  union all
+  select c_custkey, c_name, c_mktsegment, effective_from, case when ends then date '{day}' end, not ends from j{number}
+  union all
+  select s.c_custkey, s.c_name, s.c_mktsegment, date '{day}', null, true
+  from s{number} s left join j{number} j on s.c_custkey = j.c_custkey where j.c_custkey is null or j.ends)"""
+
+
+DAYS_SQL = f"""{CUSTOMERS_SQL},
+h0 as (select c_custkey, c_name, c_mktsegment, effective_from, effective_to, is_current from tgt),""" + ",".join(
+    _day_sql(n) for n in (1, 2, 3)
+)
+
+
 def order_counts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Orders counted per (customer, status): a key of two columns."""
     groups = (

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import cached_property, reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from sediment.functions.columns import EFFECTIVE_FROM, EFFECTIVE_TO, IS_CURRENT, META
@@ -51,29 +51,41 @@ class Validation:
         return self.rules.filter(F.col("status") == FAIL).isEmpty()
 
     def details(self) -> DataFrame:
-        """Detail texts: ``rule_no``, ``rule``, ``detail``, and ``copies`` of that text."""
-        frames = []
-        for number, rule in enumerate([*RULES, *EXTRA_RULES], 1):
-            frame = self.violations.get(rule)
-            if frame is not None and "detail" in frame.columns:
-                copies = F.col("pairs") if "pairs" in frame.columns else F.lit(1).cast("long")
-                frames.append(
-                    frame.select(
-                        *self.by,
-                        F.lit(number).alias("rule_no"),
-                        F.lit(rule).alias("rule"),
-                        "detail",
-                        copies.alias("copies"),
-                    )
-                )
-        nothing = self.rules.limit(0).select(
-            *self.by,
-            "rule_no",
-            "rule",
-            F.col("message").alias("detail"),
-            F.col("violation_count").alias("copies"),
-        )
-        return reduce(DataFrame.unionByName, frames) if frames else nothing
+        """Detail texts: ``rule_no``, ``rule``, ``detail``, and ``copies`` of that text.
+
+        The history is read once for the texts and once for the counts among them.
+        """
+        by = [f"`{b}`" for b in self.by]
+        counted = self.rules.select(*by, F.inline(F.array_compact(F.array(*self.counted_details()))))
+        rules = F.array(*[F.lit(r) for r in (*RULES, *EXTRA_RULES)])
+        found = counted.unionByName(self.row_details())
+        return found.select(*by, "rule_no", F.get(rules, F.col("rule_no") - 1).alias("rule"), "detail", "copies")
+
+    def counted_details(self) -> list[Column]:
+        """Details that follow from a row of ``rules`` alone; null for other rows."""
+        one = F.lit(1).cast("long")
+        missing = sorted(c for c in META if c not in self.df.columns)
+        texts = [(1, F.lit(f"Missing: {c}"), F.lit(True)) for c in missing]
+        if _has(self.df, *self.key):
+            count = F.col("violation_count")
+            texts.append((3, _null_key_text(count), count > 0))
+        return [
+            F.when(
+                (F.col("rule_no") == number) & when,
+                F.struct(F.col("rule_no").alias("rule_no"), text.alias("detail"), one.alias("copies")),
+            )
+            for number, text, when in texts
+        ] or [F.lit(None).cast("struct<rule_no:int,detail:string,copies:bigint>")]
+
+    def row_details(self) -> DataFrame:
+        """Details about single keys and periods: ``rule_no``, ``detail``, ``copies``."""
+        present = self.key if _has(self.df, *self.key) else None
+        if present is None:
+            return self.rules.limit(0).select(
+                *[f"`{b}`" for b in self.by], "rule_no", F.col("message").alias("detail"),
+                F.col("violation_count").alias("copies"),
+            )
+        return _key_details(self.df, self.key, self.by, self.extras)
 
 
 def rule_summary(rules: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -86,14 +98,19 @@ def rule_summary(rules: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 
 def validate_scd2(
-    df: DataFrame, key: list[str], *, by: list[str] | None = None, extras: bool = False
+    df: DataFrame, key: list[str], *, by: list[str] | None = None, extras: bool = False,
+    observation: Observation | None = None,
 ) -> Validation:
     """Check a history table, as a whole or each segment of it (``by`` columns) alone.
 
-    One pass over the key, date and flag columns counts the violations of all rules.
+    One pass over the key, date and flag columns counts the violations of all rules. The
+    first job that reads ``rules`` leaves the number of rows inspected in ``observation``,
+    under ``rows``.
     """
     by = list(by or [])
     counts = _counts(df, key, by)
+    if observation is not None:
+        counts = counts.observe(observation, F.sum("__rows").alias("rows"))
     verdicts = _verdicts(df, key, extras)
     rules = counts.select(
         *by, F.inline(F.array(*[F.struct(*v) for v in verdicts]))
@@ -336,17 +353,14 @@ def repeated_current(df: DataFrame, key: list[str], by: list[str] | None = None)
     """Keys with more than one current row."""
     columns = [f"`{c}`" for c in [*(by or []), *key]]
     counted = df.filter(IS_CURRENT).groupBy(*columns).agg(F.count(F.lit(1)).alias("current_rows"))
-    label = key_label(key, df.schema)
-    return counted.filter("current_rows > 1").withColumn(
-        "detail", F.concat(F.lit("Key "), label, F.lit(" has "), "current_rows", F.lit(" current rows"))
-    )
+    text = _repeated_text(key_label(key, df.schema), F.col("current_rows"))
+    return counted.filter("current_rows > 1").withColumn("detail", text)
 
 
 def null_key_rows(df: DataFrame, key: list[str], by: list[str] | None = None) -> DataFrame:
     """Number of rows whose key has a null in it, if there are any."""
     counted = df.filter(null_key(key)).groupBy(*(by or [])).agg(F.count(F.lit(1)).alias("null_rows"))
-    text = F.concat(F.lit("Row with null key found (row count: "), "null_rows", F.lit(")"))
-    return counted.filter("null_rows > 0").withColumn("detail", text)
+    return counted.filter("null_rows > 0").withColumn("detail", _null_key_text(F.col("null_rows")))
 
 
 def _neighbours(df: DataFrame, key: list[str], by: list[str], test) -> DataFrame:
@@ -364,53 +378,127 @@ def _neighbours(df: DataFrame, key: list[str], by: list[str], test) -> DataFrame
         )
 
     end, start = F.col(EFFECTIVE_TO), F.col(EFFECTIVE_FROM)
-    across = (
-        _starts(df, key, by)
-        .filter(F.col("__next_start").isNotNull() & test(F.col("__next_start")))
-        .select(*group, pair(end, F.col("__next_start"), F.col("__next_end"), F.lit(1)).alias("p"))
-    )
-    order = Window.partitionBy(*group, EFFECTIVE_FROM).orderBy(F.asc_nulls_last(EFFECTIVE_TO))
-    inside = (
-        df.groupBy(*group, EFFECTIVE_FROM, EFFECTIVE_TO)
-        .agg(F.count(F.lit(1)).alias("__copies"))
-        .withColumns(
-            {"__has_next": F.lead(F.lit(True)).over(order), "__next_end": F.lead(EFFECTIVE_TO).over(order)}
-        )
-        .filter(test(start) & (F.col("__has_next") | (F.col("__copies") > 1)))
+    return (
+        _periods(df, key, by)
         .select(
             *group,
             F.explode(
                 F.array_compact(
                     F.array(
-                        F.when(F.col("__copies") > 1, pair(end, start, end, F.col("__copies") - 1)),
-                        F.when(F.col("__has_next"), pair(end, start, F.col("__next_end"), F.lit(1))),
+                        F.when((F.col("__copies") > 1) & test(start), pair(end, start, end, F.col("__copies") - 1)),
+                        F.when(
+                            F.col("__has_next") & test(F.col("__next_start")),
+                            pair(end, F.col("__next_start"), F.col("__next_end"), F.lit(1)),
+                        ),
                     )
                 )
             ).alias("p"),
         )
+        .select(*group, "p.*")
     )
-    return across.unionByName(inside).select(*group, "p.*")
 
 
-def overlaps(df: DataFrame, key: list[str], by: list[str] | None = None) -> DataFrame:
-    """Consecutive versions of a key whose periods overlap."""
+def _periods(df: DataFrame, key: list[str], by: list[str]) -> DataFrame:
+    """One row per key and period, with its ``__copies`` and the period that follows.
+
+    Copies are counted before the shuffle. A task sorts the different periods of a key,
+    never its rows. ``__current_rows`` is the number of current rows of the whole key,
+    and ``__first`` marks one row of each key.
+    """
+    group = [f"`{c}`" for c in [*by, *key]]
+    flag = _c(df, IS_CURRENT, "boolean")
+    counted = (
+        df.select(
+            *group, _c(df, EFFECTIVE_FROM, "date").alias(EFFECTIVE_FROM),
+            _c(df, EFFECTIVE_TO, "date").alias(EFFECTIVE_TO), flag.alias(IS_CURRENT),
+        )
+        .groupBy(*group, EFFECTIVE_FROM, EFFECTIVE_TO)
+        .agg(F.count(F.lit(1)).alias("__copies"), F.count_if(IS_CURRENT).alias("__current"))
+    )
+    order = Window.partitionBy(*group).orderBy(
+        F.asc_nulls_first(EFFECTIVE_FROM), F.asc_nulls_last(EFFECTIVE_TO)
+    )
+    return counted.withColumns(
+        {
+            "__has_next": F.lead(F.lit(True)).over(order),
+            "__next_start": F.lead(EFFECTIVE_FROM).over(order),
+            "__next_end": F.lead(EFFECTIVE_TO).over(order),
+            "__first": F.row_number().over(order) == 1,
+            "__current_rows": F.sum("__current").over(Window.partitionBy(*group)),
+        }
+    )
+
 
+def _key_details(df: DataFrame, key: list[str], by: list[str], extras: bool) -> DataFrame:
+    """Detail texts of the rules about keys and periods, from one reading of the history."""
+    dated, flagged = _has(df, EFFECTIVE_FROM, EFFECTIVE_TO), IS_CURRENT in df.columns
+    end, start = F.col(EFFECTIVE_TO), F.col(EFFECTIVE_FROM)
+    label = key_label(key, df.schema)
+    following = (end, F.col("__next_start"), F.col("__next_end"))
+
+    def item(number, when, text, copies):
+        fields = (F.lit(number).alias("rule_no"), text.alias("detail"), copies.cast("long").alias("copies"))
+        return F.when(when, F.struct(*fields))
+
+    def pairs(number, test, text):
+        copies = F.col("__copies")
+        return [
+            item(number, (copies > 1) & test(start), text(start, end, start, end), copies - 1),
+            item(number, F.col("__has_next") & test(F.col("__next_start")), text(start, *following), F.lit(1)),
+        ]
+
+    items = []
+    if flagged:
+        repeated = F.col("__first") & (F.col("__current_rows") > 1)
+        items.append(item(2, repeated, _repeated_text(label, F.col("__current_rows")), F.lit(1)))
+    if dated:
+        items += pairs(4, _reaches, lambda *days: _overlap_text(label, *days))
+    if dated and extras and flagged:
+        items += pairs(7, _leaves_gap, lambda _, to_a, from_b, __: _gap_text(label, to_a, from_b))
+    if not items:
+        return df.sparkSession.createDataFrame([], "rule_no int, detail string, copies long").select(
+            *[F.lit(None).cast(df.schema[b].dataType).alias(b) for b in by], "rule_no", "detail", "copies"
+        )
+    return _periods(df, key, by).select(
+        *[f"`{b}`" for b in by], F.inline(F.array_compact(F.array(*items)))
+    )
+
+
+def _repeated_text(label: Column, rows: Column) -> Column:
+    return F.concat(F.lit("Key "), label, F.lit(" has "), rows, F.lit(" current rows"))
+
+
+def _null_key_text(rows: Column) -> Column:
+    return F.concat(F.lit("Row with null key found (row count: "), rows, F.lit(")"))
+
+
+def _overlap_text(label: Column, from_a: Column, to_a: Column, from_b: Column, to_b: Column) -> Column:
     def day(c):
-        return F.coalesce(F.col(c).cast("string"), F.lit("NULL"))
+        return F.coalesce(c.cast("string"), F.lit("NULL"))
 
     # Fixed value: the layout of the text.
-    text = F.concat(
-        F.lit("Overlap detected for "), key_label(key, df.schema),
-        F.lit("\nPeriod A:\n"), day("from_a"), F.lit(" → "), day("to_a"),
-        F.lit("\n\nPeriod B:\n"), day("from_b"), F.lit(" → "), day("to_b"),
+    return F.concat(
+        F.lit("Overlap detected for "), label,
+        F.lit("\nPeriod A:\n"), day(from_a), F.lit(" → "), day(to_a),
+        F.lit("\n\nPeriod B:\n"), day(from_b), F.lit(" → "), day(to_b),
+    )
+
+
+def _gap_text(label: Column, to_a: Column, from_b: Column) -> Column:
+    return F.concat(
+        F.lit("Gap for "), label, F.lit(": "), to_a.cast("string"), F.lit(" → "),
+        F.coalesce(from_b.cast("string"), F.lit("NULL")),
     )
+
+
+def overlaps(df: DataFrame, key: list[str], by: list[str] | None = None) -> DataFrame:
+    """Consecutive versions of a key whose periods overlap."""
+    days = [F.col(c) for c in ("from_a", "to_a", "from_b", "to_b")]
+    text = _overlap_text(key_label(key, df.schema), *days)
     return _neighbours(df, key, list(by or []), _reaches).withColumn("detail", text)
 
 
 def gaps(df: DataFrame, key: list[str], by: list[str] | None = None) -> DataFrame:
     """Consecutive versions of a key where the second does not start as the first ends."""
-    text = F.concat(
-        F.lit("Gap for "), key_label(key, df.schema),
-        F.lit(": "), F.col("to_a").cast("string"), F.lit(" → "), F.col("from_b").cast("string"),
-    )
+    text = _gap_text(key_label(key, df.schema), F.col("to_a"), F.col("from_b"))
     return _neighbours(df, key, list(by or []), _leaves_gap).withColumn("detail", text)

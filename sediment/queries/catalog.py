@@ -687,6 +687,35 @@ def key_scores(spark, sf_dir):
     return schema.key_scores(*pairs.customers(spark, sf_dir))
 
 
+@query(
+    "scd2_detected_key",
+    f"""with {pairs.CUSTOMERS_SQL},
+u as (select count(*) as n, count(distinct c_custkey) as k, count(distinct c_name) as nm,
+  count(distinct c_nationkey) as na, count(distinct c_mktsegment) as s from src),
+grp as (select o_custkey, o_orderstatus, count(*) as n_orders from orders
+  where not (o_custkey % 20 = 1 and o_orderstatus = 'O') group by all),
+g as (select count(*) as n, count(distinct o_custkey) as k, count(distinct o_orderstatus) as s,
+  count(distinct n_orders) as o from grp),
+scores as (
+  select 'customers' as pair, 'c_custkey' as column_name, 30 + case when k = n then 10 else 0 end as score from u
+  union all select 'customers', 'c_nationkey', 30 + case when na = n then 10 else 0 end from u
+  union all select 'customers', 'c_name', case when nm = n then 10 else 0 end from u
+  union all select 'customers', 'c_mktsegment', case when s = n then 10 else 0 end from u
+  union all select 'order_counts', 'o_custkey', 30 + case when k = n then 10 else 0 end from g
+  union all select 'order_counts', 'o_orderstatus', case when s = n then 10 else 0 end from g
+  union all select 'order_counts', 'n_orders', case when o = n then 10 else 0 end from g)
+select pair, column_name from scores s where score = (select max(score) from scores m where m.pair = s.pair)""",
+)
+def detected_key(spark, sf_dir):
+    """The business keys found in two pairs of tables."""
+    found = [
+        (name, column)
+        for name, pair in (("customers", pairs.customers), ("order_counts", pairs.order_counts))
+        for column in schema.detect_business_key(*pair(spark, sf_dir))
+    ]
+    return spark.createDataFrame(found, "pair string, column_name string")
+
+
 @query(
     "scd2_normalize",
     r"""with t as (

@@ -16,6 +16,9 @@ ENDING_POINTS = 30
 NAME_POINTS = 15
 UNIQUE_POINTS = 10
 
+# Rows of the sample that refutes columns which are not unique.
+SAMPLE = 10_000
+
 
 def name_score(column: str) -> int:
     """Points a column name earns as a business key."""
@@ -27,10 +30,25 @@ def shared_columns(source: DataFrame, target: DataFrame) -> list[str]:
     return sorted(set(data_columns(source)) & set(data_columns(target)))
 
 
-def _distinct_values(column: str):
-    # count(distinct) skips nulls; null counts as one more value.
-    c = F.col(f"`{column}`")
-    return F.count_distinct(c) + F.coalesce(F.max(c.isNull().cast("long")), F.lit(0))
+def unique_columns(df: DataFrame, columns: list[str]) -> list[str]:
+    """The columns that have no value twice; null counts as a value.
+
+    A sample of rows refutes most of them in one job. Each of the others is then tested
+    by itself: only that column is shuffled, and the first repeated value ends the test.
+    """
+    if not columns:
+        return []
+    different = [
+        (F.size(F.collect_set(F.col(f"`{c}`"))) + F.coalesce(F.max(F.col(f"`{c}`").isNull().cast("int")), F.lit(0)))
+        for c in columns
+    ]
+    first = df.select(*[f"`{c}`" for c in columns]).limit(SAMPLE)
+    rows, *numbers = first.agg(F.count(F.lit(1)), *different).first()
+    left = [c for c, n in zip(columns, numbers, strict=True) if n == rows]
+    if rows < SAMPLE:  # that was the whole table
+        return left
+    counted = F.count(F.lit(1)).alias("rows")
+    return [c for c in left if df.groupBy(f"`{c}`").agg(counted).filter("rows > 1").isEmpty()]
 
 
 def key_scores(source: DataFrame, target: DataFrame) -> DataFrame:
@@ -38,28 +56,16 @@ def key_scores(source: DataFrame, target: DataFrame) -> DataFrame:
     columns = shared_columns(source, target)
     if not columns:
         raise ValueError("No shared columns between source and target. Cannot detect a business key.")
-    totals = source.agg(
-        F.count(F.lit(1)).alias("rows"),
-        *[_distinct_values(c).alias(f"n{i}") for i, c in enumerate(columns)],
-    )
-    scores = [
-        F.struct(
-            F.lit(c).alias("column_name"),
-            (
-                F.lit(name_score(c))
-                + F.when(F.col(f"n{i}") == F.col("rows"), UNIQUE_POINTS).otherwise(0)
-            ).alias("score"),
-        )
-        for i, c in enumerate(columns)
-    ]
-    return totals.select(F.inline(F.array(*scores)))
+    unique = set(unique_columns(source, columns))
+    scores = [(c, name_score(c) + UNIQUE_POINTS * (c in unique)) for c in columns]
+    return source.sparkSession.createDataFrame(scores, "column_name string, score int")
 
 
 def detect_business_key(source: DataFrame, target: DataFrame) -> list[str]:
     """The shared columns that tie at the best score; the first one if none scores.
 
     The bonus for unique values is smaller than the gaps between name scores, so only
-    the columns with the best name are tested for it, in one aggregate.
+    the columns with the best name are tested for it.
     """
     columns = shared_columns(source, target)
     if not columns:
@@ -68,11 +74,7 @@ def detect_business_key(source: DataFrame, target: DataFrame) -> list[str]:
     top = [c for c in columns if name_score(c) == best]
     if best and len(top) == 1:
         return top
-    row = source.agg(
-        F.count(F.lit(1)).alias("rows"),
-        *[_distinct_values(c).alias(f"n{i}") for i, c in enumerate(top)],
-    ).first()
-    unique = [c for i, c in enumerate(top) if row[f"n{i}"] == row["rows"]]
+    unique = unique_columns(source, top)
     if unique:
         return unique
     return top if best else columns[:1]

@@ -35,32 +35,36 @@ def write_scd2(
 
 
 def validation_lines(validation: Validation) -> DataFrame:
-    """Lines of the validation report: ``rule_no``, ``line_no``, ``value``; in that order."""
-    by = validation.by
-    heads = validation.rules.select(
-        *by,
-        "rule_no",
-        F.lit(0).alias("line_no"),
-        F.concat(F.lit("["), F.upper("status"), F.lit("] "), "rule", F.lit(": "), "message").alias(
-            "value"
-        ),
+    """Lines of the validation report: ``rule_no``, ``line_no``, ``value``; in that order.
+
+    The history is read twice: for the counts, and for the keys and periods behind them.
+    """
+    by = [f"`{b}`" for b in validation.by]
+    head = F.concat(F.lit("["), F.upper("status"), F.lit("] "), "rule", F.lit(": "), "message")
+    kind = "struct<rule_no:int,line_no:int,text:string,copies:bigint>"
+
+    def line(number, text, copies):
+        return F.struct("rule_no", F.lit(number).alias("line_no"), text.alias("text"), copies).cast(kind)
+
+    def detail(found):
+        return line(1, F.concat(F.lit("  → "), found["detail"]), found["copies"])
+
+    heads = F.array(
+        line(0, head, F.lit(1)), *[F.when(d.isNotNull(), detail(d)) for d in validation.counted_details()]
     )
     # A text that counts n times becomes n lines, in runs so that no array grows with n.
     runs = F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / _RUN))
     left = F.least(F.col("copies") - F.col("run") * _RUN, F.lit(_RUN))
-    details = (
-        validation.details()
-        .filter("copies > 0")
+    whole = validation.rules.select(*by, F.inline(F.array_compact(heads)))
+    rows = validation.row_details().select(
+        *by, "rule_no", F.lit(1).alias("line_no"), F.concat(F.lit("  → "), "detail").alias("text"), "copies"
+    )
+    return (
+        whole.unionByName(rows)
         .withColumn("run", F.explode(runs))
         .withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), left)))
-        .select(
-            *by,
-            "rule_no",
-            F.lit(1).alias("line_no"),
-            F.concat(F.lit("  → "), "detail").alias("value"),
-        )
+        .select(*by, "rule_no", "line_no", F.col("text").alias("value"))
     )
-    return heads.unionByName(details)
 
 
 def write_validation(validation: Validation, path: str) -> None:

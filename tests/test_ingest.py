@@ -256,3 +256,16 @@ def test_compatibility_messages(frame, snapshot, history):
     assert schema.check_compatibility(nothing, history()) == ["Source CSV has no columns."]
     wide = frame([(1, "a", "b")], "id long, name string, extra string")
     assert schema.check_compatibility(wide, history()) == ["Source columns not found in target: ['extra']"]
+
+
+def test_unique_columns_with_and_without_a_sample_that_decides(spark, monkeypatch):
+    df = spark.range(5000).selectExpr(
+        "id", "id % 4000 as late", "id % 7 as small", "nullif(id, 3) as one_null", "nullif(id, id % 2) as nulls",
+        "case when id < 4999 then id else 4998 end as last", "cast(null as string) as empty",
+    )
+    for size in (100, 4500, 10_000):
+        monkeypatch.setattr(schema, "SAMPLE", size)
+        assert schema.unique_columns(df, df.columns) == ["id", "one_null"]
+    scores = {r[0]: r[1] for r in schema.key_scores(df, df).collect()}
+    assert scores["id"] == 55 and scores["one_null"] == 10 and scores["late"] == 0
+    assert schema.unique_columns(df.limit(0), ["id"]) == ["id"] and schema.unique_columns(df, []) == []

@@ -2,8 +2,11 @@ import datetime
 
 from conftest import rows
 
+from pyspark.sql import Observation
+
 from sediment.operators import validate
 from sediment.operators.validate import validate_scd2
+from sediment.sources import sinks
 
 
 def status(df, key=("id",), **options):
@@ -118,3 +121,50 @@ def test_segments_are_checked_alone(frame):
     found = validate_scd2(df, ["id"], by=["region"])
     assert rows(found.summary(), "region", "passed") == [("EU", True), ("US", False)]
     assert set(found.details().select("region").collect()[0]) == {"US"}
+
+
+def scans(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("FileScan")
+
+
+def test_details_read_the_history_twice_at_most(spark, history, tmp_path):
+    table = history(
+        (1, "a", "2026-01-01", None, True), (1, "b", "2026-02-01", None, True),
+        (None, "c", "2026-02-01", "2026-01-01", False), (2, "d", "2026-01-01", "2026-01-05", False),
+        (2, "d", "2026-01-01", "2026-01-05", False), (2, "e", "2026-02-01", None, True),
+    )
+    table.write.parquet(str(tmp_path / "h"))
+    stored = spark.read.parquet(str(tmp_path / "h"))
+    found = validate.validate_scd2(stored, ["id"], extras=True)
+    assert scans(found.rules) == scans(found.violations["no_overlapping_dates"]) == 1
+    assert scans(found.violations["no_history_gaps"]) == 1
+    assert scans(found.details()) == scans(sinks.validation_lines(found)) == 2
+    texts = sorted((r["rule_no"], r["detail"].split("\n")[0], r["copies"]) for r in found.details().collect())
+    assert texts == [
+        (2, "Key id=1 has 2 current rows", 1),
+        (3, "Row with null key found (row count: 1)", 1),
+        (4, "Overlap detected for id=1", 1),
+        (4, "Overlap detected for id=2", 1),
+        (7, "Gap for id=2: 2026-01-05 → 2026-01-01", 1),
+        (7, "Gap for id=2: 2026-01-05 → 2026-02-01", 1),
+    ]
+    per_key = validate.validate_scd2(stored, ["id"], by=["name"], extras=True).details()
+    assert per_key.columns == ["name", "rule_no", "rule", "detail", "copies"]
+
+
+def test_details_where_columns_are_missing(spark, history):
+    table = history((1, "a", "2026-01-01", None, True), (None, "b", "2026-01-01", None, True))
+    for gone, rules in (
+        (["is_current"], [1, 3]), (["effective_to"], [1, 3]), (["id"], []),
+        (["effective_from", "effective_to", "is_current"], [1, 1, 1, 3]),
+    ):
+        found = validate.validate_scd2(table.drop(*gone), ["id"], extras=True)
+        assert sorted(r["rule_no"] for r in found.details().collect()) == rules, gone
+        assert sinks.validation_lines(found).count() == found.rules.count() + len(rules)
+
+
+def test_rows_inspected_are_observed(spark, history):
+    seen = Observation()
+    found = validate.validate_scd2(history((1, "a", "2026-01-01", None, True)), ["id"], observation=seen)
+    found.rules.collect()
+    assert seen.get == {"rows": 1}

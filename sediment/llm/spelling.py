@@ -18,9 +18,9 @@ from sediment.llm.tables import kept, text_or_empty
 PASS_BLOCKS = 1 << 20
 _CHUNK = 1 << 11  # blocks in one row of the table of filters
 _LANES = 8  # 32-bit parts of a block, in each of which a word sets one bit
-_FLUSH = 200_000
-_SLAB = 1 << 20
-_GATHER = 1 << 14
+_FLUSH = 50_000
+_SLAB = 1 << 17
+_GATHER = 1 << 12
 # Letters of one byte in Latin-1, A-Z folded; all else separates runs.
 _LETTERS = bytes(
     c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 0xC0 else 32 for c in range(256)

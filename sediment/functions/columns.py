@@ -17,6 +17,10 @@ CHANGE_TYPES = (NEW, CHANGED, UNCHANGED, DELETED)
 # decides which of several rows with one key is the last; it is never data.
 ROW_ORDER = "_row_order"
 
+# The same of a history row, on reports: the order of deletions.
+TARGET_ORDER = "_target_order"
+ORDERS = (ROW_ORDER, TARGET_ORDER)
+
 
 def data_columns(df) -> list[str]:
     """Columns of ``df`` that carry data: neither metadata nor the row position."""

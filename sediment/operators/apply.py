@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from sediment.functions.columns import (
@@ -35,6 +35,7 @@ def apply_scd2(
     *,
     delete_policy: str = "soft_delete",
     null_flags: str = "drop",
+    observation: Observation | None = None,
     **options,
 ) -> DataFrame:
     """Close superseded rows, open new versions, keep the rest and all closed rows.
@@ -42,7 +43,8 @@ def apply_scd2(
     Takes a ``Comparison``, or what ``compare`` takes. ``delete_policy='ignore'``
     leaves the rows of keys that left the snapshot open. Rows whose ``is_current``
     is null are neither current nor closed and are dropped; ``null_flags='error'``
-    stops the job on the first one.
+    stops the job on the first one. The first job that reads the result leaves their
+    number in ``observation``, under ``dropped``.
     """
     if delete_policy not in ("soft_delete", "ignore"):
         raise ValueError("delete_policy must be 'soft_delete' or 'ignore'")
@@ -54,7 +56,7 @@ def apply_scd2(
     if not isinstance(comparison, Comparison):
         comparison = compare(source, target, key, tracked, **options)
     live = live_rows(comparison, processing_date, delete_policy)
-    closed = _closed_rows(comparison, null_flags)
+    closed = _closed_rows(comparison, null_flags, observation)
     return live if closed is None else closed.unionByName(live)
 
 
@@ -69,7 +71,9 @@ def live_rows(
     return _repeated_keys(comparison, today, closing)
 
 
-def _closed_rows(comparison: Comparison, null_flags: str) -> DataFrame | None:
+def _closed_rows(
+    comparison: Comparison, null_flags: str, observation: Observation | None
+) -> DataFrame | None:
     target = comparison.target
     if IS_CURRENT not in target.columns:
         return None
@@ -81,6 +85,11 @@ def _closed_rows(comparison: Comparison, null_flags: str) -> DataFrame | None:
                 "boolean"
             ),
         ).otherwise(is_closed)
+    elif observation is not None:
+        # Open rows are not read for this.
+        target = target.filter(is_closed | F.col(IS_CURRENT).isNull()).observe(
+            observation, F.count_if(F.col(IS_CURRENT).isNull()).alias("dropped")
+        )
     return target.filter(is_closed).select(*_target_row(comparison, lambda c: c))
 
 
@@ -157,7 +166,7 @@ def _repeated_keys(comparison: Comparison, today: Column, closing: list[str]) ->
     target = comparison.target
     key_types = [comparison.type_of(k) for k in comparison.key]
     keys = [F.col(f"`{k}`").cast(t) for k, t in zip(comparison.key, key_types, strict=True)]
-    current = current_rows(target).select("*", *match_key(keys, key_types))
+    current = current_rows(target).select("*", *match_key(keys, key_types, comparison.null_keys))
     closes = ~F.coalesce(F.col("__keep"), F.lit(DELETED not in closing))
     existing = _target_row(comparison, lambda c: c, closes, today)
     after = _opened_row(comparison, today, lambda c: f"__last`.`{new(c)}")

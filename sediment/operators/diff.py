@@ -16,7 +16,9 @@ from sediment.functions.columns import (
     IS_CURRENT,
     META,
     NEW,
+    ORDERS,
     ROW_ORDER,
+    TARGET_ORDER,
     UNCHANGED,
     data_columns,
 )
@@ -37,6 +39,7 @@ FIELD_CHANGES = "array<struct<column:string,old_value:string,new_value:string>>"
 _IN_SOURCE = "__in_source"
 _IN_TARGET = "__in_target"
 _ORDER = "__order"
+_OLD_ORDER = "__old_order"
 
 
 def new(column: str) -> str:
@@ -75,10 +78,12 @@ class Comparison:
     unique: bool
     #: Hot keys of the history's current rows (see ``hot_slices``), where keys may repeat.
     hot: dict[int, int] = field(default_factory=dict)
+    #: Whether key columns may be null.
+    null_keys: bool = True
 
     @property
     def on(self) -> list[str]:
-        return match_columns(self.key)
+        return match_columns(self.key, self.null_keys)
 
     def type_of(self, column: str) -> T.DataType:
         """Output type of a data column: it holds the values of both sides as they are."""
@@ -119,10 +124,11 @@ class Comparison:
     def changes(self, kind: str | None = None) -> DataFrame:
         """The report: key, ``change_type``, ``field_changes``; one row per record.
 
-        ``kind`` picks the records of one type.
+        ``kind`` picks the records of one type. Where the sides have an order, records
+        carry the position of their snapshot row, deletions that of their history row.
         """
         rows = self.of_type(kind) if kind else self.rows
-        order = [ROW_ORDER] if ROW_ORDER in rows.columns else []
+        order = [c for c in ORDERS if c in rows.columns]
         return rows.select(
             *[f"`{k}`" for k in self.key], "change_type", self._field_changes(), *order
         )
@@ -186,6 +192,7 @@ def compare(
     order_by: list[str] | None = None,
     target_order_by: list[str] | None = None,
     removed_columns: str = "drop",
+    null_keys: bool = True,
 ) -> Comparison:
     """Match a snapshot with the current rows of a history table, null keys included.
 
@@ -196,6 +203,9 @@ def compare(
     its key, "last" being by ``order_by``/``target_order_by`` or by position in the
     input files; ``duplicates='error'`` rejects them instead, whatever was promised.
     ``removed_columns='keep'`` carries columns that only the history table has.
+    ``null_keys=False`` is the promise that no key column is null: sides are then joined
+    on the key columns themselves, so that a history bucketed by them is not shuffled. A
+    snapshot that breaks it stops the job.
     """
     if duplicates not in ("last", "error"):
         raise ValueError("duplicates must be 'last' or 'error'")
@@ -208,27 +218,30 @@ def compare(
         kept = [c for c in data_columns(target) if c not in key and c not in tracked]
     source_types, target_types = _types(source), _types(target)
     key_types = [key_type(source_types[k], target_types[k]) for k in key]
-    on = match_columns(key)
+    on = match_columns(key, null_keys)
 
     source_keys = [
         checked_cast(F.col(f"`{k}`"), k, source_types[k], t)
         for k, t in zip(key, key_types, strict=True)
     ]
+    if not null_keys:
+        source_keys = [_promised(c, k, t) for c, k, t in zip(source_keys, key, key_types, strict=True)]
     target_keys = [
         checked_cast(F.col(f"`{k}`"), k, target_types[k], t, "history table")
         for k, t in zip(key, key_types, strict=True)
     ]
     current = current_rows(target)
     left = source.select(
-        *match_key(source_keys, key_types),
+        *match_key(source_keys, key_types, null_keys),
         F.lit(True).alias(_IN_SOURCE),
         *[_column(source, c).alias(new(c)) for c in [*key, *tracked]],
         *_order(source, order_by),
     )
     right = current.select(
-        *match_key(target_keys, key_types),
+        *match_key(target_keys, key_types, null_keys),
         F.lit(True).alias(_IN_TARGET),
         *[_column(target, c).alias(old(c)) for c in [*key, *tracked, *kept, *META]],
+        *_order(target, target_order_by, _OLD_ORDER),
     )
 
     if unique is None or duplicates == "error":
@@ -244,28 +257,29 @@ def compare(
     else:
         _require_order(source, order_by, "snapshot")
         _require_order(target, target_order_by, "history table")
-        ordered = current.select(
-            *match_key(target_keys, key_types),
-            F.lit(True).alias(_IN_TARGET),
-            *[_column(target, c).alias(old(c)) for c in [*key, *tracked, *kept, *META]],
-            *_order(target, target_order_by),
-        )
-        last = last_per_key(ordered, on, [_ORDER]).drop(_ORDER)
+        last = last_per_key(right, on, [_OLD_ORDER])
         slices, hot = hot_slices([left, right], on)
         rows = match(left, last, on, slices)
 
     labelled = _label(rows, key, tracked, source_types, target_types, key_types)
-    if _ORDER in labelled.columns:
-        labelled = labelled.withColumn(ROW_ORDER, F.col(_ORDER))
+    for name, side in ((ROW_ORDER, _ORDER), (TARGET_ORDER, _OLD_ORDER)):
+        if side in labelled.columns:
+            shown = F.col(side) if name == ROW_ORDER else F.when(F.col(_IN_SOURCE).isNull(), F.col(side))
+            labelled = labelled.withColumn(name, shown)
     return Comparison(
-        labelled, source, target, list(key), list(tracked), kept, bool(unique), hot
+        labelled, source, target, list(key), list(tracked), kept, bool(unique), hot, null_keys
     )
 
 
-def _order(df: DataFrame, order_by: list[str] | None) -> list[Column]:
+def _order(df: DataFrame, order_by: list[str] | None, name: str = _ORDER) -> list[Column]:
     if order_by:
-        return [F.struct(*[F.col(f"`{c}`") for c in order_by]).alias(_ORDER)]
-    return [F.col(ROW_ORDER).alias(_ORDER)] if ROW_ORDER in df.columns else []
+        return [F.struct(*[F.col(f"`{c}`") for c in order_by]).alias(name)]
+    return [F.col(ROW_ORDER).alias(name)] if ROW_ORDER in df.columns else []
+
+
+def _promised(col: Column, name: str, dtype: T.DataType) -> Column:
+    message = F.lit(f"Key column '{name}' of the snapshot is null, against the promise.")
+    return F.when(col.isNull(), F.raise_error(message).cast(dtype)).otherwise(col)
 
 
 def _require_order(df: DataFrame, order_by: list[str] | None, what: str) -> None:
@@ -316,10 +330,18 @@ def detect_changes(
     return compare(source, target, key, tracked, **options).changes()
 
 
+def report_order(df: DataFrame, key: list[str]) -> list[Column]:
+    """What sorts a report: snapshot order, deletions last in that of the history, then keys."""
+    orders = [F.col(c) for c in ORDERS if c in df.columns]
+    return [F.col("change_type") == DELETED, *orders, *[F.col(f"`{k}`") for k in key]]
+
+
 def in_report_order(changes: DataFrame, key: list[str]) -> DataFrame:
-    """Records in the order of the snapshot (of its keys, if it has no order), deletions last."""
-    order = [ROW_ORDER] if ROW_ORDER in changes.columns else []
-    return changes.orderBy(F.col("change_type") == DELETED, *order, *[f"`{k}`" for k in key])
+    """Records in the order of the snapshot (of its keys, if it has no order).
+
+    Deletions come last, in the order of the history if that has one.
+    """
+    return changes.orderBy(*report_order(changes, key))
 
 
 def summary(changes: DataFrame, by: list[str] | None = None) -> DataFrame:

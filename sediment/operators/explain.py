@@ -12,9 +12,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sediment.functions.columns import CHANGED, DELETED, NEW, ROW_ORDER, UNCHANGED
+from sediment.functions.columns import CHANGED, DELETED, NEW, ORDERS, ROW_ORDER, UNCHANGED
 from sediment.functions.text import key_label
-from sediment.plans.materialize import materialize
+from sediment.plans.materialize import Kept, exists, materialize, working_folder
 
 TEMPLATE = "template"
 
@@ -96,15 +96,23 @@ def template_text(key: list[str], schema: T.StructType) -> Column:
 
 
 def template_explanations(changes: DataFrame, key: list[str]) -> DataFrame:
-    """Key, ``change_type``, ``text``, ``provider`` for every record to explain."""
+    """Key, ``change_type``, ``text``, ``provider`` for every record to explain.
+
+    Records that carry their position in the report keep it.
+    """
     return to_explain(changes).select(
         *[f"`{k}`" for k in key],
         "change_type",
         template_text(key, changes.schema).alias("text"),
         F.lit(TEMPLATE).alias("provider"),
+        *_positions(changes.schema),
     )
 
 
+def _positions(schema: T.StructType) -> list[str]:
+    return [c for c in ORDERS if c in schema.names]
+
+
 def by_type(explanations: DataFrame) -> DataFrame:
     """Number of explanations per change type, in report order."""
     return (
@@ -147,6 +155,7 @@ def _record(key: list[str], schema: T.StructType, record_id: Column) -> Column:
         F.struct(*[F.col(f"`{k}`") for k in key]).alias("key"),
         F.col("change_type"),
         template_text(key, schema).alias("template"),
+        *_positions(schema),
     )
 
 
@@ -162,7 +171,10 @@ def _chunks_of_copies(records: DataFrame) -> DataFrame:
     ).withColumn("__copies", F.least(F.col("__n") - F.col("__chunk") * chunk, F.lit(chunk)))
 
 
-def _through_report(records: DataFrame, order: list[Column], unique: bool, folder: str | None) -> DataFrame:
+def through_report(
+    records: DataFrame, order: list[Column], unique: bool = True, folder: str | None = None,
+    kept: Kept | None = None,
+) -> DataFrame:
     """``__position`` of each record in the order of all of them.
 
     Each range of the order is numbered by itself, from where the ranges before it end.
@@ -173,7 +185,7 @@ def _through_report(records: DataFrame, order: list[Column], unique: bool, folde
         distinct = F.xxhash64(*[f"`{c}`" for c in records.columns])
         records, order = _chunks_of_copies(records), [*order, distinct, F.col("__chunk")]
     dealt = materialize(
-        records.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()), folder
+        records.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()), folder, kept
     )
     earlier = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
     starts = (
@@ -211,12 +223,16 @@ def _within_buckets(
 
 
 def single_prompts(changes: DataFrame, key: list[str], short: bool = False) -> DataFrame:
-    """One prompt per record, in the layout of ``batch_prompts``; ``batch`` is a hash."""
+    """One prompt per record, in the layout of ``batch_prompts``.
+
+    ``bucket`` and ``batch`` are two hashes of the record.
+    """
     schema = changes.schema
     order = [ROW_ORDER] if ROW_ORDER in changes.columns else []
+    record = [*[f"`{k}`" for k in key], "change_type", *order]
     return to_explain(changes).select(
-        F.lit(0).alias("bucket"),
-        F.xxhash64(*[f"`{k}`" for k in key], "change_type", *order).alias("batch"),
+        F.xxhash64(F.lit("bucket"), *record).alias("bucket"),
+        F.xxhash64(*record).alias("batch"),
         prompt(key, schema, short).alias("prompt"),
         F.array(_record(key, schema, F.lit(0))).alias("records"),
     )
@@ -231,6 +247,7 @@ def batch_prompts(
     reply_format: bool = True,
     unique: bool = False,
     folder: str | None = None,
+    kept: Kept | None = None,
 ) -> DataFrame:
     """Prompts of at most ``size`` records: ``bucket``, ``batch``, ``prompt``, ``records``.
 
@@ -246,7 +263,7 @@ def batch_prompts(
     order = order_by or ([ROW_ORDER] if ROW_ORDER in changes.columns else key)
     in_order = [_section(), *[F.col(f"`{c}`") for c in dict.fromkeys([*order, *key])]]
     if buckets is None:
-        numbered = _through_report(records, in_order, unique, folder).withColumn("__bucket", F.lit(0))
+        numbered = through_report(records, in_order, unique, folder, kept).withColumn("__bucket", F.lit(0))
     else:
         numbered = _within_buckets(records, in_order, buckets, [*key, "change_type", *order], unique)
     record_id = F.col("__position") % size
@@ -319,6 +336,42 @@ def with_callable(batches: DataFrame, explain: Callable, tasks: int | None = Non
     return batches.withColumn("answer", called).select(*batches.columns, "answer.*")
 
 
+_ASKED = f"digest string, {_ANSWER}"
+
+
+def ask_once(
+    batches: DataFrame, explain: Callable, answers: str, *, label: str = "", calls_per_task: int = 10,
+    kept: Kept | None = None,
+) -> DataFrame:
+    """``with_callable``, with answers that are stored under ``answers`` and not asked for again.
+
+    Answers are found by a digest of ``label`` (say, the model) and the prompt. Only prompts
+    without a stored response are asked, equal ones once. Each task asks ``calls_per_task``
+    prompts and stores its answers when it ends, whatever becomes of the job: a task that
+    fails repeats its own calls, and a job run again those of tasks that had not ended.
+    Calls that raised are asked again by the next run.
+    """
+    spark = batches.sparkSession
+    digest = F.sha2(F.concat(F.lit(f"{label}\n"), F.col("prompt")), 256)
+    asked = batches.withColumn("digest", digest)
+    wanted = asked.select("digest", "prompt").dropDuplicates(["digest"])
+    if exists(spark, answers):
+        stored = spark.read.schema(_ASKED).parquet(answers).filter("response is not null")
+        wanted = wanted.join(stored.select("digest"), "digest", "left_anti")
+    wanted = materialize(wanted, working_folder(spark), kept)
+    tasks = -(-wanted.count() // calls_per_task)
+    if tasks:
+        calls = wanted.repartitionByRange(tasks, "digest").select("digest", "prompt")
+        found = with_callable(calls, explain).drop("prompt")
+        # The second algorithm leaves the files of a task that has ended, also if the job fails.
+        found.write.mode("append").option("mapreduce.fileoutputcommitter.algorithm.version", "2").parquet(answers)
+    stored = spark.read.schema(_ASKED).parquet(answers) if exists(spark, answers) else spark.createDataFrame([], _ASKED)
+    fields = [c for c in stored.columns if c != "digest"]
+    best = F.max_by(F.struct(*fields), F.struct(F.col("response").isNotNull(), F.xxhash64(*fields)))
+    known = stored.groupBy("digest").agg(best.alias("answer"))
+    return asked.join(known, "digest", "left").select(*batches.columns, "answer.*")
+
+
 def parse_responses(response: Column) -> Column:
     """Items of ``{"explanations": [{"id", "explanation"}]}``; null if it is not JSON."""
     reply = F.from_json(
@@ -337,10 +390,11 @@ def merge(
     """Explanations of all records; those without a text in the response get the template.
 
     ``batches`` carries a ``response`` column, or ``responses`` gives it per ``bucket``
-    and ``batch``; a batch without one failed. Of several texts for a record the last
-    counts. ``json=False`` takes a response as the text of a single record.
+    and ``batch``; a batch without one failed. ``provider`` is what explanations are
+    labelled with. Of several texts for a record the last counts. ``json=False`` takes a response as the text of a single record.
     """
     if responses is not None:
+        responses = responses.dropDuplicates(["bucket", "batch"])
         batches = batches.join(responses, ["bucket", "batch"], "left")
     items = parse_responses(F.col("response"))
     if not json:
@@ -352,11 +406,13 @@ def merge(
     mine = F.filter("items", lambda i: i["id"] == F.col("r.record_id"))
     text = F.get(mine, F.size(mine) - 1)["explanation"]
     found = records.select("r", F.when(text != "", text).alias("text"))
+    positions = _positions(found.schema["r"].dataType)
     return found.select(
         *[F.col("r.key")[k].alias(k) for k in key],
         "r.change_type",
         F.coalesce("text", "r.template").alias("text"),
         F.when(F.col("text").isNull(), TEMPLATE).otherwise(provider).alias("provider"),
+        *[f"r.{c}" for c in positions],
     )
 
 
@@ -367,7 +423,8 @@ def usage(
     """Tokens, cost and fallbacks over all batches, or per segment of them.
 
     Token counts that the response did not give are estimated at four characters a
-    token. Failed batches cost nothing. The template costs nothing at all.
+    token. Failed batches cost nothing. The template costs nothing at all. ``provider``
+    also names the price unless ``prices`` are given; ``error`` is one of the errors.
     """
     prompt_price, completion_price = prices or PRICES.get(provider, (0.0, 0.0))
     records = F.size("records")
@@ -405,6 +462,7 @@ def usage(
         records.cast("long").alias("records"),
         answered.cast("long").alias("answered"),
         (F.col("seconds") if "seconds" in batches.columns else F.lit(0.0)).alias("seconds"),
+        (F.col("error") if "error" in batches.columns else F.lit(None).cast("string")).alias("error"),
     )
 
     def total(c):
@@ -419,6 +477,7 @@ def usage(
         (total("records") - total("answered")).alias("fallback_count"),
         F.coalesce(F.sum("seconds"), F.lit(0.0)).alias("request_seconds"),
         F.coalesce(F.max("estimated"), F.lit(False)).alias("is_estimated"),
+        F.min(F.when(~F.col("ok"), F.col("error"))).alias("error"),
     )
     spent = F.col("prompt_tokens") + F.col("completion_tokens")
     return counted.select(
@@ -441,6 +500,7 @@ def usage(
         .alias("avg_tokens_per_change"),
         "fallback_count",
         "is_estimated",
+        "error",
     )
 
 
@@ -452,9 +512,15 @@ def warnings(used: DataFrame) -> DataFrame:
         F.lit("⚠️ "), name, F.lit(" API fell back to template for "), "fallback_count",
         F.lit(" explanation(s) due to missing items in the response."),
     )
+    batches = F.concat(F.col("failed_batches").cast("string"), F.lit(" batch(es)"))
+    some = F.col("failed_batches") < F.col("batches")
+    reason = (
+        F.when(F.col("error").isNull(), batches)
+        .when(some, F.concat("error", F.lit(" ("), batches, F.lit(")")))
+        .otherwise(F.col("error"))
+    )
     failed = F.concat(
-        F.lit("⚠️ "), name, F.lit(" API failed: "), "failed_batches",
-        F.lit(" batch(es). Fell back to template."),
+        F.lit("⚠️ "), name, F.lit(" API failed: "), reason, F.lit(". Fell back to template."),
     )
     return (
         used.filter(F.col("provider") != TEMPLATE)
@@ -469,12 +535,15 @@ def warnings(used: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Explained:
+    """``provider`` names the price, ``label`` is what explanations are labelled with."""
+
     explanations: DataFrame
     batches: DataFrame
     provider: str
     model: str | None = None
     prices: tuple[float, float] | None = None
     json: bool = True
+    label: str | None = None
 
     @cached_property
     def usage(self) -> DataFrame:
@@ -484,16 +553,27 @@ class Explained:
     def warnings(self) -> DataFrame:
         return warnings(self.usage)
 
+    def provider_used(self) -> str:
+        """The provider, or the template if every batch failed."""
+        if self.provider == TEMPLATE:
+            return TEMPLATE
+        row = self.usage.first()
+        return TEMPLATE if row["batches"] and row["failed_batches"] == row["batches"] else self.provider
+
 
 def explain_changes(
     changes: DataFrame, key: list[str], explain: Callable | None = None, *,
     provider: str = "custom", model: str | None = None, prices: tuple[float, float] | None = None,
-    size: int = 50, buckets: int | Column | None = None, unique: bool = False, single: bool = False,
-    tasks: int | None = None, folder: str | None = None,
+    label: str | None = None, size: int = 50, buckets: int | Column | None = None, unique: bool = False,
+    single: bool = False, answers: str | None = None, calls_per_task: int = 10,
+    folder: str | None = None, kept: Kept | None = None,
 ) -> Explained:
     """Explain all changes by template, or by a user's function with the template behind it.
 
-    The function is called with a prompt per batch, or per record with ``single``.
+    The function is called with a prompt per batch, or per record with ``single``. Its
+    answers are stored under ``answers``, by default in a new table of the working folder;
+    a run that names the table of an earlier one does not ask again (see ``ask_once``).
+    Explanations are labelled ``provider (model)``, or ``provider``, or with ``label``.
     """
     if explain is None:
         records = to_explain(changes).select(F.array(F.lit(0)).alias("records"))
@@ -501,7 +581,15 @@ def explain_changes(
     if single:
         batches = single_prompts(changes, key)
     else:
-        batches = batch_prompts(changes, key, size, buckets, unique=unique, folder=folder)
-    answered = materialize(with_callable(batches, explain, tasks), folder)
-    merged = merge(answered, key, provider, json=not single)
-    return Explained(merged, answered, provider, model, prices, not single)
+        batches = batch_prompts(changes, key, size, buckets, unique=unique, folder=folder, kept=kept)
+    kept = kept or Kept()
+    if answers is None:
+        answers = kept.path(changes.sparkSession, folder or working_folder(changes.sparkSession))
+    asked = f"{provider} ({model})" if model else provider
+    # Numbering and prompts are worked out once: the answers are joined to these very rows.
+    batches = materialize(batches, folder or working_folder(changes.sparkSession), kept)
+    answered = ask_once(batches, explain, answers, label=asked, calls_per_task=calls_per_task, kept=kept)
+    answered = materialize(answered, folder or working_folder(changes.sparkSession), kept)
+    label = label or asked
+    merged = merge(answered, key, label, json=not single)
+    return Explained(merged, answered, provider, model, prices, not single, label)

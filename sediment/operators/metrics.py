@@ -15,6 +15,19 @@ RULE_POINTS = 80
 ONLINE_BONUS = 20
 OFFLINE_BONUS = 10
 
+# The sentences that go with the labels, from failed rules down the scores.
+SENTENCES = (
+    "One or more critical validation rules failed! This indicates overlapping date intervals, "
+    "duplicate active records, or missing business keys. Immediate correction is required.",
+    "All 5 deterministic validation rules passed. Business key auto-detected successfully. "
+    "Online LLM provider completed batch explanations with structured schema validation.",
+    "All deterministic validation rules passed. However, the system is running in offline template "
+    "fallback mode for natural-language explanations.",
+    "SCD2 transformation completed, but validation warnings were triggered. "
+    "Review date boundaries and tracked attributes for potential data quality issues.",
+    "Validation integrity check failed or critical configurations are missing.",
+)
+
 
 def table_profile(df: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Rows, columns, current rows, and historical rows (all that are not current)."""
@@ -51,6 +64,13 @@ def confidence(
     rules: DataFrame, provider: str | Column = TEMPLATE, by: list[str] | None = None
 ) -> DataFrame:
     """Score from 0 to 100 and its label, for a rule table or each segment of it."""
+    return explained_confidence(rules, provider, by).drop("explanation")
+
+
+def explained_confidence(
+    rules: DataFrame, provider: str | Column = TEMPLATE, by: list[str] | None = None
+) -> DataFrame:
+    """``confidence`` with a sentence, ``explanation``, that goes with the label."""
     provider = F.lit(provider) if isinstance(provider, str) else provider
     verdict = rule_summary(rules, by)
     total = F.greatest(F.col("total_count"), F.lit(1))
@@ -64,7 +84,16 @@ def confidence(
         .when((F.col("warn_count") > 0) | (score >= 50), "Medium")
         .otherwise("Low")
     )
-    return verdict.select(*(by or []), score.alias("score"), label.alias("label"))
+    sentence = (
+        F.when(F.col("fail_count") > 0, SENTENCES[0])
+        .when(score >= 90, SENTENCES[1])
+        .when(score >= 75, SENTENCES[2])
+        .when((F.col("warn_count") > 0) | (score >= 50), SENTENCES[3])
+        .otherwise(SENTENCES[4])
+    )
+    return verdict.select(
+        *(by or []), score.alias("score"), label.alias("label"), sentence.alias("explanation")
+    )
 
 
 def efficiency(avg_tokens: Column, provider: Column) -> Column:

@@ -28,18 +28,25 @@ def _zero(dtype: T.DataType) -> Column:
     return F.lit(0).cast(dtype)
 
 
-def match_columns(key: list[str]) -> list[str]:
+def match_columns(key: list[str], null_keys: bool = True) -> list[str]:
     """Names of the columns that ``match_key`` makes."""
-    return [f"__key_{i}" for i in range(len(key))] + [_MASK]
+    return [f"__key_{i}" for i in range(len(key))] + [_MASK] * null_keys
 
 
-def match_key(columns: list[Column], types: list[T.DataType]) -> list[Column]:
+def match_key(
+    columns: list[Column], types: list[T.DataType], null_keys: bool = True
+) -> list[Column]:
     """Key columns without nulls, plus a mask that says which ones were null.
 
+    Where none are null (``null_keys=False``) the columns themselves are enough, and
+    tables bucketed by them stay as they are.
+
     Two rows have the same key, null equal to null, exactly when all of these are
     equal. Joins, windows and aggregates on them therefore share one partitioning,
     which ``<=>`` would not give (it joins on expressions of its own).
     """
+    if not null_keys:
+        return [c.alias(f"__key_{i}") for i, c in enumerate(columns)]
     values = [
         F.coalesce(c, _zero(t)).alias(f"__key_{i}")
         for i, (c, t) in enumerate(zip(columns, types, strict=True))

@@ -51,11 +51,16 @@ class Kept:
         if not folder:
             self.frames.append(df.persist(StorageLevel.MEMORY_AND_DISK))
             return self.frames[-1]
-        path = f"{folder.rstrip('/')}/sediment-{uuid.uuid4().hex}"
-        self.paths.append(path)
+        path = self.path(df.sparkSession, folder)
         df.write.parquet(path)
         return df.sparkSession.read.schema(df.schema).parquet(path)
 
+    def path(self, spark: SparkSession, folder: str) -> str:
+        """A new path in ``folder`` that goes with the other tables."""
+        self._spark = spark
+        self.paths.append(f"{folder.rstrip('/')}/sediment-{uuid.uuid4().hex}")
+        return self.paths[-1]
+
     def close(self) -> None:
         while self.frames:
             self.frames.pop().unpersist()

@@ -311,6 +311,20 @@ def store_days(spark, sf_dir):
     return history.read()
 
 
+@query(
+    "scd2_apply_null_flags",
+    f"{CUSTOMERS.replace('tgt as (', 'tgt0 as (', 1)}, out as ({APPLY_SQL.format(closing=SOFT)}) select * from out".replace(
+        "j as (",
+        "tgt as (select * replace (case when c_custkey % 7 <> 5 then is_current end as is_current) from tgt0),\nj as (", 1,
+    ),
+)
+def applied_null_flags(spark, sf_dir):
+    """Rows whose flag is null are neither current nor closed: they leave the table."""
+    source, target = pairs.customers(spark, sf_dir)
+    target = target.withColumn("is_current", F.when(F.col("c_custkey") % 7 != 5, F.col("is_current")))
+    return apply_scd2(source, target, KEY, processing_date=DAY, unique=True)
+
+
 @query(
     "scd2_last_current_rows",
     f"with {pairs.ORDER_LOG_SQL} select o_custkey, o_orderkey, o_orderpriority, o_orderstatus from last_t",
@@ -616,6 +630,23 @@ def confidence(spark, sf_dir):
     return metrics.confidence(_rules_by_nation(spark, sf_dir), provider, ["c_nationkey"])
 
 
+def _sql_quoted(text):
+    return "'" + text.replace("'", "''") + "'"
+
+
+@query(
+    "scd2_confidence_text",
+    f"{RULES_BY}, labels as (with {CONFIDENCE_SQL.lstrip()}) select c_nationkey, score, label, "
+    f"case when label = 'Low' then {_sql_quoted(metrics.SENTENCES[0])} "
+    f"when label = 'Very High' then {_sql_quoted(metrics.SENTENCES[1])} "
+    f"when label = 'High' then {_sql_quoted(metrics.SENTENCES[2])} "
+    f"else {_sql_quoted(metrics.SENTENCES[3])} end as explanation from labels",
+)
+def confidence_text(spark, sf_dir):
+    provider = F.when(F.col("c_nationkey") % 2 == 0, "groq").otherwise("template")
+    return metrics.explained_confidence(_rules_by_nation(spark, sf_dir), provider, ["c_nationkey"])
+
+
 OUTPUT_RULES_BY = f"""{APPLIED},
 history as (select c_custkey, c_nationkey, effective_from, effective_to, is_current from out)
 {pairs.neighbours_sql('c_nationkey')}{RULE_COUNTS_SQL.format(**SEGMENT)}"""
@@ -780,6 +811,27 @@ def explanation_lines(spark, sf_dir):
     return sinks.explanation_lines(explanations, KEY)
 
 
+@query(
+    "scd2_explanation_order",
+    f"""{CUSTOMERS}, numbered as (
+  select *, row_number() over (order by (change_type = 'deleted')::int,
+    case when change_type = 'deleted' then t_seg else s_seg end, c_custkey desc) - 1 as line_no
+  from ch where change_type <> 'unchanged')
+select line_no, c_custkey, change_type, '[' || upper(change_type) || '] c_custkey=' || c_custkey
+  || chr(10) || '  ' || {TEMPLATE_SQL} || chr(10) || '  Provider: template' || chr(10) as value from numbered""",
+)
+def explanation_order(spark, sf_dir):
+    """Lines numbered in the order of the snapshot, here by segment, deletions in the history's."""
+    source, target = pairs.customers(spark, sf_dir)
+    place = (-F.col("c_custkey")).alias("place")
+    source, target = (side.select("*", place) for side in (source, target))
+    changes = detect_changes(
+        source, target, KEY, ["c_mktsegment", "c_name", "c_nationkey"], unique=True,
+        order_by=["c_mktsegment", "place"], target_order_by=["c_mktsegment", "place"],
+    )
+    return sinks.numbered_lines(explain.template_explanations(changes, KEY), KEY)
+
+
 FIELD_LINES_SQL = (
     "case when change_type = 'changed' then chr(10) || 'Field changes:' || chr(10) "
     "|| '  - c_mktsegment: ''' || t_seg || ''' → ''' || s_seg || '''' else '' end"
@@ -870,6 +922,22 @@ def response_merge(spark, sf_dir):
     return explain.merge(_answered(spark, sf_dir), KEY, "groq")
 
 
+@query(
+    "scd2_response_failed",
+    f"{BATCHES} select c_custkey, change_type, template as text, "
+    "'template' as provider, 'template' as provider_used, "
+    "'⚠️ Gemini API failed: TimeoutError: no reply. Fell back to template.' as warning from records",
+)
+def response_failed(spark, sf_dir):
+    """Every call fails: template texts, the template as provider, and a warning with the error."""
+    answers = [F.lit(None).cast("string").alias("response"), F.lit("TimeoutError: no reply").alias("error")]
+    failed = _batches(spark, sf_dir).select("*", *answers)
+    label = "gemini (flash)"
+    result = explain.Explained(explain.merge(failed, KEY, label), failed, "gemini", "flash", label=label)
+    warning = F.lit(result.warnings.first()["warning"]).alias("warning")
+    return result.explanations.select("*", F.lit(result.provider_used()).alias("provider_used"), warning)
+
+
 @query(
     "scd2_response_join",
     f"{BATCHES} select c_custkey, change_type, "

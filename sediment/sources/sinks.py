@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sediment.functions.columns import IS_CURRENT
+from sediment.functions.columns import IS_CURRENT, ORDERS
 from sediment.functions.text import key_label
+from sediment.operators.diff import report_order
+from sediment.operators.explain import through_report
 from sediment.operators.validate import Validation
 from sediment.operators.views import ordered
+from sediment.plans.materialize import Kept
 
 # Copies of a text are written out in runs of at most this many.
 _RUN = 10_000
@@ -74,22 +77,60 @@ def write_validation(validation: Validation, path: str) -> None:
 
 def explanation_lines(explanations: DataFrame, key: list[str]) -> DataFrame:
     """One text per explanation: type and key, sentence, provider, empty line."""
-    text = F.concat(
+    text = _line_text(explanations, key)
+    return explanations.select(*[f"`{k}`" for k in key], "change_type", text.alias("value"))
+
+
+def numbered_lines(
+    explanations: DataFrame, key: list[str], folder: str | None = None, kept: Kept | None = None
+) -> DataFrame:
+    """``explanation_lines`` with ``line_no``, the place in the report from 0.
+
+    Ranges of the report are numbered side by side (see ``through_report``); they are
+    kept for that.
+    """
+    numbered = through_report(explanations, _line_order(explanations, key), folder=folder, kept=kept)
+    rows = numbered.withColumn("line_no", F.col("__position").cast("long"))
+    return rows.select(
+        "line_no", *[f"`{k}`" for k in key], "change_type", _line_text(explanations, key).alias("value")
+    )
+
+
+def _line_order(explanations: DataFrame, key: list[str]) -> list[Column]:
+    """Report order where explanations carry their position; else new, changed, deleted, by key."""
+    if any(c in explanations.columns for c in ORDERS):
+        return report_order(explanations, key)
+    kind = F.col("change_type")
+    section = F.when(kind == "new", 0).when(kind == "changed", 1).otherwise(2)
+    return [section, *[F.col(f"`{k}`") for k in key]]
+
+
+def _line_text(explanations: DataFrame, key: list[str]) -> Column:
+    return F.concat(
         F.lit("["), F.upper("change_type"), F.lit("] "), key_label(key, explanations.schema),
         F.lit("\n  "), "text", F.lit("\n  Provider: "), "provider", F.lit("\n"),
     )
-    return explanations.select(*[f"`{k}`" for k in key], "change_type", text.alias("value"))
 
 
 def write_explanations(explanations: DataFrame, key: list[str], path: str) -> None:
-    lines = explanation_lines(explanations, key)
-    kind = F.col("change_type")
-    section = F.when(kind == "new", 0).when(kind == "changed", 1).otherwise(2)
     nothing = (
         explanations.limit(1)
         .agg(F.count(F.lit(1)).alias("n"))
         .filter("n = 0")
         .select(F.lit("No changes to explain.").alias("value"))
     )
-    body = lines.orderBy(section, *[f"`{k}`" for k in key]).select("value")
+    ordered = explanations.orderBy(*_line_order(explanations, key))
+    body = ordered.select(_line_text(explanations, key).alias("value"))
     body.unionByName(nothing).write.text(path)
+
+
+def save_bucketed(df: DataFrame, table: str, key: list[str], buckets: int) -> None:
+    """Save a history as a table bucketed and sorted by its key, in parts by ``is_current``.
+
+    A comparison with ``null_keys=False`` reads it without shuffling it, if there are at
+    least as many ``buckets`` as shuffle partitions and key columns are not cast.
+    """
+    writer = df.write.format("parquet").mode("overwrite").bucketBy(buckets, *key).sortBy(*key)
+    if IS_CURRENT in df.columns:
+        writer = writer.partitionBy(IS_CURRENT)
+    writer.saveAsTable(table)

@@ -1,4 +1,7 @@
 import json
+import os
+import time
+import uuid
 
 import pytest
 from conftest import rows
@@ -117,7 +120,85 @@ def test_failed_function(changes):
     used = found.usage.first()
     assert (used.failed_batches, used.total_tokens, used.estimated_cost) == (1, 0, 0.0)
     assert found.batches.first().error == "RuntimeError: down"
-    assert "Gemini API failed: 1 batch(es)" in found.warnings.first().warning
+    assert found.warnings.first().warning == (
+        "⚠️ Gemini API failed: RuntimeError: down. Fell back to template."
+    )
+    assert found.provider_used() == "template"
+
+
+def test_some_failed_calls_are_counted_with_an_error(changes):
+    def fail_new(prompt):
+        if "Change type: new" in prompt:
+            raise RuntimeError("down")
+        return reply((0, "fine"))
+
+    found = explain_changes(changes, KEY, fail_new, provider="groq", model="m1", size=1)
+    assert found.warnings.first().warning == (
+        "⚠️ Groq API failed: RuntimeError: down (1 batch(es)). Fell back to template."
+    )
+    assert found.provider_used() == "groq" and found.usage.first().model == "m1"
+    assert {(r.id, r.provider) for r in found.explanations.collect()} == {
+        (1, "groq (m1)"), (2, "template"), (3, "groq (m1)"), (5, "groq (m1)")
+    }
+    own = explain_changes(changes, KEY, lambda p: reply((0, "x")), provider="groq", label="desk", size=1)
+    assert {r.provider for r in own.explanations.collect()} == {"desk"}
+    used = own.usage.first()
+    assert used.estimated_cost > 0  # the price goes by provider, whatever the label
+
+
+def calls_of(folder):
+    return sorted(f.read_text() for f in folder.iterdir())
+
+
+def test_answers_are_asked_for_once_over_runs_that_fail(spark, history, tmp_path):
+    """A worker dies on its first call for one key; the next run resumes from what was stored."""
+    source = spark.range(12).selectExpr("id", "'n' name")
+    changes = detect_changes(source, history(), KEY, unique=True)
+    calls, answers = tmp_path / "calls", str(tmp_path / "answers")
+    calls.mkdir()
+
+    def answer(prompt):
+        key = prompt.split("Business key: id=")[1].split("\n")[0]
+        (calls / uuid.uuid4().hex).write_text(key)
+        if key == "7" and calls_of(calls).count("7") == 1:
+            time.sleep(2)
+            os._exit(1)
+        return reply((0, f"told {key}"))
+
+    options = {"size": 1, "unique": True, "answers": answers, "calls_per_task": 1, "provider": "groq"}
+    with pytest.raises(Exception, match="crashed|worker"):
+        explain_changes(changes, KEY, answer, **options).explanations.collect()
+    stored = spark.read.parquet(answers).count()
+    before = calls_of(calls)
+    assert stored > 0
+    found = explain_changes(changes, KEY, answer, **options)
+    assert {(r.id, r.text) for r in found.explanations.collect()} == {(i, f"told {i}") for i in range(12)}
+    again = calls_of(calls)
+    assert len(again) - len(before) == 12 - stored
+    explain_changes(changes, KEY, answer, **options).explanations.collect()
+    assert calls_of(calls) == again
+    # Another model is another question, and calls that raised are asked again.
+    explain_changes(changes, KEY, answer, model="m2", **options)
+    assert len(calls_of(calls)) == len(again) + 12
+
+
+def test_failed_calls_are_asked_again_and_equal_prompts_once(spark, tmp_path):
+    batches = spark.range(6).selectExpr("0 bucket", "id batch", "concat('p', id % 2) prompt", "array(id) records")
+    calls, answers = tmp_path / "calls", str(tmp_path / "answers")
+    calls.mkdir()
+
+    def answer(prompt):
+        (calls / uuid.uuid4().hex).write_text(prompt)
+        if prompt == "p1" and calls_of(calls).count("p1") == 1:
+            raise RuntimeError("busy")
+        return prompt.upper()
+
+    found = explain.ask_once(batches, answer, answers)
+    assert rows(found, "batch", "response", "error")[:2] == [(0, "P0", None), (1, None, "RuntimeError: busy")]
+    again = explain.ask_once(batches, answer, answers)
+    assert rows(again, "batch", "response") == [(i, f"P{i % 2}") for i in range(6)]
+    assert calls_of(calls) == ["p0", "p1", "p1"]
+    assert explain.ask_once(batches.limit(0), answer, str(tmp_path / "none")).collect() == []
 
 
 def test_responses_that_are_not_as_asked(changes):

@@ -7,6 +7,7 @@ from sediment.operators.diff import summary
 from sediment.plans.run import run_scd2
 from sediment.sources import ingest, schema
 from sediment.sources.ingest import load_snapshot
+from sediment.sources.store import HistoryStore
 
 HEAD = "customer_id,name,city,tier"
 META = ",effective_from,effective_to,is_current"
@@ -174,6 +175,54 @@ def test_output_and_audit_are_written(run, spark, tmp_path):
     assert result.rows_inspected == 3 and result.seconds > 0 and result.overlaps_found == 0 and result.dropped_rows == 0
 
 
+def test_kept_tables_go_with_the_result(run, spark, tmp_path):
+    folder = tmp_path / "kept"
+    with run(BASE[:2], folder=str(folder), explain=lambda p: "{}", provider="gemini") as result:
+        assert list(folder.glob("sediment-*")) and result.explained.explanations.count() == 1
+    assert not list(folder.glob("sediment-*"))
+
+
+def test_audit_names_the_template_after_total_failure(run, spark, tmp_path):
+    def fail(prompt):
+        raise TimeoutError("no reply")
+
+    for explain, provider in ((fail, "template"), (lambda p: "{}", "gemini")):
+        path = str(tmp_path / provider)
+        result = run(BASE[:2], explain=explain, provider="gemini", model="flash", audit_path=path)
+        assert spark.read.parquet(path).first().provider == result.provider_used == provider
+        assert result.explained.label == "gemini (flash)"
+
+
+def test_row_counts_need_no_jobs_of_their_own(spark, snapshot, history, tmp_path):
+    target = history((1, "a", "2026-01-01", None, True), (2, "b", "2026-01-01", None, None))
+    source = snapshot((1, "z"))
+    result = run_scd2(spark, source, target, DAY, ["id"], unique=True, output_path=str(tmp_path / "o"))
+    assert (result.dropped_rows, result.rows_inspected) == (1, 2)
+    again = run_scd2(spark, source, target, DAY, ["id"], unique=True)
+    assert (again.dropped_rows, again.rows_inspected) == (1, 2)
+    strict = run_scd2(spark, source, target.filter("is_current"), DAY, ["id"], unique=True, null_flags="error")
+    assert (strict.dropped_rows, strict.rows_inspected) == (0, 2)
+
+
+def test_schemas_and_single_lines_reach_the_reader(run, spark, tmp_path):
+    schema = "customer_id string, name string, city string, tier string"
+    meta = ", effective_from date, effective_to date, is_current boolean"
+    result = run(
+        ["007,Mara,Lyon,Gold"], target=opened("007,Mara,Lyon,Gold"), source_schema=schema,
+        target_schema=schema + meta, multi_line=False, key=["customer_id"],
+    )
+    assert [r.customer_id for r in result.output.collect()] == ["007"]
+
+
+def test_a_store_as_target_gets_the_difference(spark, snapshot, history, tmp_path):
+    store = HistoryStore(spark, str(tmp_path / "store"), ["id"])
+    store.start(history((1, "a", "2026-01-01", None, True)), datetime.date(2026, 6, 1))
+    for name in ("wrong", "z"):
+        result = run_scd2(spark, snapshot((1, name), (2, "n")), store, DAY, unique=True)
+    assert result.rows_inspected == 3 and result.passed
+    assert rows(store.read(), "id", "name", "is_current") == [(1, "a", False), (1, "z", True), (2, "n", True)]
+
+
 def test_frames_instead_of_files(spark, snapshot, history):
     target = history((1, "a", "2026-01-01", None, True), (2, "b", "2026-01-01", None, None))
     result = run_scd2(spark, snapshot((1, "z")), target, DAY)

@@ -142,6 +142,58 @@ def test_explanation_report(spark, pair, tmp_path):
     ]
 
 
+def test_reports_follow_the_order_of_both_sides(spark, history, tmp_path):
+    source = spark.createDataFrame([(9, "a", 1), (2, "b", 2), (5, "c", 3)], "id long, name string, n int")
+    target = history(*[(i, n, OLD, None, True) for i, n in [(7, "q"), (2, "x"), (3, "p"), (8, "r")]])
+    for unique in (True, False):
+        changes = detect_changes(
+            source, target, ["id"], ["name"], unique=unique, order_by=["n"], target_order_by=["name"]
+        )
+        wanted = [9, 2, 5, 3, 7, 8]
+        assert [r.id for r in in_report_order(changes, ["id"]).collect()] == wanted
+        explanations = template_explanations(changes, ["id"])
+        sinks.write_explanations(explanations, ["id"], str(tmp_path / f"o{unique}"))
+        lines = [r.value for r in spark.read.text(str(tmp_path / f"o{unique}")).collect()]
+        assert [int(x.split("=")[1]) for x in lines if x.startswith("[")] == wanted
+        numbered = sinks.numbered_lines(explanations, ["id"]).orderBy("line_no").collect()
+        assert [(r.line_no, r.id) for r in numbered] == list(enumerate(wanted))
+
+
+def test_a_bucketed_history_is_not_shuffled(spark, snapshot, history):
+    table = history((1, "x", OLD, None, True), (3, "g", OLD, None, True), (1, "w", "2026-01-01", OLD, False))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        sinks.save_bucketed(table, "bucketed_history", ["id"], 4)
+        stored = spark.table("bucketed_history").select(*table.columns)
+        source = snapshot((1, "a"), (2, "b"))
+        comparison = compare(source, stored, ["id"], unique=True, null_keys=False)
+        plan = comparison.changes()._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" in plan
+        output = apply_scd2(comparison, processing_date=DAY)
+        assert output._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+        assert rows(output) == rows(apply_scd2(source, table, ["id"], processing_date=DAY))
+        repeated = apply_scd2(
+            source, stored, ["id"], processing_date=DAY, unique=False, null_keys=False,
+            order_by=["name"], target_order_by=["name"],
+        )
+        assert rows(repeated) == rows(output)
+        with pytest.raises(Exception, match="against the promise"):
+            compare(snapshot((None, "a")), stored, ["id"], unique=True, null_keys=False).changes().collect()
+    finally:
+        spark.sql("drop table if exists bucketed_history")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_sentences_go_with_the_confidence(spark):
+    for statuses, provider, start in (
+        (["pass"] * 4 + ["fail"], "groq", "One or more"), (["pass"] * 5, "groq", "All 5"),
+        (["pass"] * 4 + ["warn"], "gemini", "All deterministic"), (["pass"] * 4 + ["warn"], "template", "SCD2"),
+        ([], "template", "Validation integrity"),
+    ):
+        rules = spark.createDataFrame([(s,) for s in statuses], "status string")
+        assert metrics.explained_confidence(rules, provider).first().explanation.startswith(start)
+
+
 def test_run_history(spark, tmp_path):
     path = str(tmp_path / "audit")
     assert (tmp_path / "audit").exists() is False

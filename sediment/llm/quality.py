@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sediment.llm.bpe import read_ranks
-from sediment.llm.tables import text_or_empty
+from sediment.llm.tables import kept, text_or_empty
 
 _WINDOW = 5
 _SYMBOLS = b"#*$%&|<>"
@@ -23,17 +23,20 @@ _WORDS = 200_000  # words of which a worker remembers the tokens, twice
 
 @dataclass(frozen=True)
 class Band:
-    """What a text may have; ``None`` in place of a bound sets none.
+    """What the texts of a language or script may have.
 
-    Bounds on shares and entropy hold from ``least_tokens`` tokens on, below which they
-    say little.
+    For each figure the band reaches from its lower to its upper quartile over all texts
+    of that language or script, and ``reach`` times their distance beyond, more so for
+    short texts (``tokens``, at which a text counts half) and where there are few texts.
+    The bounds given here hold besides, for all of them.
     """
 
+    reach: float = 3.0
+    tokens: int = 200
     least_chars: float = 1.2
     most_chars: float = 9.0
     most_fallback: float = 0.2
     least_entropy: float = 2.0
-    least_tokens: int = 50
 
 
 #: By language, and for languages that are not named by script.
@@ -49,6 +52,11 @@ BANDS = {
     "cjk": Band(least_chars=0.3, most_fallback=0.8),
     "other": Band(least_chars=0.25, most_fallback=0.9),
 }
+#: The figures that are judged, each with the least distance of its quartiles.
+FIGURES = {
+    "chars_per_token": 0.05, "byte_chars_per_token": 0.05, "fallback_share": 0.02, "token_entropy": 0.1,
+}
+_FEW = 40  # texts of a language or script at which its quartiles are that much less certain
 # First code points of the scripts told apart here.
 _SCRIPTS = [
     (0x41, "latin"), (0x250, "other"), (0x370, "greek"), (0x400, "cyrillic"), (0x530, "other"),
@@ -177,7 +185,10 @@ def judge_quality(
     ``fallback_share``, ``token_entropy``; ``band`` (the language if it has a band, else
     the script); ``base_failed``; ``reasons``, a string of the figures outside the band;
     ``kept``. Null is the empty text; a text without words fails the base rule and has
-    figures of 0. Rows that repeat are judged each.
+    figures of 0. Rows that repeat are judged each; an empty table gives no rows.
+
+    Figures are made in one pass and kept. Their quartiles, a row per band, come from all
+    texts with words, where equal figures count once: a group of copies does not move them.
     """
     bands = BANDS if bands is None else bands
     with open(piece_path, "rb") as file:  # vocabulary files have a fixed size
@@ -188,7 +199,7 @@ def judge_quality(
         fertility = _fertility(shared)
         for batch in batches:
             rows = [
-                _judge(text, lang, fertility, bands)
+                _measure(text, lang, fertility, bands)
                 for text, lang in zip(batch["text"], batch["lang"], strict=True)
             ]
             out = pd.DataFrame(rows, columns=[name for name, _ in _FIELDS])
@@ -201,39 +212,81 @@ def judge_quality(
         text_or_empty(lang_column).alias("lang") if lang_column else F.lit("").alias("lang"),
     )
     kind = rows.schema[id_column].dataType.simpleString()
-    return rows.mapInPandas(run, f"`{id_column}` {kind}, " + ", ".join(f"{a} {b}" for a, b in _FIELDS))
+    measured = kept(
+        rows.mapInPandas(run, f"`{id_column}` {kind}, " + ", ".join(f"{a} {b}" for a, b in _FIELDS))
+    )
+    return _judged(measured, _limits(measured, bands)).select(
+        f"`{id_column}`", *[name for name, _ in _FIELDS], "reasons", "kept"
+    )
+
+
+def rejections(judged: DataFrame) -> DataFrame:
+    """Number of texts that pass the base rule and that a figure rejects: ``band``, ``reason``, ``texts``."""
+    reason = F.explode(F.split("reasons", ",")).alias("reason")
+    outside = judged.filter(~F.col("base_failed") & (F.col("reasons") != "")).select("band", reason)
+    return outside.groupBy("band", "reason").agg(F.count(F.lit(1)).alias("texts"))
 
 
 _FIELDS = [
     ("n_words", "long"), ("word_chars", "long"), ("n_symbols", "long"), ("n_dup_lines", "long"),
     ("n_repeat_words", "long"), ("n_tokens", "long"), ("chars_per_token", "double"),
     ("byte_chars_per_token", "double"), ("fallback_share", "double"), ("token_entropy", "double"),
-    ("band", "string"), ("base_failed", "boolean"), ("reasons", "string"), ("kept", "boolean"),
+    ("band", "string"), ("base_failed", "boolean"),
 ]
 
 
-def _judge(text: str, lang: str, fertility: Fertility, bands: dict[str, Band]) -> tuple:
+def _measure(text: str, lang: str, fertility: Fertility, bands: dict[str, Band]) -> tuple:
     data = text.encode()
     words = data.split()
     n = len(words)
     chars = len(text) - (len(data) - sum(map(len, words)))  # white space is one byte each
     repeats = repeated_words(words)
     tokens, fallback, second, entropy = fertility.of(words)
-    per_token = chars / tokens if tokens else 0.0
-    share = fallback / tokens if tokens else 0.0
-    name = lang if lang in bands else script_of(text)
-    band = bands.get(name, Band())
-    reasons = []
-    if tokens >= band.least_tokens:
-        if not band.least_chars <= per_token <= band.most_chars:
-            reasons.append("chars_per_token")
-        if share > band.most_fallback:
-            reasons.append("fallback_share")
-        if entropy < band.least_entropy:
-            reasons.append("token_entropy")
-    failed = n < 10 or 100 * repeats > 20 * n
     return (
         n, chars, len(data) - len(data.translate(None, _SYMBOLS)), repeated_lines(data), repeats,
-        tokens, per_token, chars / second if second else 0.0, share, entropy,
-        name, failed, ",".join(reasons), not failed and not reasons,
+        tokens, chars / tokens if tokens else 0.0, chars / second if second else 0.0,
+        fallback / tokens if tokens else 0.0, entropy,
+        lang if lang in bands else script_of(text), n < 10 or 100 * repeats > 20 * n,
+    )
+
+
+def _limits(measured: DataFrame, bands: dict[str, Band]) -> DataFrame:
+    """A row per band: its quartiles, widths and own bounds."""
+    alike = ["band", "n_words", "word_chars", "n_tokens", *FIGURES]
+    quartiles = [F.percentile_approx(c, [0.25, 0.75], 10_000).alias(c) for c in FIGURES]
+    found = (
+        measured.filter("n_tokens > 0").dropDuplicates(alike)
+        .groupBy("band").agg(F.count(F.lit(1)).alias("texts"), *quartiles)
+        .collect()  # no more rows than bands
+    )
+    rows = []
+    for r in found:
+        band = bands.get(r["band"], Band())
+        ends = []
+        for name, least in FIGURES.items():
+            low, high = r[name]
+            ends += [low, high, band.reach * max(high - low, least)]
+        own = (band.least_chars, band.most_chars, band.most_fallback, band.least_entropy)
+        rows.append((r["band"], float(band.tokens), _FEW / r["texts"], *ends, *own))
+    names = [f"{end}_{c}" for c in FIGURES for end in ("low", "high", "more")]
+    own = ["least_chars", "most_chars", "most_fallback", "least_entropy"]
+    ddl = "limits_of string, " + ", ".join(f"{n} double" for n in ["half", "few", *names, *own])
+    return measured.sparkSession.createDataFrame(rows, ddl)
+
+
+def _judged(measured: DataFrame, limits: DataFrame) -> DataFrame:
+    wider = F.sqrt(1 + F.col("half") / F.greatest("n_tokens", F.lit(1)) + F.col("few"))
+    own = {
+        "chars_per_token": ~F.col("chars_per_token").between(F.col("least_chars"), F.col("most_chars")),
+        "fallback_share": F.col("fallback_share") > F.col("most_fallback"),
+        "token_entropy": F.col("token_entropy") < F.col("least_entropy"),
+    }
+    reasons = []
+    for c in FIGURES:
+        more = F.col(f"more_{c}") * wider
+        outside = (F.col(c) < F.col(f"low_{c}") - more) | (F.col(c) > F.col(f"high_{c}") + more)
+        reasons.append(F.when((F.col("n_tokens") > 0) & (outside | own.get(c, F.lit(False))), F.lit(c)))
+    joined = measured.join(F.broadcast(limits), F.col("band") == F.col("limits_of"), "left")
+    return joined.withColumn("reasons", F.concat_ws(",", *reasons)).withColumn(
+        "kept", ~F.col("base_failed") & (F.col("reasons") == "")
     )

@@ -111,6 +111,41 @@ def test_seeds_lose_no_match():
             assert i in [x[0] for x in found], "".join(letters)
 
 
+def _sentences(rng, n):
+    parts = ["the", "and", "tion", "er", "ing", "ed", "on", "was", "th", "st"]
+    return " ".join("".join(rng.choices(parts, k=rng.randint(1, 3))) for _ in range(n))
+
+
+def test_junk_that_passes_the_base_rule_is_outside_the_bands(spark):
+    """Symbols after words and tables of bars; short texts too. Copies do not move the bands."""
+    rng = random.Random(3)
+    clean = [_sentences(rng, rng.randint(12, 300)) for _ in range(150)]
+    marked = ["".join(c + rng.choice(["", "***", "$$$"]) if c == " " else c for c in t) for t in clean[:12]]
+    barred = [t.replace(" ", " | ") for t in clean[20:32] if len(t) > 100]
+    other = ["Ω≈ç√∫ " * 3 + _sentences(rng, 8) + " ŁĽŇ ŠŤŽ " * 4]
+    texts = [*clean, *marked, *barred, *other, *[marked[0]] * 400]
+    judged = quality.judge_quality(
+        _docs(spark, [(i, t, "s", "en") for i, t in enumerate(texts)]), PIECES, RANKS, public_tokenizers.PATTERN
+    )
+    got = sorted(judged.collect(), key=lambda r: r.doc_id)
+    assert not any(r.base_failed for r in got[: len(clean) + len(marked)])
+    lost = [r for r in got[: len(clean)] if not r.kept]
+    caught = [r for r in got[len(clean) :] if not r.kept and not r.base_failed]
+    missed = [r for r in got[len(clean) :] if r.kept]
+    assert len(lost) <= 1 and len(caught) > 400 and len(missed) <= 3
+    counted = {(r.band, r.reason): r.texts for r in quality.rejections(judged).collect()}
+    assert sum(counted.values()) >= len(caught) and {b for b, _ in counted} == {"en"}
+
+
+def test_quality_of_an_empty_table_and_bounds_of_a_band(spark):
+    empty = quality.judge_quality(_docs(spark, []), PIECES, RANKS, public_tokenizers.PATTERN)
+    assert empty.collect() == []
+    rows = [(1, "one two three four five six seven eight nine ten eleven", "s", "en")]
+    strict = {"en": quality.Band(least_entropy=9.0)}
+    row = quality.judge_quality(_docs(spark, rows), PIECES, RANKS, public_tokenizers.PATTERN, bands=strict).first()
+    assert row.reasons == "token_entropy" and not row.kept and not row.base_failed
+
+
 def test_quality(spark):
     long = "The quick brown fox jumps over the lazy dog and runs away from it at once."
     rows = [

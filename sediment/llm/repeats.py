@@ -9,17 +9,15 @@ from hashlib import sha256
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sediment.llm.tables import kept, text_or_empty
+from sediment.plans.keyed import hot_slices, join_sliced
 
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)  # odd, so that powers can be undone modulo 2^64
 _LOW = np.uint64((1 << 21) - 1)
 _BLOCK = 1 << 18  # positions that are worked on at once
-#: Members from which a bucket is refined by rows of windows instead of in one task.
-WIDE = 2000
-_TOGETHER = 4_000  # rows of small buckets, on average, that are refined in one task
 
 
 @lru_cache(4)
@@ -135,163 +133,209 @@ def _find_runs(length: int, id_type: pa.DataType):
     return run
 
 
-def _windows_of(group: pd.DataFrame, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """A hash of every window of every run, row by row, and the number of windows of each row.
+_MEMBER = "id {kind}, print long, bucket long, first int"
 
-    The hash is of the window, its distance from the anchor, and the bucket. Rows are
-    laid end to end and hashed together; windows across two rows are left out.
-    """
-    sizes = group["data"].map(len).to_numpy()
-    counts = sizes - length + 1
-    found, at = [], 0
+
+def _joined(rows: list[bytes]) -> Iterator[tuple[slice, bytes, np.ndarray]]:
+    """Rows laid end to end, so many at once that they are about a block: which, bytes, beginnings."""
+    sizes = np.array([len(r) for r in rows])
+    at = 0
     while at < len(sizes):
         end = at + max(1, int(np.searchsorted(np.cumsum(sizes[at:]), _BLOCK, side="right")))
-        data = b"".join(group["data"].iloc[at:end])
-        each = counts[at:end]
-        inside = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
-        start = np.repeat(np.cumsum(sizes[at:end]) - sizes[at:end], each) + inside
-        distance = np.repeat(group["offset"].to_numpy()[at:end], each) - inside
-        bucket = np.repeat(group["bucket"].to_numpy()[at:end], each).view(np.uint64)
-        first, second = (_Prefixes(data, base).of(start, start + length) for base in _BASES)
-        found.append(first ^ _mixed(second + distance.astype(np.int64).view(np.uint64)) ^ _mixed(bucket))
+        yield slice(at, end), b"".join(rows[at:end]), np.cumsum(sizes[at:end]) - sizes[at:end]
         at = end
-    return np.concatenate(found).view(np.int64), counts
-
-
-def _refine(length: int):
-    """The windows of each run that another run of its bucket has too, as intervals."""
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        together, sizes = _windows_of(group, length)
-        _, place, copies = np.unique(together, return_inverse=True, return_counts=True)
-        again = copies[place] > 1
-        owner = np.repeat(np.arange(len(sizes)), sizes)
-        inside = np.arange(len(together)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        turn = owner[1:] != owner[:-1]
-        opens = again & np.concatenate(([True], ~again[:-1] | turn))
-        closes = again & np.concatenate((~again[1:] | turn, [True]))
-        who = owner[opens]
-        base = group["first"].to_numpy()[who]
-        return pd.DataFrame(
-            {
-                "id": group["id"].iloc[who].to_numpy(),
-                "print": group["print"].to_numpy()[who],
-                "start": base + inside[opens],
-                "stop": base + inside[closes] + length,
-            }
-        )
+
+
+def _each(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For ``counts`` items of every row: the row and the number of the item in it."""
+    row = np.repeat(np.arange(len(counts)), counts)
+    return row, np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+def _columns(batch: pa.RecordBatch, *names: str) -> list[np.ndarray]:
+    return [batch.column(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in names]
+
+
+def _cells(length: int, step: int):
+    """Rows of runs as rows of cells: the windows of a run by their distance from the anchor.
+
+    A cell holds ``step`` distances. ``core`` identifies the bytes that all windows of a
+    whole cell share, ``whole`` those that any of its windows in this run has.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            offset, first = _columns(batch, "offset", "first")
+            rows = batch.column("data").to_pylist()
+            least = offset - np.array([len(r) for r in rows], np.int64) + length
+            for part, data, begin in _joined(rows):
+                far, near = offset[part], least[part]
+                row, item = _each(far // step - near // step + 1)
+                cell = near[row] // step + item
+                low = np.maximum(near[row], cell * step)
+                high = np.minimum(far[row], cell * step + step - 1)
+                anchor = begin[row] + far[row]
+                core_at = anchor - cell * step
+                hashes = []
+                for base in _BASES:
+                    prefixes = _Prefixes(data, base)
+                    hashes.append(
+                        (prefixes.of(core_at, core_at + length - step + 1), prefixes.of(anchor - high, anchor - low + length))
+                    )
+                core = hashes[0][0] ^ _mixed(hashes[1][0] + cell.view(np.uint64))
+                whole = hashes[0][1] ^ _mixed(hashes[1][1] + (low * 2 * length + high).view(np.uint64))
+                taken = pa.array(row + part.start)
+                start = first[part][row] + far[row]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *(batch.column(n).take(taken) for n in ("id", "print", "bucket", "first")),
+                        pa.array(cell.astype(np.int32)), pa.array(core.view(np.int64)), pa.array(whole.view(np.int64)),
+                        pa.array((start - high).astype(np.int32)), pa.array((start - low + length).astype(np.int32)),
+                    ],
+                    names=["id", "print", "bucket", "first", "cell", "core", "whole", "start", "stop"],
+                )
 
     return run
 
 
-def _explode_windows(length: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _windows(length: int, step: int):
+    """Rows of cells, with the bytes of their runs, as rows of windows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, len(batch), 1000):
-                part = batch.iloc[at : at + 1000]
-                hashes, counts = _windows_of(part, length)
-                yield part[["id", "print", "bucket", "first"]].assign(
-                    hashes=np.split(hashes, np.cumsum(counts)[:-1])
+            offset, first, cell = _columns(batch, "offset", "first", "cell")
+            rows = batch.column("data").to_pylist()
+            least = offset - np.array([len(r) for r in rows], np.int64) + length
+            low, high = np.maximum(least, cell * step), np.minimum(offset, cell * step + step - 1)
+            for part, data, begin in _joined(rows):
+                row, item = _each(high[part] - low[part] + 1)
+                distance = low[part][row] + item
+                at = begin[row] + offset[part][row] - distance
+                one, two = (_Prefixes(data, base).of(at, at + length) for base in _BASES)
+                window = one ^ _mixed(two + distance.view(np.uint64))
+                taken = pa.array(row + part.start)
+                start = first[part][row] + offset[part][row] - distance
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *(batch.column(n).take(taken) for n in ("id", "print", "bucket", "first")),
+                        pa.array(distance.astype(np.int32)), pa.array(window.view(np.int64)),
+                        pa.array(start.astype(np.int32)), pa.array((start + length).astype(np.int32)),
+                    ],
+                    names=["id", "print", "bucket", "first", "distance", "window", "start", "stop"],
                 )
 
     return run
 
 
+def _again(rows: DataFrame, counted: DataFrame, on: list[str]) -> DataFrame:
+    """The rows whose identifier ``on`` is one of ``counted`` with more than one member.
+
+    Identifiers that many rows have are split over tasks.
+    """
+    often = counted.filter("n > 1").select(*on)
+    return join_sliced(rows, often, on, hot_slices([rows], on)[0], "left_semi")
+
+
 def repeated_spans(
     docs: DataFrame,
     *,
     length: int = 400,
     id_column: str = "doc_id",
     text_column: str = "text",
-    wide: int = WIDE,
 ) -> DataFrame:
     """Intervals of bytes covered by strings of ``length`` bytes that also start elsewhere.
 
     Rows (``id``, ``print``, ``start``, ``stop``); intervals may overlap. ``print`` is a
     hash of the text, so that rows which repeat an id are told apart by their texts.
 
-    Windows of ``length`` bytes are put into buckets by their anchor, one of their own
-    q-grams. Buckets are refined by the hash of a whole run, that is, by the bytes at all
-    other offsets at once: where it repeats, so does every window of the run. Only runs
-    that share a bucket and not the run, the edges of repeated passages, go on, one of
-    each kind, and are refined window by window; copies take no part in that. Buckets
-    of more than ``wide`` kinds are refined by rows of windows that are counted across
-    tasks, with the same outcome.
+    Windows of ``length`` bytes start in buckets by one of their own q-grams, the anchor;
+    neighbouring windows with one anchor stay together as a run. Buckets are refined in
+    rounds, each by identifiers of the bytes that lie further from the anchor, and only
+    members that share their identifier and are not yet alike go on, one of each kind:
+
+    1. by the bytes of whole runs; 2. by cells of windows at like distances from the
+    anchor, identified by the bytes they share (``core``) and by all they cover; 3. by
+    single windows.
+
+    A member that is alike with another one is repeated with all of its windows. Windows
+    of a run all hold the anchor, so what is repeated of a run is one interval.
     """
     if length % 4 or length < 16:
         raise ValueError("length must be a multiple of 4, and at least 16")
+    step = max(2, length // 25)
     texts = docs.select(
         F.col(f"`{id_column}`").alias("id"),
         F.xxhash64(text_or_empty(text_column)).alias("print"),
         F.encode(text_or_empty(text_column), "UTF-8").alias("data"),
     ).filter(F.octet_length("data") >= length)
     kind = texts.schema["id"].dataType.simpleString()
-    place = f"id {kind}, print long"
+    number = F.count(F.lit(1)).alias("n")
+    member = _MEMBER.format(kind=kind)
     runs = kept(
         texts.mapInArrow(
             _find_runs(length, None),
-            f"{place}, bucket long, whole long, offset int, first int, count int",
+            f"id {kind}, print long, bucket long, whole long, offset int, first int, count int",
         )
     )
-    buckets = kept(
-        runs.groupBy("bucket")
-        .agg(F.count(F.lit(1)).alias("n"), (F.min("whole") == F.max("whole")).alias("alike"))
-        .filter("n > 1")
-        .select("bucket", "alike")
-    )
-    shared = kept(runs.join(buckets, "bucket"))
-    kinds = kept(
-        shared.filter(~F.col("alike"))
-        .groupBy("bucket", "whole", "offset", "count")
-        .agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "print", "first")).alias("one"))
-    )
-    sure = shared.filter("alike").unionByName(
-        shared.filter(~F.col("alike")).join(
-            kinds.filter("n > 1").select("bucket", "whole", "offset", "count"),
-            ["bucket", "whole", "offset", "count"],
-            "left_semi",
-        )
-    )
-    sure = sure.select(
+    # First round: whole runs.
+    buckets = kept(runs.groupBy("bucket").agg(number).filter("n > 1"))
+    shared = kept(_again(runs, buckets, ["bucket"]))
+    same_run = ["bucket", "whole", "offset", "count"]
+    kinds = kept(shared.groupBy(*same_run).agg(number, F.min(F.struct("id", "print", "first")).alias("one")))
+    alike = _again(shared, kinds, same_run)
+    alike = alike.select(
         "id", "print", F.col("first").alias("start"), (F.col("first") + F.col("count") + length - 1).alias("stop")
     )
-    edges = kinds.select("bucket", "offset", "count", "one.id", "one.print", "one.first")
-    of_text = [
-        texts["id"].eqNullSafe(edges["id"]),
-        texts["print"] == edges["print"],
-    ]
+    edges = kept(
+        _unlike(kinds, ["bucket"]).select("bucket", "offset", "count", "one.id", "one.print", "one.first")
+    )
+    of_text = [texts["id"].eqNullSafe(edges["id"]), texts["print"] == edges["print"]]
     cut = F.expr(f"substring(data, first + 1, count + {length - 1})").alias("data")
     spans = kept(
         texts.join(edges, of_text)
         .select(edges["id"], edges["print"], "bucket", "offset", "first", cut)
-        # Rows that repeat both id and text are one place here; their runs are sure already.
+        # Rows that repeat both id and text are one place here; their runs are alike already.
         .dropDuplicates(["id", "print", "bucket", "first"])
     )
-    sizes = spans.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
-    sized = kept(sizes.filter(F.col("n") > wide).select("bucket"))
-    # Many small buckets are refined at once, as many rows together as one task takes easily.
-    tasks = max(1, spans.count() // _TOGETHER)
-    narrow = spans.join(sized, "bucket", "left_anti").withColumn(
-        "task", F.pmod(F.xxhash64("bucket"), F.lit(tasks))
+    # Second round: cells of windows.
+    cells = kept(
+        spans.mapInArrow(
+            _cells(length, step), f"{member}, cell int, core long, whole long, start int, stop int"
+        )
+    )
+    same_cell = ["bucket", "cell", "core", "whole"]
+    counted = kept(cells.groupBy(*same_cell).agg(number, F.min(F.struct("id", "print", "first")).alias("one")))
+    found = _again(cells, counted, same_cell)
+    open_cells = _unlike(counted, ["bucket", "cell", "core"]).select(
+        "bucket", "cell", "one.id", "one.print", "one.first"
     )
-    refined = narrow.groupBy("task").applyInPandas(_refine(length), f"{place}, start int, stop int")
-    windows = (
-        spans.join(sized, "bucket", "left_semi")
-        .mapInPandas(_explode_windows(length), f"{place}, bucket long, first int, hashes array<long>")
-        .select("id", "print", "bucket", "first", F.posexplode("hashes").alias("at", "hash"))
+    # Third round: single windows.
+    bytes_of = [
+        open_cells["id"].eqNullSafe(spans["id"]),
+        *[open_cells[c] == spans[c] for c in ("print", "bucket", "first")],
+    ]
+    at_cells = open_cells.join(spans, bytes_of).select(*[spans[c] for c in spans.columns], "cell")
+    windows = kept(
+        at_cells.mapInArrow(
+            _windows(length, step), f"{member}, distance int, window long, start int, stop int"
+        )
     )
-    often = kept(windows.groupBy("bucket", "hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
-    rows = windows.join(often.select("bucket", "hash"), ["bucket", "hash"], "left_semi")
-    start = F.col("first") + F.col("at")
-    islands = Window.partitionBy("id", "print").orderBy("start")
-    spread = (
-        rows.select("id", "print", start.alias("start"))
-        .select("id", "print", "start", (F.col("start") - F.row_number().over(islands)).alias("island"))
-        .groupBy("id", "print", "island")
-        .agg(F.min("start").alias("start"), (F.max("start") + length).alias("stop"))
+    same_window = ["bucket", "distance", "window"]
+    repeated = _again(windows, kept(windows.groupBy(*same_window).agg(number)), same_window)
+    of_run = ["id", "print", "bucket", "first", "start", "stop"]
+    refined = (
+        found.select(*of_run).unionByName(repeated.select(*of_run))
+        .groupBy("id", "print", "bucket", "first")
+        .agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
         .select("id", "print", "start", "stop")
     )
-    return sure.unionByName(refined).unionByName(spread)
+    return alike.unionByName(refined)
+
+
+def _unlike(kinds: DataFrame, on: list[str]) -> DataFrame:
+    """Kinds that share ``on`` with another kind: the members that go on to the next round."""
+    several = kinds.groupBy(*on).agg(F.count(F.lit(1)).alias("n")).select(*on, F.col("n"))
+    return _again(kinds, several, on)
 
 
 def merged(starts: list[int], stops: list[int]) -> list[tuple[int, int]]:
@@ -314,15 +358,18 @@ def without(data: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 
 def with_spans(docs: DataFrame, spans: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """All rows and columns of ``docs``, with ``__starts`` and ``__stops`` of each text's spans."""
-    lists = spans.groupBy("id", "print").agg(
-        F.collect_list("start").alias("__starts"), F.collect_list("stop").alias("__stops")
+    """All rows of ``docs`` in a column ``doc``, with ``starts`` and ``stops`` of each text's spans."""
+    lists = kept(
+        spans.groupBy("id", "print").agg(
+            F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops")
+        )
     )
-    lists = kept(lists.withColumnsRenamed({"id": "__id", "print": "__print"}))
-    same = F.col(f"`{id_column}`").eqNullSafe(F.col("__id")) & (
-        F.xxhash64(text_or_empty(text_column)) == F.col("__print")
+    rows = docs.select(
+        F.struct([F.col(f"`{c}`") for c in docs.columns]).alias("doc"),
+        F.col(f"`{id_column}`").alias("of"), F.xxhash64(text_or_empty(text_column)).alias("text_print"),
     )
-    return docs.join(lists, same, "left").drop("__id", "__print")
+    same = rows["of"].eqNullSafe(lists["id"]) & (rows["text_print"] == lists["print"])
+    return rows.join(lists, same, "left").select("doc", "starts", "stops")
 
 
 def remove_repeats(
@@ -331,7 +378,6 @@ def remove_repeats(
     length: int = 400,
     id_column: str = "doc_id",
     text_column: str = "text",
-    wide: int = WIDE,
 ) -> DataFrame:
     """Removes every byte covered by a string of ``length`` bytes that also starts elsewhere.
 
@@ -340,11 +386,12 @@ def remove_repeats(
     places count, also those of the same row, and none of them stays. Null is the empty
     text; texts shorter than ``length`` stay; rows that repeat count as places apart.
     """
-    spans = repeated_spans(docs, length=length, id_column=id_column, text_column=text_column, wide=wide)
+    spans = repeated_spans(docs, length=length, id_column=id_column, text_column=text_column)
     rows = with_spans(docs.select(
         F.col(f"`{id_column}`").alias(id_column), F.col(f"`{text_column}`").alias(text_column)
     ), spans, id_column, text_column)
-    kind = rows.schema[id_column].dataType.simpleString()
+    kind = docs.schema[id_column].dataType.simpleString()
+    text = F.coalesce(F.col("doc")[text_column].cast("string"), F.lit(""))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -362,7 +409,7 @@ def remove_repeats(
             )
 
     return rows.select(
-        id_column, F.encode(text_or_empty(text_column), "UTF-8").alias("data"), "__starts", "__stops"
+        F.col("doc")[id_column].alias(id_column), F.encode(text, "UTF-8").alias("data"), "starts", "stops"
     ).mapInArrow(run, f"`{id_column}` {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
@@ -373,17 +420,18 @@ def _rest(texts: pd.Series, starts: pd.Series, stops: pd.Series) -> pd.Series:
     ])
 
 
-def drop_repeats(docs: DataFrame, *, length: int = 400, wide: int = WIDE) -> DataFrame:
+def drop_repeats(docs: DataFrame, *, length: int = 400) -> DataFrame:
     """``docs`` with repeated strings cut out of ``text``; rows and columns stay as they are.
 
     Where a cut falls within a character, the rest of that character goes too.
     """
-    spans = repeated_spans(docs, length=length, wide=wide)
+    spans = repeated_spans(docs, length=length)
     rows = with_spans(docs, spans, "doc_id", "text")
     cut = F.pandas_udf(_rest, "string")
     nothing = F.array().cast("array<int>")
-    rest = cut(
-        text_or_empty("text"), F.coalesce("__starts", nothing), F.coalesce("__stops", nothing)
+    text = F.coalesce(F.col("doc")["text"].cast("string"), F.lit(""))
+    rest = cut(text, F.coalesce("starts", nothing), F.coalesce("stops", nothing))
+    shorter = F.when(F.col("starts").isNotNull(), rest).otherwise(F.col("doc")["text"])
+    return rows.withColumn("rest", shorter).select(
+        *[(F.col("rest") if c == "text" else F.col("doc")[c]).alias(c) for c in docs.columns]
     )
-    text = F.when(F.col("__starts").isNotNull(), rest).otherwise(F.col("text"))
-    return rows.withColumn("text", text).select([F.col(f"`{c}`") for c in docs.columns])

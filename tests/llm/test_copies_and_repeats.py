@@ -98,16 +98,46 @@ def _covered(datas, length):
     return out
 
 
-@pytest.mark.parametrize(("length", "wide"), [(400, 2000), (64, 2000), (64, 0), (16, 1)])
-def test_repeats_against_brute_force(spark, texts, length, wide):
-    rows = [*enumerate(texts), (3, texts[3]), (None, texts[8])]
+@pytest.mark.parametrize("length", [400, 64, 16])
+def test_repeats_against_brute_force(spark, texts, length):
+    _check_repeats(spark, [*enumerate(texts), (3, texts[3]), (None, texts[8])], length)
+
+
+@pytest.mark.parametrize("length", [400, 100])
+def test_a_passage_with_other_neighbours_in_every_text(spark, length):
+    """Edges of one passage: a hot bucket with many kinds, of which some share more bytes."""
+    rng = random.Random(9)
+    passage = _prose(rng, 150)
+    around = [_prose(rng, 40) for _ in range(6)]
+    rows = []
+    for i in range(120):
+        before, after = _prose(rng, 30), _prose(rng, 30)
+        if i % 3 == 0:
+            before += around[i % 6][-(i + 1) :]
+        if i % 5 == 0:
+            after = around[i % 4][: 2 * i + 1] + after
+        rows.append((i, before + passage[i % 7 :] + after))
+    _check_repeats(spark, [*rows, *rows[:3]], length)
+
+
+def test_rounds_agree_with_hot_identifiers_and_small_cells(spark, texts, monkeypatch):
+    """Every identifier with over a third of the rows is split; results stay the same."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "3")
+    try:
+        _check_repeats(spark, [(i, texts[7] + "é" * (i % 4)) for i in range(40)], 64)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def _check_repeats(spark, rows, length):
     datas = [(t or "").encode() for _, t in rows]
     expected = []
     for (i, _), data, gone in zip(rows, datas, _covered(datas, length), strict=True):
         left = bytes(b for b, g in zip(data, gone, strict=True) if not g)
         runs = int((np.diff(np.concatenate(([0], gone.astype(int)))) == 1).sum())
         expected.append((i, len(data), int(gone.sum()), runs, hashlib.sha256(left).hexdigest()))
-    got = repeats.remove_repeats(_docs(spark, rows), length=length, wide=wide).collect()
+    got = repeats.remove_repeats(_docs(spark, rows), length=length).collect()
     found = [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in got]
     assert sorted(found, key=repr) == sorted(expected, key=repr)
 
@@ -121,6 +151,18 @@ def test_runs_of_long_texts_are_cut_at_blocks(monkeypatch):
     assert set(cut[0].tolist()) == set(whole[0].tolist())
 
 
+def test_repeats_of_empty_tables_and_names_that_operators_use(spark, texts):
+    empty = _docs(spark, [])
+    assert repeats.remove_repeats(empty).collect() == [] and repeats.drop_repeats(empty).collect() == []
+    names = ["__starts", "__id", "starts", "doc", "rest", "of", "print", "data"]
+    docs = spark.createDataFrame([(i, t, *["own"] * len(names)) for i, t in enumerate(texts)],
+                                 "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    out = repeats.drop_repeats(docs, length=64)
+    plain = {r.doc_id: r.text for r in repeats.drop_repeats(_docs(spark, enumerate(texts)), length=64).collect()}
+    assert out.columns == docs.columns and {r.doc_id: r.text for r in out.collect()} == plain
+    assert all(r[n] == "own" for r in out.collect() for n in names)
+
+
 def test_dropping_repeats_keeps_rows_and_columns(spark, texts):
     docs = _docs(spark, enumerate(texts))
     out = repeats.drop_repeats(docs, length=64)

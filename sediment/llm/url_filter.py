@@ -84,21 +84,61 @@ def _targets(html: Column) -> Column:
         tags = F.filter(F.regexp_extract_all(html, F.lit(rf"(?is)<{tag}\b[^>]*+>"), F.lit(0)), lambda t: t.rlike(kind))
         return F.transform(tags, lambda t: F.regexp_extract(t, place, 1))
 
+    worth = html.rlike(r"(?i)\bcanonical\b|\brefresh\b")
+    html = F.regexp_replace(html, r"(?s)<!--.*?(-->|$)", "")
     links = named("link", _CANONICAL, r"""(?is)\bhref\s*=\s*["']?\s*([^"'\s>]+)""")
     moves = named("meta", _REFRESH, r"""(?is)\burl\s*=\s*['"]?\s*([^"'\s>]+)""")
-    worth = html.rlike(r"(?i)\bcanonical\b|\brefresh\b")
     return F.when(worth, F.filter(F.array_distinct(F.concat(links, moves)), lambda t: t != ""))
 
 
+def _unescaped(link: Column) -> Column:
+    """A link out of HTML, with the entities that links have read as characters."""
+    # Entities and what they stand for; the ampersand comes last.
+    for entity, text in (
+        ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&#47;", "/"),
+        ("&#x2f;", "/"), ("&#x2F;", "/"), ("&#38;", "&"), ("&#x26;", "&"), ("&amp;", "&"),
+    ):
+        link = F.replace(link, F.lit(entity), F.lit(text))
+    return link
+
+
+def _without_dots(path: Column) -> Column:
+    """A path that begins with a slash, with ``.`` and ``..`` taken out; never above the root."""
+    nothing = F.array().cast("array<string>")
+
+    def step(done, part):
+        shorter = F.when(F.size(done) > 1, F.slice(done, F.lit(1), F.size(done) - 1)).otherwise(done)
+        return F.when(part == ".", done).when(part == "..", shorter).otherwise(F.concat(done, F.array(part)))
+
+    parts = F.aggregate(F.split(path, "/"), nothing, step)
+    plain = ~path.rlike(r"/\.\.?(/|$)")
+    last = F.when(path.rlike(r"/\.\.?$"), F.lit("/")).otherwise(F.lit(""))
+    return F.when(plain, path).otherwise(F.concat(F.array_join(parts, "/"), last))
+
+
 def _absolute(target: Column, url: Column) -> Column:
-    """A link as a whole URL, read relative to the page it stands on."""
+    """A link as a whole URL, read relative to the page it stands on; null for other schemes.
+
+    As browsers do: ``?…`` keeps the page's own path, ``#…`` is the page itself, ``//…``
+    keeps its scheme, and dots in paths are resolved.
+    """
+    link = _unescaped(target)
+    scheme = F.regexp_extract(url, r"^[^:]*:", 0)
     origin = F.regexp_extract(url, r"^[^:]*://[^/?#]*", 0)
-    folder = F.regexp_extract(path_of(url), r"^.*/", 0)
+    page = F.regexp_replace(path_of(url), "^$", "/")
+    query = F.regexp_extract(_after_scheme(url), r"^[^?#]*(\?[^#]*)?", 1)
+    path = F.regexp_extract(link, r"^[^?#]*", 0)
+    rest = F.regexp_extract(link, r"^[^?#]*(.*)$", 1)
+    folder = F.regexp_extract(page, r"^.*/", 0)
+    whole = link.rlike(r"(?i)^[a-z][a-z0-9+.-]*://")
     return (
-        F.when(target.contains("://"), target)
-        .when(target.startswith("//"), F.concat(F.lit("http:"), target))
-        .when(target.startswith("/"), F.concat(origin, target))
-        .otherwise(F.concat(origin, F.when(folder == "", "/").otherwise(folder), target))
+        F.when(whole, link)
+        .when(link.rlike(r"(?i)^[a-z][a-z0-9+.-]*:"), F.lit(None).cast("string"))
+        .when(link.startswith("//"), F.concat(scheme, link))
+        .when(path.startswith("/"), F.concat(origin, _without_dots(path), rest))
+        .when(path != "", F.concat(origin, _without_dots(F.concat(folder, path)), rest))
+        .when(rest.startswith("?"), F.concat(origin, page, rest))
+        .otherwise(F.concat(origin, page, query))
     )
 
 
@@ -122,7 +162,8 @@ def judge_urls(
     and ``to_url``, whose targets need not be pages).
 
     A null URL, or one without ``://``, has empty host and path, no alias and the verdict
-    ``default`` (a rule needs a host). Repeated rows are judged alike, each by itself.
+    ``default`` (a rule needs a host). Repeated rows are judged alike, each by itself; an
+    empty table gives no rows.
     """
     url = F.col("url")
     columns = [F.col(f"`{id_column}`").alias("id"), F.col(f"`{url_column}`").cast("string").alias("url")]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -131,7 +133,8 @@ def scan_notices(
     Per row: the id, ``n_words`` and ``matches``, an array of (``label``, ``phrase``,
     ``base``, ``first_word``, ``n_words``, ``edits``, ``similarity``) by place. Words count
     from 0; similarity is 1 less the edits for each letter of the phrase. Null is the
-    empty text, without words or matches; rows that repeat are scanned each.
+    empty text, without words or matches; rows that repeat are scanned each; an empty
+    table gives no rows.
     """
     known = notices() if known is None else known
 
@@ -143,7 +146,10 @@ def scan_notices(
                 words = words_of(text)
                 counts.append(len(words))
                 spaced = f" {b' '.join(words).decode()} "
-                results.append([_match(scanner, spaced, *x) for x in scanner.scan(spaced)])
+                found = scanner.scan(spaced)
+                # Places of the spaces, once for all matches of a text.
+                spaces = [m.start() for m in re.finditer(" ", spaced)] if found else []
+                results.append([_match(scanner, spaces, *x) for x in found])
             yield pd.DataFrame({id_column: batch[id_column], "n_words": counts, "matches": results})
 
     rows = docs.select(F.col(f"`{id_column}`").alias(id_column), text_or_empty(text_column).alias("text"))
@@ -153,14 +159,15 @@ def scan_notices(
     return rows.mapInPandas(run, f"`{id_column}` {kind}, n_words long, matches array<struct<{fields}>>")
 
 
-def _match(scanner: Scanner, spaced: str, i: int, start: int, end: int, edits: int) -> dict:
+def _match(scanner: Scanner, spaces: list[int], i: int, start: int, end: int, edits: int) -> dict:
     notice = scanner.known[i]
+    before, until = bisect_left(spaces, start), bisect_left(spaces, end)
     return {
         "label": notice.label,
         "phrase": notice.phrase,
         "base": notice.base and not edits,
-        "first_word": spaced.count(" ", 0, start) - 1,
-        "n_words": spaced.count(" ", start, end) + 1,
+        "first_word": before - 1,
+        "n_words": until - before + 1,
         "edits": edits,
         "similarity": 1 - edits / len(notice.phrase),
     }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sediment.llm.tables import kept, text_or_empty
+from sediment.llm.tables import free_name, kept, text_or_empty
 
 
 def _lines(text: Column) -> Column:
@@ -55,25 +55,29 @@ def boilerplate(
 
 
 def _with_keys(
-    docs: DataFrame, ratio: float, least: int, host_column: str, text_column: str, copies: bool = True
+    docs: DataFrame, keys: str, ratio: float, least: int, host_column: str, text_column: str, copies: bool = True
 ) -> DataFrame:
-    """``docs`` with ``__keys``, the boilerplate of each row's host.
+    """``docs`` with a column ``keys``, the boilerplate of each row's host.
 
     The table of hosts is written first, so that its size is known: below the session's
     threshold it is broadcast, beyond it the rows are joined by host, and adaptive
     execution splits a host with very many.
     """
+    site = free_name(docs, "__site")
     found = kept(
         boilerplate(
             docs, ratio=ratio, least=least, host_column=host_column, text_column=text_column, copies=copies
-        ).select(F.col("host").alias("__site"), F.col("keys").alias("__keys"))
+        ).select(F.col("host").alias(site), F.col("keys").alias(keys))
     )
-    return docs.join(found, F.col(f"`{host_column}`").eqNullSafe(F.col("__site")), "left").drop("__site")
+    return docs.join(found, F.col(f"`{host_column}`").eqNullSafe(F.col(site)), "left").drop(site)
 
 
-def _stays(line: Column) -> Column:
-    key = _key(line)
-    return key.isNull() | ~F.array_contains(F.col("__keys"), key)
+def _left(lines: Column, keys: str) -> Column:
+    def stays(line):
+        key = _key(line)
+        return key.isNull() | ~F.array_contains(F.col(keys), key)
+
+    return F.filter(lines, stays)
 
 
 def strip_lines(
@@ -90,16 +94,17 @@ def strip_lines(
     Per row: the id, ``n_lines``, ``n_removed``, ``text``. A line is boilerplate if more
     than ``ratio`` of the host's pages have it, and at least ``least`` pages. Lines end at
     line feeds and are compared without white space at their ends; blank lines always
-    stay. A null host is a host of its own. A null text counts as the empty text, which
+    stay. A null host is a host of its own; an empty table gives no rows. A null text counts as the empty text, which
     is one blank line. Rows that repeat are pages of their own.
     """
     rows = docs.select(
         *[F.col(f"`{c}`").alias(c) for c in dict.fromkeys((id_column, host_column))],
         text_or_empty(text_column).alias(text_column),
     )
-    joined = _with_keys(rows, ratio, least, host_column, text_column)
+    keys = free_name(rows, "__keys")
+    joined = _with_keys(rows, keys, ratio, least, host_column, text_column)
     lines = _lines(F.col(f"`{text_column}`"))
-    left = F.when(F.col("__keys").isNull(), lines).otherwise(F.filter(lines, _stays))
+    left = F.when(F.col(keys).isNull(), lines).otherwise(_left(lines, keys))
     return joined.select(
         F.col(f"`{id_column}`"), F.size(lines).cast("long").alias("n_lines"), left.alias("__left")
     ).select(
@@ -110,9 +115,10 @@ def strip_lines(
 
 def drop_lines(docs: DataFrame, *, ratio: float = 0.1, least: int = 5, copies: bool = True) -> DataFrame:
     """``docs`` with boilerplate lines taken out of ``text``; rows and columns stay as they are."""
-    joined = _with_keys(docs, ratio, least, "source", "text", copies)
+    keys = free_name(docs, "__keys")
+    joined = _with_keys(docs, keys, ratio, least, "source", "text", copies)
     text = F.when(
-        F.col("__keys").isNotNull() & F.col("text").isNotNull(),
-        F.array_join(F.filter(_lines(F.col("text")), _stays), "\n"),
+        F.col(keys).isNotNull() & F.col("text").isNotNull(),
+        F.array_join(_left(_lines(F.col("text")), keys), "\n"),
     ).otherwise(F.col("text"))
     return joined.withColumn("text", text).select([F.col(f"`{c}`") for c in docs.columns])

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sediment.llm.graph import components
-from sediment.llm.tables import kept, text_or_empty
+from sediment.llm.tables import free_name, kept, text_or_empty
 
 SEED = 42
 BITS = 64
@@ -137,20 +137,26 @@ def simhash_groups(
 def drop_near_copies(docs: DataFrame, *, shingle: int = 3, distance: int = 2) -> DataFrame:
     """One document of each group stays: the one with the smallest ``doc_id``.
 
-    Rows that repeat this id and its fingerprint count as one document; null ids are one
-    id, which stays only where its group has no other. Columns are those of ``docs``.
+    Of rows that repeat this id and its fingerprint the one with the smallest hash of its
+    text stays, and of those the one with the smallest hash of all columns; null ids are
+    one id, which stays only where its group has no other. Columns are those of ``docs``;
+    an empty table stays empty.
     """
     groups = simhash_groups(docs, shingle=shingle, distance=distance)
+    own, its_id, its_print = (free_name(docs, n) for n in ("__fp", "__id", "__print"))
     stay = (
         groups.groupBy("component_id")
         .agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "fp")).alias("it"))
-        .select(F.col("it.doc_id").alias("__id"), F.col("it.fp").alias("__print"))
+        .select(F.col("it.doc_id").alias(its_id), F.col("it.fp").alias(its_print))
     )
     stay = kept(stay.distinct())
-    marked = docs.withColumn("__fp", fingerprint_column("text", shingle))
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__fp") == F.col("__print"))
+    marked = docs.withColumn(own, fingerprint_column("text", shingle))
+    same = F.col("doc_id").eqNullSafe(F.col(its_id)) & (F.col(own) == F.col(its_print))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    order = F.struct(F.xxhash64("text"), F.xxhash64(*columns))
     return (
         marked.join(stay, same, "left_semi")
-        .dropDuplicates(["doc_id", "__fp"])
-        .select([F.col(f"`{c}`") for c in docs.columns])
+        .groupBy(F.col("doc_id").alias("of"), F.col(own).alias("fp"))
+        .agg(F.min_by(F.struct(*columns), order).alias("row"))
+        .select("row.*")
     )

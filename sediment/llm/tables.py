@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sediment.plans.materialize import working_folder
 
 _ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
@@ -28,14 +28,11 @@ def kept(df: DataFrame) -> DataFrame:
 
     Lost executors then cost no more than their running tasks, and a join of two such
     tables has plain exchanges on both sides, which adaptive execution can split where
-    a key is hot. A session that names no folder (a test) gets one of its own.
+    a key is hot. A local session that names no folder gets one of its own; on a cluster
+    that is an error, as executors would not reach it.
     """
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="sediment-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/sediment-{uuid.uuid4().hex}"
+    path = f"{working_folder(spark).rstrip('/')}/sediment-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -43,3 +40,11 @@ def kept(df: DataFrame) -> DataFrame:
 def text_or_empty(column: str) -> Column:
     """The text as a string, null as the empty one."""
     return F.coalesce(F.col(f"`{column}`").cast("string"), F.lit(""))
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, made longer until no column of ``df`` has it (Spark ignores case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sediment.llm.tables import text_or_empty
+from sediment.llm.tables import free_name, text_or_empty
 
 #: Bound of the sample that weights are fitted on, in labelled rows.
 SAMPLE = 20_000
@@ -208,13 +208,20 @@ def score_column(docs: DataFrame, weights: Weights, column: str = "text"):
 
 
 def toxicity_scores(docs: DataFrame, weights: Weights) -> DataFrame:
-    """Per row: ``doc_id``, ``held_out``, ``score`` and ``predicted`` (1 from 0.5 on)."""
+    """Per row: ``doc_id``, ``held_out``, ``score`` and ``predicted`` (1 from 0.5 on).
+
+    Rows that repeat are scored each, and an empty table gives no rows.
+    """
     return docs.select(
         "doc_id", (~learnable(F.col("doc_id"))).alias("held_out"), score_column(docs, weights).alias("score")
     ).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def drop_toxic(docs: DataFrame, weights: Weights, *, limit: float = 0.5) -> DataFrame:
-    """The rows whose score is below ``limit``, with the columns of ``docs``."""
-    scored = docs.withColumn("__score", score_column(docs, weights))
-    return scored.filter(F.col("__score") < limit).select([F.col(f"`{c}`") for c in docs.columns])
+    """The rows whose score is below ``limit``, with the columns of ``docs``.
+
+    Rows that repeat a text get one score, so all of them stay or go; an empty table stays so.
+    """
+    score = free_name(docs, "__score")
+    scored = docs.withColumn(score, score_column(docs, weights))
+    return scored.filter(F.col(score) < limit).select([F.col(f"`{c}`") for c in docs.columns])

@@ -17,7 +17,7 @@ def _rows(frame, columns):
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_its_sql(spark, name):
     con = duckdb.connect()
-    for table in ("documents", "pages"):
+    for table in ("documents", "pages", "embeddings"):
         con.execute(f"create view {table} as select * from '{DATA}/{table}.parquet'")
     cursor = con.execute(ORACLES[name])
     columns = sorted(d[0] for d in cursor.description)

@@ -2,16 +2,20 @@
 
 import hashlib
 import itertools
+import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
 import tiktoken
+from pyspark.sql import functions as F
 
-from sediment.llm import bpe, license_scan, line_dedup, packing, quality, toxicity, url_filter
+from sediment.llm import bpe, license_scan, line_dedup, packing, quality, simhash, toxicity, url_filter
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -318,3 +322,124 @@ def test_every_link_of_a_page_counts(spark):
     )
     got = {r.page_id: r.verdict for r in url_filter.judge_urls(pages, RULES).collect()}
     assert got == {i: "allow" if i == 5 else "block" for i in range(6)}
+
+
+def test_links_are_read_as_browsers_do(spark):
+    """Relative, query-only, escaped, commented and foreign links; each page's alias is where it leads."""
+    page = "http://m.net/a/b/c.html?p=1#f"
+    cases = {
+        "../bad.html": "m.net/a/bad.html", "./d.html": "m.net/a/b/d.html", "d": "m.net/a/b/d",
+        "../../../e": "m.net/e", "/x/../y/./z": "m.net/y/z", "..": "m.net/a", "?q=1&amp;r=2": "m.net/a/b/c.html?q=1&r=2",
+        "#top": "m.net/a/b/c.html?p=1", "//n.org/k": "n.org/k", "HTTPS://n.org/K": "n.org/K",
+        "/r?u=http://x.org/": "m.net/r?u=http://x.org/", "x.html?u=a/../b": "m.net/a/b/x.html?u=a/../b",
+        "mailto:me@n.org": None, "javascript:void(0)": None,
+    }
+    links = list(cases)
+    frame = spark.createDataFrame([(i, page, t) for i, t in enumerate(links)], "i long, url string, t string")
+    whole = url_filter._absolute(F.col("t"), F.col("url"))
+    got = {r.i: r.p for r in frame.select("i", url_filter.plain_form(whole).alias("p")).collect()}
+    assert {links[i]: p for i, p in got.items()} == cases
+    bare = spark.createDataFrame([("http://m.net", "d"), ("http://m.net?q", "?r")], "url string, t string")
+    got = [r[0] for r in bare.select(url_filter._absolute(F.col("t"), F.col("url"))).collect()]
+    assert got == ["http://m.net/d", "http://m.net/?r"]
+    hidden = [
+        (1, "http://m.net/1", '<!-- <link rel="canonical" href="http://bad.com/1"> -->'),
+        (2, "http://m.net/2", '<!-- x --><link rel="canonical" href="http://bad.com/2"><!-- y -->'),
+        (3, "http://m.net/3", '<!-- open <link rel="canonical" href="http://bad.com/3">'),
+        (4, "http://m.net/s/4", '<link rel=canonical href="../t/bad.html">'), (5, "http://m.net/t/bad.html", None),
+    ]
+    rules = [*RULES, url_filter.Rule("m.net/t/", "block")]
+    pages = spark.createDataFrame(hidden, "page_id long, url string, html string")
+    verdicts = {r.page_id: r.verdict for r in url_filter.judge_urls(pages, rules).collect()}
+    assert verdicts == {1: "allow", 2: "block", 3: "allow", 4: "block", 5: "block"}
+
+
+def test_notices_against_a_search_at_every_place(spark):
+    rng = random.Random(12)
+    known = license_scan.notices()
+    base = {n.phrase: n.label for n in known if n.base}
+    filler = ["the", "cc", "by", "all", "rights", "gpl", "mit", "Émile", "x1"]
+    rows = []
+    for i in range(60):
+        words = []
+        for _ in range(rng.randint(0, 40)):
+            words.append(rng.choice([*base, rng.choice(known).phrase, *filler * 3]))
+        text = rng.choice([" ", ", ", "\n"]).join(words)
+        rows.append((i, rng.choice([text, text.upper(), text.replace("license", "licence")])))
+    for r in license_scan.scan_notices(_docs(spark, rows)).collect():
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), rows[r.doc_id][1]))
+        places = [
+            (label, at) for phrase, label in base.items() for at in range(len(words))
+            if words[at : at + len(phrase.split())] == phrase.split()
+        ]
+        assert r.n_words == len(words)
+        assert sorted((m.label, m.first_word) for m in r.matches if m.base) == sorted(places)
+        spaced = f" {' '.join(words)} "
+        for m in r.matches:  # spans are what the match says
+            span = " ".join(words[m.first_word : m.first_word + m.n_words])
+            assert regex.fullmatch(f"(?:{regex.escape(m.phrase)}){{e<={m.edits}}}", span) and span in spaced
+
+
+def test_matches_of_a_long_text_take_time_by_its_length(spark):
+    seconds = []
+    for n in (10_000, 40_000):
+        start = time.perf_counter()
+        row = license_scan.scan_notices(_docs(spark, [(1, "all rights reserved x " * n)])).first()
+        seconds.append(time.perf_counter() - start)
+        assert len(row.matches) == n and row.matches[-1].first_word == 4 * (n - 1)
+    assert seconds[1] < 8 * max(seconds[0], 0.3)
+
+
+def test_ftrl_equals_plain_coordinates():
+    """The update of each coordinate as it is written down, one after the other."""
+    rng = random.Random(2)
+    s = toxicity.Settings(bits=6, l1=0.3, l2=0.1, alpha=0.5, beta=1.0, positive=2.0)
+    model = toxicity.Ftrl(s, -0.2)
+    z, n = [0.0] * 64, [0.0] * 64
+
+    def weight(i):
+        if abs(z[i]) <= s.l1:
+            return 0.0
+        return -(z[i] - (1 if z[i] > 0 else -1) * s.l1) / ((s.beta + n[i] ** 0.5) / s.alpha + s.l2)
+
+    for _ in range(200):
+        at, label = sorted(rng.sample(range(64), rng.randint(1, 12))), float(rng.random() < 0.3)
+        model.learn(np.array(at), label)
+        total = sum(weight(i) for i in at) - 0.2
+        slope = (1 / (1 + math.exp(-total)) - label) * (2.0 if label else 1.0)
+        weights = {i: weight(i) for i in at}
+        for i in at:
+            step = ((n[i] + slope**2) ** 0.5 - n[i] ** 0.5) / s.alpha
+            z[i] += slope - step * weights[i]
+            n[i] += slope**2
+    assert np.allclose(model.z, z) and np.allclose(model.n, n)
+    assert np.allclose(model.weights(np.arange(64)), [weight(i) for i in range(64)])
+
+
+def test_stages_keep_columns_that_have_names_of_their_own(spark):
+    names = ["__keys", "__site", "__score", "__fp", "__id", "__print", "fp", "of", "row"]
+    rows = [(i, f"line of all\nown {i} words here\nof {i}", "s", *["own"] * len(names)) for i in range(12)]
+    rows += [(3, rows[3][1].upper(), "s", *["own"] * len(names))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"`{n}` string" for n in names))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(12)], "doc_id long, toxic int")
+    outs = [
+        line_dedup.drop_lines(docs, ratio=0.5, least=2), toxicity.drop_toxic(docs, toxicity.fit(docs, labels), limit=1.1),
+        simhash.drop_near_copies(docs, shingle=3, distance=0),
+    ]
+    for out, count in zip(outs, (13, 13, 12), strict=True):
+        found = out.collect()
+        assert out.columns == docs.columns and len(found) == count
+        assert all(r[n] == "own" for r in found for n in names)
+        empty = docs.limit(0)
+    assert line_dedup.drop_lines(empty).collect() == simhash.drop_near_copies(empty).collect() == []
+    assert license_scan.scan_notices(empty).collect() == [] and toxicity.drop_toxic(empty, toxicity.fit(empty, labels)).collect() == []
+
+
+def test_which_of_rows_that_repeat_an_id_stays_is_fixed(spark):
+    """Equal id and fingerprint, other texts: the row with the smallest hash of its text."""
+    rows = [(1, "Some Words here", "s", "en"), (1, "some words here", "s", "de"), (1, "some words here", "s", "en")]
+    kept_rows = {
+        tuple(simhash.drop_near_copies(_docs(spark, order), shingle=3, distance=2).collect()[0])
+        for order in (rows, rows[::-1], rows[1:] + rows[:1])
+    }
+    assert len(kept_rows) == 1

@@ -274,6 +274,36 @@ def test_missed_recall_is_an_error(spark):
         vectors.near_vectors(frame, settings=vectors.Settings(recall=1.01, rounds=0, tries=1))
 
 
+def test_recall_is_measured_where_no_vector_has_a_link(spark):
+    x = np.random.default_rng(6).standard_normal((300, 64))
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = vectors.near_vectors(frame, settings=vectors.Settings(audited=64))
+    assert 0.97 <= found.recall <= 1
+    assert {(r.n_links, r.kept) for r in found.rows.collect()} == {(0, True)}
+
+
+def test_planted_copies(spark):
+    settings = vectors.Settings(neighbours=2, audited=8)
+    x = np.random.default_rng(7).standard_normal((8, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    nodes = spark.createDataFrame([(i, bytearray(v.tobytes())) for i, v in enumerate(x)], "node long, vector binary")
+    planted = vectors._planted(nodes, 0.9, settings)
+    rows = planted.collect()
+    cosines = sorted(float(np.frombuffer(r.vector) @ x[r.origin]) for r in rows)
+    assert len(rows) == 8 and cosines[0] >= 0.9 and cosines[-1] <= 0.95
+    # One has its origin in its list, one has a list full of other links, one a list without its origin.
+    lists = [
+        (rows[0].node, [(-0.9, rows[0].origin, False)]),
+        (rows[1].node, [(-0.95, 100, False), (-0.94, 101, False)]),
+        (rows[2].node, [(-0.2, 100, False)]),
+    ]
+    graph = spark.createDataFrame(lists, "u long, list array<struct<far: double, v: long, new: boolean>>")
+    assert vectors._planted_recall(graph, planted, 0.9, settings) == 1 / 7
+    flat = spark.createDataFrame([(1, bytearray(np.ones(1).tobytes()))], "node long, vector binary")
+    assert vectors._planted(flat, 0.9, settings) is None
+
+
 def test_no_vectors(spark):
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>")
-    assert vectors.near_vectors(empty).rows.count() == 0
+    found = vectors.near_vectors(empty)
+    assert found.rows.count() == 0 and found.recall == 1

@@ -25,6 +25,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines on over a tenth of a host's different texts, and three at least, go from its documents."""
     return _counted(line_dedup.drop_lines(docs, ratio=LINE_RATIO, least=LINE_LEAST, copies=False))
 
 
@@ -41,6 +42,7 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as sequences in batches; see ``packing.pack``."""
     return packing.pack(docs)
 
 

@@ -8,7 +8,9 @@ from collections.abc import Iterable, Iterator
 from hashlib import sha256
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,7 +20,8 @@ from sediment.llm.tables import text_or_empty
 # Memory of one worker is bounded by forgetting what can be worked out again.
 _PIECES = 500_000
 _MOVES = 900_000
-_TEXTS = 200  # that are encoded together
+_SHORT = 64  # bytes of a piece that is read side by side with others
+_BYTES = 4 << 20  # of texts that are encoded together
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -37,7 +40,8 @@ class Transducer:
     certain and the bytes read since; its members are the places among these bytes
     from which a token may still reach on. Tokens that the ways to all members share are
     certain and are emitted; no member lags behind by more than the longest token, which
-    bounds the lookahead.
+    bounds the lookahead. The last certain token is the left neighbour only of what begins
+    where it ends; a state without a member there is the same one after any such token.
     """
 
     def __init__(self, ranks: dict[bytes, int]):
@@ -64,9 +68,15 @@ class Transducer:
         #: Of each state: last certain token, bytes since, token that ends at each of them,
         #: members (place, node of the tree).
         self.states = [(-1, b"", (), ((0, self.root),))]
-        self.numbers = {(-1, b""): 0}
+        self.numbers: dict[tuple, int] = {(-1, b""): 0}
         self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}
 
+    def _bound(self) -> None:
+        if len(self.moves) > _MOVES:
+            self.forget()
+        if len(self.fits) > _MOVES:
+            self.fits.clear()
+
     def encode(self, piece: bytes) -> tuple[int, ...]:
         """Ids of one piece of the pattern; a piece that is a token stays whole."""
         if not piece:
@@ -74,43 +84,78 @@ class Transducer:
         whole = self.ranks.get(piece)
         if whole is not None:
             return (whole,)
-        return self.encode_sorted([piece])[0]
+        self._bound()
+        return self._read(piece)
 
-    def encode_sorted(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
-        """Ids of pieces in rising order, each read on from the bytes it shares with the one before."""
-        if len(self.moves) > _MOVES:
-            self.forget()
-        if len(self.fits) > _MOVES:
-            self.fits.clear()
-        ranks, moves, states = self.ranks, self.moves, self.states
-        found, before = [], b""
-        path, counts, out = [0], [0], []  # state and number of tokens after each byte; the tokens
-        for piece in pieces:
+    def encode_many(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
+        """Ids of pieces, which are read side by side: a move that many make is looked up once.
+
+        For the last byte of a piece only the token that ends there is needed, and no state.
+        """
+        self._bound()
+        ranks, moves = self.ranks, self.moves
+        found: list[tuple[int, ...]] = []
+        open_pieces = []
+        for i, piece in enumerate(pieces):
             whole = ranks.get(piece)
             if whole is not None:
                 found.append((whole,))
-                continue
-            at = 0
-            for a, b in zip(piece, before, strict=False):
-                if a != b:
-                    break
-                at += 1
-            del path[at + 1 :], counts[at + 1 :], out[counts[at] :]
-            state = path[at]
-            for byte in piece[at:]:
-                move = moves.get(state << 8 | byte)
+            elif len(piece) > _SHORT:
+                found.append(self._read(piece))
+            else:
+                found.append(())
+                open_pieces.append(i)
+        at = np.array(open_pieces, np.int64)
+        short = [pieces[i] for i in open_pieces]
+        data = np.frombuffer(b"".join(short), np.uint8).astype(np.int64)
+        sizes = np.array([len(piece) for piece in short], np.int64)
+        places, ends = np.cumsum(sizes) - sizes, np.cumsum(sizes)
+        states = np.zeros(len(at), np.int64)
+        while len(at):
+            keys, move_of = np.unique(states << 8 | data[places], return_inverse=True)
+            places += 1
+            goes_on = places < ends
+            used = np.zeros(len(keys), bool)
+            used[move_of[~goes_on]] = True
+            out: list[tuple[int, ...]] = [()] * len(keys)
+            for k, key in zip(np.flatnonzero(used).tolist(), keys[used].tolist(), strict=True):
+                out[k] = self._last(key >> 8, key & 255)
+            for i, k in zip(at[~goes_on].tolist(), move_of[~goes_on].tolist(), strict=True):
+                found[i] += out[k]
+            at, move_of, places, ends = at[goes_on], move_of[goes_on], places[goes_on], ends[goes_on]
+            used[:] = False
+            used[move_of] = True
+            after, emits = np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+            for k, key in zip(np.flatnonzero(used).tolist(), keys[used].tolist(), strict=True):
+                move = moves.get(key)
                 if move is None:
-                    move = moves[state << 8 | byte] = self._move(state, byte)
-                state, emitted = move
-                if emitted:
-                    out += emitted
-                path.append(state)
-                counts.append(len(out))
-            before = piece
-            _, rest, ends, _ = states[state]
-            found.append((*out, *self._way(ends, len(rest))))
+                    move = moves[key] = self._move(key >> 8, key & 255)
+                after[k], out[k] = move
+                if move[1]:
+                    emits[k] = True
+            states = after[move_of]
+            some = emits[move_of]
+            for i, k in zip(at[some].tolist(), move_of[some].tolist(), strict=True):
+                found[i] += out[k]
         return found
 
+    def _read(self, piece: bytes) -> tuple[int, ...]:
+        """Ids of one piece, byte by byte."""
+        moves, state, out = self.moves, 0, []
+        for byte in piece[:-1]:
+            move = moves.get(state << 8 | byte)
+            if move is None:
+                move = moves[state << 8 | byte] = self._move(state, byte)
+            state, emitted = move
+            out += emitted
+        return (*out, *self._last(state, piece[-1]))
+
+    def _last(self, state: int, byte: int) -> tuple[int, ...]:
+        """The tokens that are not yet emitted where a piece ends with a byte read in a state."""
+        ended = self._ending(state, byte)
+        _, since, ends, _ = self.states[state]
+        return (*self._way(ends, len(since) + 1 - self.sizes[ended]), ended)
+
     def _way(self, ends: tuple[int, ...], place: int) -> list[int]:
         """The tokens on the way to a place."""
         way = []
@@ -121,6 +166,20 @@ class Transducer:
         way.reverse()
         return way
 
+    def _ending(self, state: int, byte: int) -> int:
+        """The token that ends with a byte read in a state."""
+        last, _, ends, members = self.states[state]
+        for place, node in members:
+            step = node.get(byte)
+            if step is not None and step[1] >= 0:
+                pair = ends[place - 1] if place else last, step[1]
+                fits = self.fits.get(pair)
+                if fits is None:
+                    fits = self.fits[pair] = self._stand_together(*pair)
+                if fits:
+                    return step[1]
+        raise ValueError(f"no token begins with the byte {byte}")
+
     def _move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
         last, since, ends, members = self.states[state]
         reach, ended = [], -1
@@ -158,7 +217,7 @@ class Transducer:
                 emitted = tuple(self._way(ends, cut))
                 last, since, ends = emitted[-1], since[cut:], ends[cut:]
                 reach = [(place - cut, node) for place, node in reach]
-        number = self.numbers.setdefault((last, since), len(self.states))
+        number = self.numbers.setdefault((ends if reach[0][0] else last, since), len(self.states))
         if number == len(self.states):
             self.states.append((last, since, ends, tuple(reach)))
         return number, emitted
@@ -303,9 +362,10 @@ class Codec:
         self.pattern = regex.compile(pattern)
         self.machine = Utf8Machine(self.transducer.tokens)
         self.cut_at_spaces = cut_at_spaces
-        #: What is known of the latest words, and of those before.
+        #: What is known of the latest words, and of those before; and of pieces, which words share.
         self.known: dict[str, tuple[int, ...]] = {}
         self.before: dict[str, tuple[int, ...]] = {}
+        self.pieces: dict[str, tuple[int, ...]] = {}
 
     def _encode(self, text: str) -> list[int]:
         out: list[int] = []
@@ -313,25 +373,22 @@ class Codec:
             out += self.transducer.encode(piece.encode())
         return out
 
-    def _learn(self, words: set[str]) -> None:
-        """Work out what follows a space; distinct pieces in rising order."""
-        known, before = self.known, self.before
-        split: dict[str, list[bytes]] = {}
-        for word in words:
-            ids = before.get(word)
-            if ids is not None:
-                known[word] = ids
-            elif word.isascii() and word.isalpha():
-                split[word] = [f" {word}".encode()]
-            else:
-                split[word] = [piece.encode() for piece in self.pattern.findall(f" {word}")]
-        pieces = sorted(set(chain.from_iterable(split.values())))
-        found = dict(zip(pieces, self.transducer.encode_sorted(pieces), strict=True))
-        for word, parts in split.items():
-            known[word] = (
-                found[parts[0]] if len(parts) == 1
-                else tuple(chain.from_iterable(map(found.__getitem__, parts)))
-            )
+    def _learn(self, words: list[str]) -> list[tuple[int, ...]]:
+        """Work out what follows a space; distinct pieces together."""
+        if len(self.pieces) > _PIECES:
+            self.pieces = {}
+        pieces = self.pieces
+        split = [
+            [f" {word}"] if word.isascii() and word.isalpha() else self.pattern.findall(f" {word}") for word in words
+        ]
+        new = list(set(chain.from_iterable(split)).difference(pieces))
+        pieces.update(zip(new, self.transducer.encode_many([piece.encode() for piece in new]), strict=True))
+        found = [
+            pieces[parts[0]] if len(parts) == 1 else tuple(chain.from_iterable(map(pieces.__getitem__, parts)))
+            for parts in split
+        ]
+        self.known.update(zip(words, found, strict=True))
+        return found
 
     def encode_all(self, texts: list[str]) -> list[list[int]]:
         """The ids of each text."""
@@ -339,16 +396,40 @@ class Codec:
             return [self._encode(text) for text in texts]
         if len(self.known) > _PIECES:
             self.known, self.before = {}, self.known
-        split = [text.split(" ") for text in texts]
-        new = set().union(*(x[1:] for x in split)).difference(self.known)
-        unsafe = {x for x in new if not x or x != x.strip()}
-        self._learn(new - unsafe)
-        known, out = self.known, []
-        for text, (first, *rest) in zip(texts, split, strict=True):
-            if first != first.strip() or (unsafe and not unsafe.isdisjoint(rest)):
+        split = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        words = split.flatten().dictionary_encode()
+        distinct, codes, begins = words.dictionary.to_pylist(), words.indices.to_numpy(), split.offsets.to_numpy()
+        after_space = np.ones(len(codes), bool)
+        after_space[begins[:-1]] = False
+        used = np.zeros(len(distinct), bool)
+        used[codes[after_space]] = True
+        unsafe = np.array([not x or x != x.strip() for x in distinct], bool)
+        known, before = self.known, self.before
+        found: list[tuple[int, ...]] = [()] * len(distinct)
+        new = []
+        for i in np.flatnonzero(used & ~unsafe).tolist():
+            word = distinct[i]
+            ids = known.get(word)
+            if ids is None:
+                ids = before.get(word)
+                if ids is None:
+                    new.append(i)
+                    continue
+                known[word] = ids
+            found[i] = ids
+        for i, ids in zip(new, self._learn([distinct[i] for i in new]), strict=True):
+            found[i] = ids
+        # Sums of unsafe words up to each place tell which texts hold some.
+        sums = np.concatenate(([0], np.cumsum(unsafe[codes] & after_space)))
+        whole = (sums[begins[1:]] > sums[begins[:-1]]).tolist()
+        numbers, begins, out = codes.tolist(), begins.tolist(), []
+        for text, begin, end, together in zip(texts, begins, begins[1:], whole, strict=False):
+            first = distinct[numbers[begin]]
+            if together or first != first.strip():
                 out.append(self._encode(text))
             else:
-                out.append(self._encode(first) + list(chain.from_iterable(map(known.__getitem__, rest))))
+                rest = map(found.__getitem__, numbers[begin + 1 : end])
+                out.append([*self._encode(first), *chain.from_iterable(rest)])
         return out
 
     def encode(self, text: str) -> list[int]:
@@ -372,12 +453,16 @@ def _codec(ranks, pattern: str, cut_at_spaces: bool) -> Codec:
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Some texts at a time. Meanwhile nothing looks for reference cycles, of which there are none."""
+    """Texts of some length at a time. Meanwhile nothing looks for reference cycles, of which there are none."""
     gc.disable()
     try:
         for batch in batches:
-            for at in range(0, batch.num_rows, _TEXTS):
-                yield batch.slice(at, _TEXTS)
+            ends = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False).astype(np.int64))
+            at = before = 0
+            while at < len(ends):
+                end = max(at + 1, int(np.searchsorted(ends, before + _BYTES, side="right")))
+                yield batch.slice(at, end - at)
+                at, before = end, ends[end - 1]
     finally:
         gc.enable()
 

@@ -10,6 +10,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import regex
 import tiktoken
@@ -59,6 +60,39 @@ def test_forgetting_changes_nothing(library, monkeypatch):
         assert small.encode(text) == library.encode_ordinary(text)
 
 
+def _compounds(n):
+    rng = random.Random(n)
+    parts = ["th", "an", "er", "ing", "le", "ou", "é", "tion", "st"]
+    ends = ["", "", ",", ".", "!?", ".\nThe"]
+    return ["".join(rng.choices(parts, k=rng.randrange(1, 7))) + rng.choice(ends) for _ in range(n)]
+
+
+def test_states_and_pieces_are_worked_out_once(codec, library, monkeypatch):
+    asked = []
+    encode_many = bpe.Transducer.encode_many
+    monkeypatch.setattr(
+        bpe.Transducer, "encode_many", lambda self, pieces: asked.extend(pieces) or encode_many(self, pieces)
+    )
+    fresh = bpe.Codec(codec.transducer.ranks, public_tokenizers.PATTERN, True)
+    words = _compounds(3000)
+    texts = ["x " + " ".join(words[at : at + 100]) for at in range(0, len(words), 100)]
+    for text in texts:
+        assert fresh.encode(text) == library.encode_ordinary(text)
+    after_spaces = [piece for piece in asked if piece != b"x"]  # the first word of each text stands apart
+    assert len(after_spaces) == len(set(after_spaces))
+    # Where nothing begins after the last certain token, states that differ in it alone are one.
+    later = [(since, ends) for _, since, ends, members in fresh.transducer.states if members[0][0]]
+    assert len(later) > 100 and len(later) == len(set(later))
+
+
+def test_texts_are_encoded_together_up_to_some_bytes(monkeypatch):
+    monkeypatch.setattr(bpe, "_BYTES", 10)
+    texts = ["", "aaaa", "bbbbbb", "c", "", "d" * 30, "é" * 5, ""]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(8)), pa.array(texts)], names=["doc_id", "text"])
+    parts = [part.column(1).to_pylist() for part in bpe._slices(iter([batch.slice(0, 0), batch, batch.slice(1, 1)]))]
+    assert parts == [texts[:3], texts[3:5], texts[5:6], texts[6:], texts[1:2]]
+
+
 def test_streaming_decoder_agrees_with_python():
     rng = random.Random(1)
     machine = bpe.Utf8Machine({i: bytes((i,)) for i in range(256)})

@@ -8,6 +8,8 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 import tiktoken
 from pyspark.sql import DataFrame
@@ -19,6 +21,7 @@ from sediment.llm.tables import kept, text_or_empty
 _WINDOW = 5
 _SYMBOLS = b"#*$%&|<>"
 _WORDS = 200_000  # words of which a worker remembers the tokens, twice
+_CHARS = 1 << 21  # characters of texts that are measured at once
 
 
 @dataclass(frozen=True)
@@ -80,25 +83,27 @@ def script_of(text: str) -> str:
 
 def repeated_words(words: list[bytes], window: int = _WINDOW) -> int:
     """Words that stand in a window of words found twice or more, the first one included."""
-    count = len(words) - window + 1
-    if count < 2:
-        return 0
     numbers = {word: i for i, word in enumerate(dict.fromkeys(words))}
-    if len(numbers) == len(words):
+    return _repeated(np.array([numbers[word] for word in words], np.int64), window)
+
+
+def _repeated(ids: np.ndarray, window: int = _WINDOW) -> int:
+    """``repeated_words`` of words given as numbers."""
+    count = len(ids) - window + 1
+    if count < 2:
         return 0
-    ids = np.array(list(map(numbers.__getitem__, words)), np.int64)
-    # Windows are numbered exactly, word by word: pairs of (number so far, next word).
-    places = ids[:count]
-    for k in range(1, window):
-        _, places = np.unique(places * len(numbers) + ids[k : count + k], return_inverse=True)
-        if places.max() + 1 == count:  # already no two are alike
+    # Windows are numbered exactly, word by word: pairs of (number so far, next word). Those
+    # that begin like no other one are not found twice.
+    at, places, many = np.arange(count), ids[:count], int(ids.max()) + 1
+    for k in range(min(1, window - 1), window):
+        _, places, times = np.unique(places * many + ids[at + k], return_inverse=True, return_counts=True)
+        again = times[places] > 1
+        at, places = at[again], places[again]
+        if not len(at):
             return 0
-    again = np.bincount(places)[places] > 1
-    if not again.any():
-        return 0
-    covered = np.zeros(len(words), bool)
+    covered = np.zeros(len(ids), bool)
     for k in range(window):
-        covered[k : count + k] |= again
+        covered[at + k] = True
     return int(covered.sum())
 
 
@@ -124,7 +129,7 @@ class Fertility:
         self.known: tuple[dict, dict] = ({}, {})
         self.before: tuple[dict, dict] = ({}, {})
 
-    def _learn(self, words: set[bytes]) -> None:
+    def _learn(self, words: list[str]) -> None:
         ids, counts = self.known
         old_ids, old_counts = self.before
         new = []
@@ -133,26 +138,32 @@ class Fertility:
                 ids[word], counts[word] = old_ids[word], old_counts[word]
             else:
                 new.append(word)
-        texts = [w.decode() for w in new]
-        for word, text, pieces in zip(new, texts, self.pieces.encode(texts, num_threads=1), strict=True):
+        for word, pieces in zip(new, self.pieces.encode(new, num_threads=1), strict=True):
             ids[word] = tuple(pieces)
-            counts[word] = len(self.bytes.encode_ordinary(f" {text}"))
+            counts[word] = len(self.bytes.encode_ordinary(f" {word}"))
 
-    def of(self, words: list[bytes]) -> tuple[int, int, int, float]:
-        """Piece tokens, those of them that are single bytes, byte-level tokens, entropy in bits."""
+    def of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of different words: numbers of piece tokens, these tokens end to end, numbers of byte-level tokens."""
         if len(self.known[0]) > _WORDS:
             self.known, self.before = ({}, {}), self.known
         ids, counts = self.known
-        self._learn(set(words).difference(ids))
-        if not words:
-            return 0, 0, 0, 0.0
-        second = sum(map(counts.__getitem__, words))
-        tokens = np.array(list(chain.from_iterable(map(ids.__getitem__, words))), np.int64)
-        if not len(tokens):
-            return 0, 0, second, 0.0
-        _, times = np.unique(tokens, return_counts=True)
-        shares = times / len(tokens)
-        return len(tokens), int(self.fallback[tokens].sum()), second, float(-(shares * np.log2(shares)).sum())
+        self._learn([word for word in words if word not in ids])
+        pieces = [ids[word] for word in words]
+        return (
+            np.array([len(p) for p in pieces], np.int64),
+            np.array(list(chain.from_iterable(pieces)), np.min_scalar_type(len(self.fallback))),
+            np.array([counts[word] for word in words], np.int64),
+        )
+
+
+def _entropy(tokens: np.ndarray) -> float:
+    """In bits."""
+    if not len(tokens):
+        return 0.0
+    tokens = np.sort(tokens)
+    borders = np.flatnonzero(tokens[1:] != tokens[:-1]) + 1
+    shares = np.diff(borders, prepend=0, append=len(tokens)) / len(tokens)
+    return float(-(shares * np.log2(shares)).sum())
 
 
 _models: dict[int, Fertility] = {}
@@ -198,10 +209,10 @@ def judge_quality(
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fertility = _fertility(shared)
         for batch in batches:
-            rows = [
-                _measure(text, lang, fertility, bands)
-                for text, lang in zip(batch["text"], batch["lang"], strict=True)
-            ]
+            texts, langs = batch["text"].tolist(), batch["lang"].tolist()
+            rows = []
+            for part in _parts([len(text) for text in texts]):
+                rows += _measure(texts[part], langs[part], fertility, bands)
             out = pd.DataFrame(rows, columns=[name for name, _ in _FIELDS])
             out.insert(0, id_column, batch[id_column].to_numpy())
             yield out
@@ -235,19 +246,57 @@ _FIELDS = [
 ]
 
 
-def _measure(text: str, lang: str, fertility: Fertility, bands: dict[str, Band]) -> tuple:
-    data = text.encode()
-    words = data.split()
-    n = len(words)
-    chars = len(text) - (len(data) - sum(map(len, words)))  # white space is one byte each
-    repeats = repeated_words(words)
-    tokens, fallback, second, entropy = fertility.of(words)
-    return (
-        n, chars, len(data) - len(data.translate(None, _SYMBOLS)), repeated_lines(data), repeats,
-        tokens, chars / tokens if tokens else 0.0, chars / second if second else 0.0,
-        fallback / tokens if tokens else 0.0, entropy,
-        lang if lang in bands else script_of(text), n < 10 or 100 * repeats > 20 * n,
+def _parts(sizes: list[int]) -> Iterator[slice]:
+    """Neighbouring texts of ``_CHARS`` characters together, or a single one that is longer."""
+    begin, total = 0, 0
+    for i, size in enumerate(sizes):
+        if i > begin and total + size > _CHARS:
+            yield slice(begin, i)
+            begin, total = i, 0
+        total += size
+    if sizes:
+        yield slice(begin, len(sizes))
+
+
+def _sums(values: np.ndarray) -> np.ndarray:
+    """The sums of the first 0, 1, ... values."""
+    return np.concatenate(([0], np.cumsum(values, dtype=np.int64)))
+
+
+def _measure(texts: list[str], langs: list[str], fertility: Fertility, bands: dict[str, Band]) -> list[tuple]:
+    """The fields of every text. Words are told apart and tokenised once for all texts together."""
+    split = pc.ascii_split_whitespace(pa.array(texts, pa.string()))
+    words = split.flatten()
+    filled = pc.greater(pc.binary_length(words), 0)  # none before and after white space at the ends
+    bounds = _sums(filled.to_numpy(zero_copy_only=False))[split.offsets.to_numpy()]
+    coded = words.filter(filled).dictionary_encode()
+    ids = coded.indices.to_numpy().astype(np.int64)
+    counts, tokens, seconds = fertility.of(coded.dictionary.to_pylist())
+
+    ends = _sums(counts)
+    fallbacks = np.diff(_sums(fertility.fallback[tokens])[ends])
+    chars, second, fallback, total = (
+        _sums(of_word[ids])[bounds]
+        for of_word in (pc.utf8_length(coded.dictionary).to_numpy(), seconds, fallbacks, counts)
     )
+    # The tokens of all texts: those of the words, one word after the other.
+    times = counts[ids]
+    stream = tokens[np.arange(total[-1]) + np.repeat(ends[ids] - _sums(times)[:-1], times)]
+
+    rows = []
+    for i, (text, lang) in enumerate(zip(texts, langs, strict=True)):
+        data = text.encode()
+        n, n_chars, n_second, n_fallback, n_tokens = (
+            int(x[i + 1] - x[i]) for x in (bounds, chars, second, fallback, total)
+        )
+        repeats = _repeated(ids[bounds[i] : bounds[i + 1]])
+        rows.append((
+            n, n_chars, len(data) - len(data.translate(None, _SYMBOLS)), repeated_lines(data), repeats,
+            n_tokens, n_chars / n_tokens if n_tokens else 0.0, n_chars / n_second if n_second else 0.0,
+            n_fallback / n_tokens if n_tokens else 0.0, _entropy(stream[total[i] : total[i + 1]]),
+            lang if lang in bands else script_of(text), n < 10 or 100 * repeats > 20 * n,
+        ))
+    return rows
 
 
 def _limits(measured: DataFrame, bands: dict[str, Band]) -> DataFrame:

@@ -201,6 +201,38 @@ def test_quality(spark):
     assert "fallback_share" in by_id[7].reasons and not by_id[7].kept
 
 
+def test_words_are_tokenised_once_for_many_texts(monkeypatch):
+    """One call for a part of the texts, and the figures of each text by itself."""
+    with open(PIECES, "rb") as file:
+        fertility = quality.Fertility(file.read(), bpe.read_ranks(RANKS), public_tokenizers.PATTERN)
+    pieces, second, calls = fertility.pieces, fertility.bytes, []
+
+    class Counted:
+        def encode(self, words, **options):
+            calls.append(len(words))
+            return pieces.encode(words, **options)
+
+    fertility.pieces = Counted()
+    texts = ["", " ", "a b c d e a b c d e\n", *_odd_texts(300), "x\x0by\x0cz\r\tw " * 9, "ᠠ" * 40]
+    for size, words_kept in ((1 << 21, 200_000), (200, 10)):
+        monkeypatch.setattr(quality, "_CHARS", size)
+        monkeypatch.setattr(quality, "_WORDS", words_kept)
+        parts = list(quality._parts([len(t) for t in texts]))
+        calls.clear()
+        rows = [r for p in parts for r in quality._measure(texts[p], ["xx"] * len(texts[p]), fertility, quality.BANDS)]
+        assert len(calls) == len(parts) and (len(parts) == 1) == (size > 200)
+        for text, row in zip(texts, rows, strict=True):
+            words = text.encode().split()
+            ids = [i for w in words for i in pieces.encode(w.decode())]
+            least = sum(len(second.encode_ordinary(f" {w.decode()}")) for w in words)
+            shares = np.unique(ids, return_counts=True)[1] / max(len(ids), 1)
+            chars = sum(len(w.decode()) for w in words)
+            assert row[:2] == (len(words), chars) and row[4:6] == (quality.repeated_words(words), len(ids))
+            assert row[6:8] == (chars / len(ids) if ids else 0, chars / least if least else 0)
+            assert row[8] == (sum(map(pieces.is_byte, ids)) / len(ids) if ids else 0)
+            assert row[9] == pytest.approx(-(shares * np.log2(shares)).sum())
+
+
 def test_repeated_words_against_brute_force():
     rng = random.Random(6)
     for n in [0, 4, 5, 6, *range(10, 60)]:

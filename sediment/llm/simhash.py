@@ -151,7 +151,8 @@ def drop_near_copies(docs: DataFrame, *, shingle: int = 3, distance: int = 2) ->
     )
     stay = kept(stay.distinct())
     marked = docs.withColumn(own, fingerprint_column("text", shingle))
-    same = F.col("doc_id").eqNullSafe(F.col(its_id)) & (F.col(own) == F.col(its_print))
+    # Null-safe also for fingerprints, which are never null: a filter for that would make them twice.
+    same = F.col("doc_id").eqNullSafe(F.col(its_id)) & F.col(own).eqNullSafe(F.col(its_print))
     columns = [F.col(f"`{c}`") for c in docs.columns]
     order = F.struct(F.xxhash64("text"), F.xxhash64(*columns))
     return (

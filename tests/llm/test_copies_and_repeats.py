@@ -85,6 +85,14 @@ def test_one_document_of_a_group_stays(spark, texts):
     assert sorted(r.doc_id for r in stay.collect()) == sorted(set(_groups(prints, 2).values()))
 
 
+def test_fingerprints_are_made_once_where_copies_go(spark):
+    """A second evaluation in one task would also take a second Python worker for it."""
+    docs = _docs(spark, [(1, "some words"), (2, "other words"), (3, None)])
+    stay = simhash.drop_near_copies(docs)
+    assert stay._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert sorted(r.doc_id for r in stay.collect()) == [1, 2, 3]
+
+
 def _covered(datas, length):
     starts = Counter(d[p : p + length] for d in datas for p in range(len(d) - length + 1))
     out = []

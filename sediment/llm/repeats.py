@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from sediment.llm.tables import kept, text_or_empty
 from sediment.plans.keyed import hot_slices, join_sliced
+from sediment.plans.materialize import Kept
 
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)  # odd, so that powers can be undone modulo 2^64
 _LOW = np.uint64((1 << 21) - 1)
@@ -105,17 +106,26 @@ def runs_of(data: bytes, length: int) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-def _find_runs(length: int, id_type: pa.DataType):
+def _find_runs(length: int):
+    """Rows of texts, and of the places in them where there are such columns, as rows of runs."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 ids, prints = part.column(0), part.column(1)
                 rows, columns = [], []
-                for i, data in enumerate(part.column(2).to_pylist()):
-                    if len(data) >= length:
-                        columns.append(runs_of(data, length))
-                        rows.append(np.full(len(columns[-1][0]), i))
+                texts = part.column(2).to_pylist()
+                places = [[(0, len(data))] for data in texts]
+                if part.num_columns > 3:
+                    lists = zip(part.column(3).to_pylist(), part.column(4).to_pylist(), strict=True)
+                    places = [list(zip(*x, strict=True)) for x in lists]
+                for i, data in enumerate(texts):
+                    for start, stop in places[i]:
+                        if stop - start >= length:
+                            bucket, whole, offset, first, count = runs_of(data[start:stop], length)
+                            columns.append((bucket, whole, offset, first + start, count))
+                            rows.append(np.full(len(bucket), i))
                 if not rows:
                     continue
                 at_row = pa.array(np.concatenate(rows))
@@ -236,6 +246,16 @@ def _again(rows: DataFrame, counted: DataFrame, on: list[str]) -> DataFrame:
     return join_sliced(rows, often, on, hot_slices([rows], on)[0], "left_semi")
 
 
+def _texts(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """Texts as bytes. ``print`` is a hash of the text, so that rows which repeat an id are
+    told apart by their texts."""
+    return docs.select(
+        F.col(f"`{id_column}`").alias("id"),
+        F.xxhash64(text_or_empty(text_column)).alias("print"),
+        F.encode(text_or_empty(text_column), "UTF-8").alias("data"),
+    )
+
+
 def repeated_spans(
     docs: DataFrame,
     *,
@@ -260,34 +280,43 @@ def repeated_spans(
     A member that is alike with another one is repeated with all of its windows. Windows
     of a run all hold the anchor, so what is repeated of a run is one interval.
     """
+    return _spans(_texts(docs, id_column, text_column), length)
+
+
+def _spans(texts: DataFrame, length: int, tables: Kept | None = None) -> DataFrame:
+    """``repeated_spans`` of texts; ``tables`` are those that the result reads.
+
+    If texts have columns ``starts`` and ``stops``, only windows within these places count.
+    """
     if length % 4 or length < 16:
         raise ValueError("length must be a multiple of 4, and at least 16")
     step = max(2, length // 25)
-    texts = docs.select(
-        F.col(f"`{id_column}`").alias("id"),
-        F.xxhash64(text_or_empty(text_column)).alias("print"),
-        F.encode(text_or_empty(text_column), "UTF-8").alias("data"),
-    ).filter(F.octet_length("data") >= length)
+    texts = texts.filter(F.octet_length("data") >= length)
     kind = texts.schema["id"].dataType.simpleString()
     number = F.count(F.lit(1)).alias("n")
     member = _MEMBER.format(kind=kind)
-    runs = kept(
-        texts.mapInArrow(
-            _find_runs(length, None),
-            f"id {kind}, print long, bucket long, whole long, offset int, first int, count int",
+    with Kept() as passing:
+        runs = kept(
+            texts.mapInArrow(
+                _find_runs(length),
+                f"id {kind}, print long, bucket long, whole long, offset int, first int, count int",
+            ),
+            passing,
         )
-    )
-    # First round: whole runs.
-    buckets = kept(runs.groupBy("bucket").agg(number).filter("n > 1"))
-    shared = kept(_again(runs, buckets, ["bucket"]))
+        # First round: whole runs.
+        buckets = kept(runs.groupBy("bucket").agg(number).filter("n > 1"), passing)
+        shared = kept(_again(runs, buckets, ["bucket"]), tables)
     same_run = ["bucket", "whole", "offset", "count"]
-    kinds = kept(shared.groupBy(*same_run).agg(number, F.min(F.struct("id", "print", "first")).alias("one")))
+    kinds = kept(
+        shared.groupBy(*same_run).agg(number, F.min(F.struct("id", "print", "first")).alias("one")), tables
+    )
     alike = _again(shared, kinds, same_run)
     alike = alike.select(
         "id", "print", F.col("first").alias("start"), (F.col("first") + F.col("count") + length - 1).alias("stop")
     )
     edges = kept(
-        _unlike(kinds, ["bucket"]).select("bucket", "offset", "count", "one.id", "one.print", "one.first")
+        _unlike(kinds, ["bucket"]).select("bucket", "offset", "count", "one.id", "one.print", "one.first"),
+        tables,
     )
     of_text = [texts["id"].eqNullSafe(edges["id"]), texts["print"] == edges["print"]]
     cut = F.expr(f"substring(data, first + 1, count + {length - 1})").alias("data")
@@ -295,16 +324,20 @@ def repeated_spans(
         texts.join(edges, of_text)
         .select(edges["id"], edges["print"], "bucket", "offset", "first", cut)
         # Rows that repeat both id and text are one place here; their runs are alike already.
-        .dropDuplicates(["id", "print", "bucket", "first"])
+        .dropDuplicates(["id", "print", "bucket", "first"]),
+        tables,
     )
     # Second round: cells of windows.
     cells = kept(
         spans.mapInArrow(
             _cells(length, step), f"{member}, cell int, core long, whole long, start int, stop int"
-        )
+        ),
+        tables,
     )
     same_cell = ["bucket", "cell", "core", "whole"]
-    counted = kept(cells.groupBy(*same_cell).agg(number, F.min(F.struct("id", "print", "first")).alias("one")))
+    counted = kept(
+        cells.groupBy(*same_cell).agg(number, F.min(F.struct("id", "print", "first")).alias("one")), tables
+    )
     found = _again(cells, counted, same_cell)
     open_cells = _unlike(counted, ["bucket", "cell", "core"]).select(
         "bucket", "cell", "one.id", "one.print", "one.first"
@@ -318,10 +351,11 @@ def repeated_spans(
     windows = kept(
         at_cells.mapInArrow(
             _windows(length, step), f"{member}, distance int, window long, start int, stop int"
-        )
+        ),
+        tables,
     )
     same_window = ["bucket", "distance", "window"]
-    repeated = _again(windows, kept(windows.groupBy(*same_window).agg(number)), same_window)
+    repeated = _again(windows, kept(windows.groupBy(*same_window).agg(number), tables), same_window)
     of_run = ["id", "print", "bucket", "first", "start", "stop"]
     refined = (
         found.select(*of_run).unionByName(repeated.select(*of_run))
@@ -357,25 +391,77 @@ def without(data: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*parts, data[at:]])
 
 
+def _lists(spans: DataFrame) -> DataFrame:
+    return spans.groupBy("id", "print").agg(
+        F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops")
+    )
+
+
 def with_spans(docs: DataFrame, spans: DataFrame, id_column: str, text_column: str) -> DataFrame:
     """All rows of ``docs`` in a column ``doc``, with ``starts`` and ``stops`` of each text's spans."""
-    lists = kept(
-        spans.groupBy("id", "print").agg(
-            F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops")
-        )
-    )
+    return _with_lists(docs, kept(_lists(spans)), id_column, text_column)
+
+
+def _with_lists(docs: DataFrame, lists: DataFrame, id_column: str, text_column: str) -> DataFrame:
     rows = docs.select(
         F.struct([F.col(f"`{c}`") for c in docs.columns]).alias("doc"),
         F.col(f"`{id_column}`").alias("of"), F.xxhash64(text_or_empty(text_column)).alias("text_print"),
     )
     same = rows["of"].eqNullSafe(lists["id"]) & (rows["text_print"] == lists["print"])
-    return rows.join(lists, same, "left").select("doc", "starts", "stops")
+    return rows.join(lists, same, "left").select("doc", *lists.columns[2:])
+
+
+def _maximal(length: int):
+    """Rows of lists as the bytes that all of a text's maximal runs have, and the runs of ``length`` bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts, starts, stops = [], [], []
+            for row in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                spans = merged(*row)
+                counts.append(sum(b - a for a, b in spans))
+                starts.append([a for a, b in spans if b - a >= length])
+                stops.append([b for a, b in spans if b - a >= length])
+            places = pa.list_(pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0), batch.column(1), pa.array(counts, pa.int64()),
+                    pa.array(starts, places), pa.array(stops, places),
+                ],
+                names=["id", "print", "n_repeated", "starts", "stops"],
+            )
+
+    return run
+
+
+def _lists_of_two(texts: DataFrame, length: int, shorter: int) -> DataFrame:
+    """``n_repeated`` by strings of ``shorter`` bytes, and lists of the spans of ``length`` bytes.
+
+    A string that starts again elsewhere does so with all shorter strings in it. So it is
+    within one maximal run of those, and only such runs are searched for it.
+    """
+    kind = texts.schema["id"].dataType.simpleString()
+    with Kept() as tables:
+        found = kept(
+            _lists(_spans(texts, shorter, tables)).mapInArrow(
+                _maximal(length), f"id {kind}, print long, n_repeated long, starts array<int>, stops array<int>"
+            )
+        )
+    places = found.filter(F.size("starts") > 0)
+    of_text = texts["id"].eqNullSafe(places["id"]) & (texts["print"] == places["print"])
+    inside = kept(texts.join(places, of_text).select(*[texts[c] for c in texts.columns], "starts", "stops"))
+    spans = kept(_lists(_spans(inside, length)))
+    same = found["id"].eqNullSafe(spans["id"]) & (found["print"] == spans["print"])
+    return kept(
+        found.join(spans, same, "left").select(found["id"], found["print"], spans["starts"], spans["stops"], "n_repeated")
+    )
 
 
 def remove_repeats(
     docs: DataFrame,
     *,
     length: int = 400,
+    shorter: int | None = None,
     id_column: str = "doc_id",
     text_column: str = "text",
 ) -> DataFrame:
@@ -385,13 +471,23 @@ def remove_repeats(
     ``kept`` (the bytes that are left, which may begin or end within a character). All
     places count, also those of the same row, and none of them stays. Null is the empty
     text; texts shorter than ``length`` stay; rows that repeat count as places apart.
+
+    With ``shorter``, ``n_repeated`` tells how many bytes strings of that length cover
+    that also start elsewhere. Of these, only the bytes counted in ``n_removed`` go.
     """
-    spans = repeated_spans(docs, length=length, id_column=id_column, text_column=text_column)
-    rows = with_spans(docs.select(
+    texts = _texts(docs, id_column, text_column)
+    if shorter is None:
+        lists = kept(_lists(_spans(texts, length)))
+    elif shorter > length:
+        raise ValueError("shorter must not be more than length")
+    else:
+        lists = _lists_of_two(texts, length, shorter)
+    rows = _with_lists(docs.select(
         F.col(f"`{id_column}`").alias(id_column), F.col(f"`{text_column}`").alias(text_column)
-    ), spans, id_column, text_column)
+    ), lists, id_column, text_column)
     kind = docs.schema[id_column].dataType.simpleString()
     text = F.coalesce(F.col("doc")[text_column].cast("string"), F.lit(""))
+    more = [] if shorter is None else [F.coalesce("n_repeated", F.lit(0).cast("long")).alias("n_repeated")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -404,13 +500,17 @@ def remove_repeats(
                 found.append((len(data), len(data) - len(rest), len(spans), rest))
             columns = list(zip(*found, strict=True)) or [(), (), (), ()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.binary())],
-                names=[id_column, "n_bytes", "n_removed", "n_spans", "kept"],
+                [
+                    batch.column(0), *(pa.array(c, pa.int64()) for c in columns[:3]),
+                    pa.array(columns[3], pa.binary()), *batch.columns[4:],
+                ],
+                names=[id_column, "n_bytes", "n_removed", "n_spans", "kept", *batch.schema.names[4:]],
             )
 
+    schema = f"`{id_column}` {kind}, n_bytes long, n_removed long, n_spans long, kept binary"
     return rows.select(
-        F.col("doc")[id_column].alias(id_column), F.encode(text, "UTF-8").alias("data"), "starts", "stops"
-    ).mapInArrow(run, f"`{id_column}` {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
+        F.col("doc")[id_column].alias(id_column), F.encode(text, "UTF-8").alias("data"), "starts", "stops", *more
+    ).mapInArrow(run, schema + ", n_repeated long" * len(more))
 
 
 def _rest(texts: pd.Series, starts: pd.Series, stops: pd.Series) -> pd.Series:

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from sediment.llm import graph, repeats, simhash, vectors
+from sediment.llm import graph, queries, repeats, simhash, vectors
 
 DOCS = "doc_id long, text string, source string, fp long, id string, component_id long"
 
@@ -150,6 +150,37 @@ def _check_repeats(spark, rows, length):
     assert sorted(found, key=repr) == sorted(expected, key=repr)
 
 
+@pytest.mark.parametrize(("length", "shorter"), [(400, 256), (100, 16), (64, 64)])
+def test_shorter_repeats_are_told_and_stay(spark, texts, length, shorter):
+    """A long repeat, touching short ones, rows that repeat, and texts with both kinds."""
+    rng = random.Random(4)
+    passages = [_prose(rng, 80)[:n] for n in (length, length - 1, shorter, shorter, shorter - 1)]
+    mixed = [_prose(rng, 20) + "".join(rng.sample(passages, k)) + _prose(rng, 20) for k in (1, 2, 3, 4, 5) * 4]
+    mixed += [passages[2] + passages[3], passages[2], passages[3], *passages]
+    rows = [*enumerate([*texts, *mixed]), (3, texts[3]), (None, texts[8]), (30, mixed[4])]
+    datas = [(t or "").encode() for _, t in rows]
+    expected = []
+    covered = zip(rows, datas, _covered(datas, length), _covered(datas, shorter), strict=True)
+    for (i, _), data, gone, told in covered:
+        left = bytes(b for b, g in zip(data, gone, strict=True) if not g)
+        expected.append((i, len(data), int(gone.sum()), hashlib.sha256(left).hexdigest(), int(told.sum())))
+    got = repeats.remove_repeats(_docs(spark, rows), length=length, shorter=shorter).collect()
+    found = [(r.doc_id, r.n_bytes, r.n_removed, hashlib.sha256(r.kept).hexdigest(), r.n_repeated) for r in got]
+    assert sorted(found, key=repr) == sorted(expected, key=repr)
+
+
+def test_planted_passages_of_over_50_words_are_told(spark, tmp_path):
+    """Passages too short for the 400 bytes of the contract: they stay, and are counted."""
+    rng = random.Random(6)
+    passages = [_prose(rng, 85) for _ in range(5)]
+    assert all(256 <= len(p.encode()) < 400 for p in passages)
+    rows = [(i, _prose(rng, 50) + " " + passages[i % 5] + " " + _prose(rng, 50)) for i in range(20)]
+    rows += [(20 + i, _prose(rng, 160)) for i in range(20)]
+    _docs(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    for r in queries.op9_repeats(spark, str(tmp_path)).collect():
+        assert r.n_removed == 0 and (r.n_repeated > 0) == (r.doc_id < 20)
+
+
 def test_runs_of_long_texts_are_cut_at_blocks(monkeypatch):
     data = np.random.default_rng(1).integers(97, 123, 5000, dtype=np.uint8).tobytes()
     whole = repeats.runs_of(data, 64)
